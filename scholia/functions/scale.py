@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,3 +72,18 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread_by: str,
 def salt_count(spark: SparkSession) -> int:
     """A third of all rows may sit on one key: spread it over a third of the tasks."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
+
+
+def number_rows(df: DataFrame, keys: list[str], order: list, out: str = "n") -> DataFrame:
+    """Number the rows of each key from 1, also where one key holds a third of them.
+
+    Rows are range-partitioned on key and order, so a hot key covers many partitions;
+    each partition numbers its own rows and adds the counts of the partitions before.
+    """
+    ranged = cut(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_p", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    own = ranged.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "_p").orderBy(*order)))
+    return (own.join(offsets, [*keys, "_p"]).withColumn(out, F.col("_n") + F.col("_off"))
+            .drop("_p", "_n", "_off"))

@@ -32,7 +32,7 @@ def keywords(text: Column | str) -> Column:
 def lines(text: Column | str) -> Column:
     """Trimmed non-blank lines in order."""
     col = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.transform(F.split(col, "\n"), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(col, "\n"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
 
 
 def words_of(name: Column, longer_than: int) -> Column:

@@ -52,7 +52,7 @@ def expand(queries: DataFrame) -> DataFrame:
 def decompose(tasks: DataFrame, cap: int = 8) -> DataFrame:
     """(query_id, pos, part): the task, its parts, its word phrases; distinct, first 8."""
     t = F.col("query")
-    parts = F.slice(F.filter(F.transform(F.split(t, r"(?i)\s+(?:and|with|using|via|plus|,)\s+"), F.trim),
+    parts = F.slice(F.filter(F.transform(F.split(t, r"(?i)\s+(?:and|with|using|via|plus|,)\s+"), lambda s: F.trim(s)),
                              lambda p: (F.length(p) > 4) & (p != t)), 1, 5)
     phrases = F.regexp_extract_all(t, F.lit("(?i)((?:[a-z]+ ){1,3}[a-z]+)"), 1)
     every = F.slice(F.array_distinct(F.concat(F.array(t), parts, phrases)), 1, cap)
@@ -68,7 +68,7 @@ def concepts(queries: DataFrame) -> DataFrame:
     words = F.split(F.lower("query"), r"\s+")
     known = keywords("query")
     marked = F.array_join(F.transform(words, lambda w: F.when(F.array_contains(known, w), w).otherwise(F.lit("\n"))), " ")
-    runs = F.filter(F.transform(F.split(marked, r"\s*\n\s*"), F.trim), lambda r: F.length(r) > 0)
+    runs = F.filter(F.transform(F.split(marked, r"\s*\n\s*"), lambda s: F.trim(s)), lambda r: F.length(r) > 0)
     split = F.flatten(F.transform(runs, lambda r: F.when(F.size(F.split(r, " ")) <= 2, F.array(r)).otherwise(F.split(r, " "))))
     return queries.select("query_id", F.explode(F.array_distinct(split)).alias("concept"))
 

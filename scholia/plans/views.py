@@ -170,3 +170,307 @@ ORACLE_VIEWS["o_knn"] = """
 SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (
   SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"""
+
+# ---- markdown made from the documents --------------------------------------
+
+MD_LINE = """
+CASE WHEN {i} % 7 = 6 THEN concat('- Never ', {prev})
+     WHEN {i} % 6 = 1 THEN concat('## ', {x}) WHEN {i} % 6 = 2 THEN concat('- ', {x}) WHEN {i} % 6 = 3 THEN concat('  ', {x})
+     WHEN {i} % 6 = 4 THEN concat('1. ', {x}) WHEN {i} % 6 = 5 THEN concat('**Note** ', {x}) ELSE {x} END"""
+
+
+def _v_md(self) -> DataFrame:
+    """One markdown file per document: every line takes a role from its place."""
+    line = MD_LINE.format(i="i", x="x", prev="ls[i - 1]")
+    return (self.documents.select("doc_id", "lang", "source", lines("text").alias("ls"))
+            .selectExpr("doc_id", "concat('docs/', source, '/', doc_id, '.md') AS path",
+                        f"""concat('---\\nname: doc-', doc_id, '\\ntags: [', source, ', ', lang, ']\\n',
+                            CASE WHEN lang = 'en' THEN concat('description: "Notes of ', source, '"') ELSE concat('description: >\\n  Notes of\\n  ', source) END,
+                            '\\n---\\n', array_join(transform(ls, (x, i) -> {line}), '\\n')) AS content"""))
+
+
+def _v_guides(self) -> DataFrame:
+    """A longer guide per document with code, decision and rule blocks."""
+    return (self.documents.select("doc_id", "lang", "source", "text", lines("text").alias("ls"))
+            .selectExpr("doc_id", "concat('specs/', source, '/', CASE WHEN lang = 'es' THEN 'template-' ELSE 'g' END, doc_id, '.md') AS path",
+                        """concat('### Guide ', source, '\\n', text, '\\n', repeat('-', 24), '\\nGOAL: ', ls[0], '\\nDELIVERS: ', coalesce(get(ls, 1), 'none'),
+                           '\\nin time\\n## Decision\\nService ', source, ' MUST handle ', lang, '\\n\\n## Context\\n',
+                           CASE WHEN lang = 'de' THEN 'GET /v1/items\\n' ELSE '' END,
+                           '```ts\\nimport { A', doc_id, ', B } from "lib"\\ncall()\\n```\\n') AS content"""))
+
+
+Tables.v_md = cached_property(_v_md)
+Tables.v_md.__set_name__(Tables, "v_md")
+Tables.v_guides = cached_property(_v_guides)
+Tables.v_guides.__set_name__(Tables, "v_guides")
+
+# line roles by arithmetic, then sections and chunks without any markdown parsing
+ORACLE_VIEWS["o_mdl"] = f"""
+SELECT doc_id, source, lang, i, n, x, prev, CASE WHEN i % 7 = 6 THEN 'never' WHEN i % 6 = 1 THEN 'header' WHEN i % 6 = 3 THEN 'cont' ELSE 'open' END AS kind,
+       CASE WHEN i % 7 = 6 THEN 'Never ' || prev WHEN i % 6 = 5 THEN '**Note** ' || x ELSE x END AS piece,
+       {MD_LINE.format(i='i', x='x', prev='prev')} AS raw
+FROM (SELECT doc_id, source, lang, i, len(ls) AS n, ls[i + 1] AS x, ls[i] AS prev FROM (SELECT *, unnest(range(0, len(ls))) AS i FROM v_lines))"""
+ORACLE_VIEWS["o_mds"] = "SELECT *, sum(CASE WHEN kind = 'header' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM o_mdl"
+ORACLE_VIEWS["o_mdsec"] = """
+SELECT doc_id, sec::BIGINT AS pos, 'doc-' || doc_id AS doc_name, any_value(n) AS n,
+       CASE WHEN any_value(n) = 1 THEN 'doc-' || doc_id WHEN sec = 0 THEN 'summary' ELSE trim(max(x) FILTER (kind = 'header')) END AS header,
+       CASE WHEN any_value(n) > 1 AND sec = 0 THEN 'summary' ELSE 'content' END AS base_kind,
+       trim(string_agg(raw, chr(10) ORDER BY i) FILTER (kind <> 'header'), ' ' || chr(10)) AS text
+FROM o_mds GROUP BY doc_id, sec HAVING count(*) FILTER (kind <> 'header') > 0"""
+ORACLE_VIEWS["o_atomic"] = """
+SELECT doc_id, sec, c, string_agg(piece, ' ' ORDER BY i) AS text FROM (
+  SELECT *, sum(CASE WHEN kind = 'cont' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, sec ORDER BY i) AS c FROM o_mds WHERE kind <> 'header')
+GROUP BY doc_id, sec, c"""
+NEG = "['never', 'not', 'don''t', 'instead', 'but', 'however', 'avoid', 'do not']"
+ORACLE_VIEWS["o_guard"] = f"""
+SELECT doc_id, sec, list_reduce(cs, lambda acc, x: CASE
+  WHEN len(list_filter({NEG}, lambda w: starts_with(ltrim(lower(x[1])), w))) > 0
+   AND list_has_any(regexp_extract_all(lower(acc[-1]), '\\b[a-z]{{4,}}\\b'), regexp_extract_all(lower(x[1]), '\\b[a-z]{{4,}}\\b'))
+  THEN list_concat(acc[:-2], [acc[-1] || chr(10) || x[1]]) ELSE list_concat(acc, x) END) AS cs
+FROM (SELECT doc_id, sec, list([text] ORDER BY c) AS cs FROM o_atomic GROUP BY doc_id, sec)"""
+ORACLE_VIEWS["o_md_chunks"] = """
+SELECT s.doc_id, pos AS section_pos, left(sha256(doc_name || '::' || header), 12) AS parent_id, header AS parent_title,
+       CASE WHEN base_kind = 'summary' OR n = 1 THEN base_kind WHEN regexp_matches(lower(header), 'principle|rule') THEN 'framework' WHEN regexp_matches(lower(header), 'anti|avoid|pitfall') THEN 'pitfalls'
+            WHEN regexp_matches(lower(header), 'example|case') THEN 'case_studies' ELSE 'content' END AS section,
+       len(cs)::BIGINT AS sibling_count, unnest(range(0, len(cs)))::BIGINT AS sibling_index, unnest(cs) AS text
+FROM o_mdsec s JOIN o_guard g ON g.doc_id = s.doc_id AND g.sec = s.pos"""
+ORACLE_VIEWS["v_guides"] = """
+SELECT doc_id, '### Guide ' || source || chr(10) || d.text || chr(10) || repeat('-', 24) || chr(10) || 'GOAL: ' || ls[1] || chr(10) || 'DELIVERS: ' || coalesce(ls[2], 'none')
+  || chr(10) || 'in time' || chr(10) || '## Decision' || chr(10) || 'Service ' || source || ' MUST handle ' || lang || chr(10) || chr(10) || '## Context' || chr(10)
+  || CASE WHEN lang = 'de' THEN 'GET /v1/items' || chr(10) ELSE '' END || '```ts' || chr(10) || 'import { A' || doc_id || ', B } from "lib"' || chr(10) || 'call()' || chr(10) || '```' || chr(10) AS content
+FROM documents d JOIN v_lines USING (doc_id, source, lang)"""
+
+# ---- knowledge graph, code and sessions made from the trade tables ----------
+
+LIB = "concat('lib', {} + 1000)"
+EDGE_CASE = ("CASE {} % 8 WHEN 0 THEN 'implements' WHEN 1 THEN 'contradicts' WHEN 2 THEN 'extends' WHEN 3 THEN 'applies-to' "
+             "WHEN 4 THEN 'see-also' WHEN 5 THEN 'inspired-by' WHEN 6 THEN 'supersedes' ELSE 'depends-on' END")
+CUTOFF_DATE = "2001-06-01"
+CACHE_NOW = "2024-03-20 00:00:00"
+
+
+def _view(fn):
+    prop = cached_property(fn)
+    prop.__set_name__(Tables, fn.__name__)
+    setattr(Tables, fn.__name__, prop)
+    return fn
+
+
+@_view
+def v_nodes(t) -> DataFrame:
+    """Parts are notes and decisions, brands are components."""
+    parts = t.part.selectExpr(
+        "concat('p', p_partkey) AS id", "CASE WHEN p_type = 'PROMO' THEN 'decision' ELSE 'note' END AS type", "p_name AS title",
+        "concat(split(p_name, ' '), array(lower(p_type), lower(p_brand))) AS tags",
+        "CASE WHEN p_size < 13 THEN '' ELSE concat(p_brand, ' ', p_type) END AS body")
+    brands = t.part.select("p_brand").distinct().selectExpr(
+        "concat('b', substring(p_brand, 7)) AS id", "'component' AS type", "p_brand AS title", "cast(array() AS array<string>) AS tags", "'' AS body")
+    return parts.unionByName(brands)
+
+
+@_view
+def v_edges(t) -> DataFrame:
+    """Parts on adjacent lines of one order, and large parts with their brand."""
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate")
+    nxt = li.selectExpr("l_orderkey", "l_linenumber - 1 AS l_linenumber", "l_partkey AS other")
+    bought = (li.join(nxt, ["l_orderkey", "l_linenumber"]).where("l_partkey <> other")
+              .groupBy("l_partkey", "other").agg(F.min("l_quantity").cast("int").alias("q"), F.min("l_shipdate").alias("d"))
+              .selectExpr("concat('p', l_partkey) AS src", "concat('p', other) AS dst", EDGE_CASE.format("q") + " AS type", "1.0D AS weight",
+                          "date_format(d, 'yyyy-MM-dd') AS created", "l_partkey * 1000000000 + other AS ord"))
+    brand = t.part.where("p_size >= 40").selectExpr(
+        "concat('p', p_partkey) AS src", "concat('b', substring(p_brand, 7)) AS dst", "'applies-to' AS type", "1.0D AS weight", "'1995-01-01' AS created",
+        "p_partkey * 1000000000 + 900000000 + cast(substring(p_brand, 7) AS bigint) AS ord")
+    return bought.unionByName(brand)
+
+
+@_view
+def v_links(t) -> DataFrame:
+    n = t.pages.agg(F.count(F.lit(1)).alias("n"))
+    return (t.pages.select("page_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")).join(F.broadcast(n))
+            .selectExpr("page_id AS src", "(page_id * 7 + k) % n AS dst").where("src <> dst").distinct())
+
+
+@_view
+def v_lineage(t) -> DataFrame:
+    from pyspark.sql import Window as W
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return (t.orders.select(F.col("o_orderkey").alias("child"), F.lag("o_orderkey").over(w).alias("parent")).where("parent is not null"))
+
+
+@_view
+def v_files(t) -> DataFrame:
+    """One source file per order, one import per line item."""
+    lang = ("CASE l_orderkey % 6 WHEN 0 THEN concat('import { Api', l_linenumber, \" } from '\", lib, \"';\") WHEN 1 THEN concat('from ', lib, ' import Api', l_linenumber) "
+            "WHEN 2 THEN concat('import \"example.org/acme/', lib, '\"') WHEN 3 THEN concat('use ', lib, '::{Api', l_linenumber, '};') "
+            "WHEN 4 THEN concat('import com.acme.', lib, '.Api', l_linenumber, ';') ELSE concat(\"require '\", lib, \"'\") END")
+    rows = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "l_partkey", f"{LIB.format('l_partkey')} AS lib").selectExpr("*", f"{lang} AS line")
+    body = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "line"))), lambda s: s["line"]), "\n").alias("body"),
+                                          F.min("l_partkey").alias("first"))
+    top = "CASE o_orderpriority WHEN '1-URGENT' THEN 'build/' WHEN '2-HIGH' THEN 'docs/' ELSE '' END"
+    return (t.orders.join(body, F.col("o_orderkey") == F.col("l_orderkey"))
+            .selectExpr("o_orderkey AS file_id", "element_at(array('ts', 'py', 'go', 'rs', 'java', 'rb'), cast(o_orderkey % 6 + 1 AS int)) AS ext", "body", "first", f"{top} AS top")
+            .selectExpr("file_id", "ext", "concat(top, 'src/m', file_id % 97, '/f', file_id, '.', ext) AS path",
+                        f"concat(body, '\\n', {LIB.format('first')}, '.make.thing(1);\\n') AS content"))
+
+
+@_view
+def v_releases(t) -> DataFrame:
+    last = t.lineitem.groupBy("l_partkey").agg(F.max("l_shipdate").alias("d"))
+    return t.part.join(last, F.col("p_partkey") == F.col("l_partkey")).selectExpr(
+        "'npm' AS ecosystem", f"{LIB.format('p_partkey')} AS name", "concat('1.', p_size, '.0') AS version", "date_format(d, 'yyyy-MM-dd') AS publish_date")
+
+
+@_view
+def v_cache(t) -> DataFrame:
+    p = t.part.where("p_size <= 25").selectExpr(f"{LIB.format('p_partkey')} AS name", "p_partkey", "p_type")
+    return t.v_releases.join(p, "name").selectExpr(
+        "concat(ecosystem, ':', name, '@', version) AS key", "CASE WHEN p_type <> 'PROMO' THEN publish_date END AS publish_date",
+        f"timestamp'{CACHE_NOW}' - make_interval(0, 0, 0, 0, cast(p_partkey % 48 AS int)) AS checked_at")
+
+
+@_view
+def v_manifests(t) -> DataFrame:
+    """One manifest per customer with the parts bought; some files are cut off."""
+    bought = (t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct()
+              .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+              .selectExpr("o_custkey", f"{LIB.format('p_partkey')} AS lib", "concat('1.', p_size, '.0') AS v"))
+    listed = bought.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("lib", "v"))).alias("ds"))
+    npm = "concat('{\"name\": \"proj', c_custkey, '\", \"dependencies\": {', array_join(transform(ds, d -> concat('\"', d.lib, '\": \"^', d.v, '\"')), ', '), '}, \"devDependencies\": {\"local-x\": \"workspace:*\"}}')"
+    pip = "concat('# pinned\\n', array_join(transform(ds, d -> concat(d.lib, '==', d.v)), '\\n'), '\\n-r base.txt\\n')"
+    broken = "c_acctbal < -800 AND c_custkey % 2 = 0"
+    return (t.customer.join(listed, F.col("c_custkey") == F.col("o_custkey"))
+            .selectExpr("c_custkey AS project", "CASE WHEN c_custkey % 2 = 0 THEN 'package.json' ELSE 'requirements.txt' END AS path",
+                        f"CASE WHEN {broken} THEN left({npm}, 20) WHEN c_custkey % 2 = 0 THEN {npm} ELSE {pip} END AS content"))
+
+
+@_view
+def v_decisions(t) -> DataFrame:
+    x, y = LIB.format("p_partkey"), LIB.format("p_partkey + 1")
+    return t.part.where("p_size = 1").selectExpr(
+        "p_partkey AS decision_id", "p_name AS title",
+        f"CASE p_partkey % 4 WHEN 0 THEN concat('Do not use ', {x}, '.') WHEN 1 THEN concat('Prefer ', {y}, ' over ', {x}) WHEN 2 THEN concat('We replaced ', {x}, ' with ', {y}) "
+        f"ELSE concat('Decided against ', {x}, '. Avoid ', {x}, ' in every api.') END AS text")
+
+
+@_view
+def v_edits(t) -> DataFrame:
+    n = t.part.agg(F.count(F.lit(1)).alias("n"))
+    return (t.events.join(F.broadcast(n)).selectExpr("event_id", "ts", "concat('src/api/u', user_id, '.ts') AS path", f"{LIB.format('event_id % n')} AS lib")
+            .selectExpr("event_id", "ts", "path", "concat('import { make } from \\'', lib, '\\';\\nconst a = ', lib, '.make(1);') AS code"))
+
+
+@_view
+def v_scope(t) -> DataFrame:
+    from scholia.operators.rules import scope_map
+    know = t.v_decisions.selectExpr("concat('d', decision_id) AS id", "text", "'knowledge-graph' AS source", "'decision' AS type")
+    gaps = t.v_releases.where(F.col("publish_date") > CUTOFF_DATE)
+    return scope_map(know, gaps)
+
+
+@_view
+def v_usage(t) -> DataFrame:
+    return t.events.selectExpr("concat('u', user_id, '/', event_type) AS name", "ts")
+
+
+@_view
+def v_installed(t) -> DataFrame:
+    used = t.events.select("user_id", "event_type").distinct().selectExpr(
+        "concat('u', user_id, '/', event_type) AS name", "timestamp'2023-12-01 00:00:00' + make_interval(0, 0, 0, cast(user_id * 7 % 110 AS int)) AS installed_at")
+    idle = t.nation.selectExpr("concat('x', n_nationkey) AS name", "timestamp'2023-12-01 00:00:00' + make_interval(0, 0, 0, n_nationkey * 5) AS installed_at")
+    return used.unionByName(idle)
+
+
+@_view
+def v_sessions(t) -> DataFrame:
+    c = t.conversations
+    user, asst = F.col("role") == "user", F.col("role") == "assistant"
+    long_words = F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{8,})"), 1))))
+    g = c.groupBy("conv_id").agg(F.min_by("text", F.when(user, F.col("turn"))).alias("goal"), F.max_by("text", F.when(asst, F.col("turn"))).alias("progress"),
+                                 F.max_by("text", F.when(user, F.col("turn"))).alias("pending_tasks"),
+                                 F.slice(F.array_sort(long_words), 1, 5).alias("skills"), F.array_sort(F.collect_set("role")).alias("tags"))
+    return g.select(F.col("conv_id").alias("session_id"),
+                    F.date_format(F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(conv_id % 60 AS int))"), "yyyy-MM-dd HH:mm:ss").alias("ts"),
+                    F.concat(F.lit("b"), (F.col("conv_id") % 7).cast("string")).alias("branch"),
+                    F.coalesce("goal", F.lit("")).alias("goal"), F.coalesce("progress", F.lit("")).alias("progress"),
+                    F.coalesce("pending_tasks", F.lit("")).alias("pending_tasks"), "skills", "tags")
+
+
+@_view
+def v_sessions_xml(t) -> DataFrame:
+    return t.v_sessions.selectExpr("session_id", """concat('<session_handoff>\\n  <timestamp>', ts, '</timestamp>\\n  <branch>', branch, '</branch>\\n  <goal>\\n', goal, '\\n</goal>\\n',
+        CASE WHEN progress = '' THEN '' ELSE concat('  <progress>', progress, '</progress>\\n') END, '  <pending_tasks>', pending_tasks, '</pending_tasks>\\n',
+        array_join(transform(skills, s -> concat('  <skill id="', s, '"/>')), '\\n'), '\\n</session_handoff>') AS content""")
+
+
+@_view
+def v_catalog(t) -> DataFrame:
+    """One row per part name."""
+    return (t.part.groupBy("p_name").agg(F.min("p_size").alias("s"), F.count(F.lit(1)).alias("n"), F.min("p_brand").alias("b"), F.max(F.lower("p_type")).alias("ty"))
+            .selectExpr("p_name AS name", "concat('Library of ', p_name) AS description", "split(p_name, ' ') AS keywords", "array(split(p_name, ' ')[1] || 'y', 'medium') AS anti_keywords",
+                        "CASE WHEN s % 2 = 0 THEN array('py', 'ts') ELSE array('go') END AS languages", "CASE WHEN s % 3 = 0 THEN NULL ELSE array('dev', lower(ty)) END AS roles",
+                        "split(p_name, ' ')[1] AS topic", "cast(s % 10 AS int) AS specificity", "n AS stars"))
+
+
+@_view
+def v_tasks(t) -> DataFrame:
+    """A task per order: the names of its parts, a language by its status."""
+    return (t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey")
+            .agg(F.array_join(F.array_sort(F.collect_set("p_name")), " and ").alias("task"), F.max("p_type").alias("ty"))
+            .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .selectExpr("o_orderkey AS task_id", "concat(task, ' of ', lower(ty)) AS task", "CASE o_orderstatus WHEN 'F' THEN 'py' WHEN 'O' THEN 'ts' END AS language"))
+
+
+D = {  # the same relations for DuckDB
+    "v_nodes": """
+SELECT 'p' || p_partkey AS id, CASE WHEN p_type = 'PROMO' THEN 'decision' ELSE 'note' END AS type, p_name AS title,
+  replace(p_name, ' ', ',') || ',' || lower(p_type) || ',' || lower(p_brand) AS tags, CASE WHEN p_size < 13 THEN '' ELSE p_brand || ' ' || p_type END AS body FROM part
+UNION ALL SELECT DISTINCT 'b' || substr(p_brand, 7), 'component', p_brand, '', '' FROM part""",
+    "v_edges": f"""
+SELECT 'p' || a AS src, 'p' || b AS dst, {EDGE_CASE.format('q')} AS type, 1.0::DOUBLE AS weight, strftime(d, '%Y-%m-%d') AS created, a * 1000000000 + b AS ord
+FROM (SELECT x.l_partkey AS a, y.l_partkey AS b, floor(min(x.l_quantity))::INT AS q, min(x.l_shipdate) AS d FROM lineitem x JOIN lineitem y
+      ON x.l_orderkey = y.l_orderkey AND x.l_linenumber = y.l_linenumber - 1 AND x.l_partkey <> y.l_partkey GROUP BY ALL)
+UNION ALL SELECT 'p' || p_partkey, 'b' || substr(p_brand, 7), 'applies-to', 1.0, '1995-01-01', p_partkey * 1000000000 + 900000000 + substr(p_brand, 7)::BIGINT FROM part WHERE p_size >= 40""",
+    "o_both": "SELECT src AS node, dst AS nb, type, ord, src, dst FROM v_edges UNION ALL SELECT dst, src, type, ord, src, dst FROM v_edges",
+    "v_links": "SELECT DISTINCT page_id AS src, (page_id * 7 + k) % (SELECT count(*) FROM pages) AS dst FROM pages, (SELECT unnest([1, 2, 3]) AS k) WHERE page_id <> (page_id * 7 + k) % (SELECT count(*) FROM pages)",
+    "v_lineage": "SELECT * FROM (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders) WHERE parent IS NOT NULL",
+    "o_imp": "SELECT l_orderkey AS file_id, l_orderkey % 6 AS lk, l_linenumber, l_partkey, 'lib' || (l_partkey + 1000) AS lib FROM lineitem",
+    "v_files": """
+SELECT f.file_id, ext, CASE o_orderpriority WHEN '1-URGENT' THEN 'build/' WHEN '2-HIGH' THEN 'docs/' ELSE '' END || 'src/m' || (f.file_id % 97) || '/f' || f.file_id || '.' || ext AS path,
+  body || chr(10) || 'lib' || (first + 1000) || '.make.thing(1);' || chr(10) AS content
+FROM (SELECT file_id, ['ts', 'py', 'go', 'rs', 'java', 'rb'][any_value(lk) + 1] AS ext, min(l_partkey) AS first, string_agg(CASE lk WHEN 0 THEN 'import { Api' || l_linenumber || ' } from ''' || lib || ''';'
+   WHEN 1 THEN 'from ' || lib || ' import Api' || l_linenumber WHEN 2 THEN 'import "example.org/acme/' || lib || '"' WHEN 3 THEN 'use ' || lib || '::{Api' || l_linenumber || '};'
+   WHEN 4 THEN 'import com.acme.' || lib || '.Api' || l_linenumber || ';' ELSE 'require ''' || lib || '''' END, chr(10) ORDER BY l_linenumber, l_partkey) AS body FROM o_imp GROUP BY file_id) f
+JOIN orders ON o_orderkey = f.file_id""",
+    "o_modules": "SELECT DISTINCT file_id, lk, CASE lk WHEN 2 THEN 'example.org/acme/' || lib WHEN 4 THEN 'com.acme.' || lib ELSE lib END AS module, lib, l_partkey FROM o_imp",
+    "v_releases": "SELECT 'npm' AS ecosystem, 'lib' || (p_partkey + 1000) AS name, '1.' || p_size || '.0' AS version, strftime(max(l_shipdate), '%Y-%m-%d') AS publish_date, p_partkey FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY p_partkey, p_size",
+    "v_cache": f"SELECT ecosystem || ':' || name || '@' || version AS key, CASE WHEN p_type <> 'PROMO' THEN publish_date END AS publish_date, TIMESTAMP '{CACHE_NOW}' - to_hours((p_partkey % 48)::INT) AS checked_at FROM v_releases JOIN part USING (p_partkey) WHERE p_size <= 25",
+    "v_deps": """
+SELECT DISTINCT o_custkey AS project, CASE WHEN o_custkey % 2 = 0 THEN 'npm' ELSE 'pypi' END AS ecosystem, 'lib' || (l_partkey + 1000) AS name, '1.' || p_size || '.0' AS version
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON c_custkey = o_custkey WHERE NOT (c_acctbal < -800 AND c_custkey % 2 = 0)""",
+    "v_decisions": """
+SELECT p_partkey AS decision_id, p_name AS title, 'lib' || (p_partkey + 1000) AS x, 'lib' || (p_partkey + 1001) AS y,
+  CASE p_partkey % 4 WHEN 0 THEN 'Do not use lib' || (p_partkey + 1000) || '.' WHEN 1 THEN 'Prefer lib' || (p_partkey + 1001) || ' over lib' || (p_partkey + 1000)
+  WHEN 2 THEN 'We replaced lib' || (p_partkey + 1000) || ' with lib' || (p_partkey + 1001) ELSE 'Decided against lib' || (p_partkey + 1000) || '. Avoid lib' || (p_partkey + 1000) || ' in every api.' END AS text
+FROM part WHERE p_size = 1""",
+    "o_edits": "SELECT event_id, event_id % (SELECT count(*) FROM part) AS pk, 'lib' || (event_id % (SELECT count(*) FROM part) + 1000) AS lib FROM events",
+    "o_scope_hits": f"""
+SELECT event_id, 'gap:' || name AS id, 5 AS strength FROM o_edits JOIN v_releases ON lib = name WHERE publish_date > '{CUTOFF_DATE}'
+UNION ALL
+SELECT event_id, 'd' || decision_id, 3 FROM o_edits JOIN v_decisions ON contains('import {{ make }} from ''' || lib || ''';' || chr(10) || 'const a = ' || lib || '.make(1);', x) WHERE decision_id % 4 = 3""",
+    "v_usage": "SELECT 'u' || user_id || '/' || event_type AS name, ts FROM events",
+    "v_installed": """
+SELECT DISTINCT 'u' || user_id || '/' || event_type AS name, TIMESTAMP '2023-12-01' + to_days((user_id * 7 % 110)::INT) AS installed_at FROM events
+UNION ALL SELECT 'x' || n_nationkey, TIMESTAMP '2023-12-01' + to_days(n_nationkey * 5) FROM nation""",
+    "v_sessions": """
+SELECT conv_id AS session_id, strftime(TIMESTAMP '2024-01-01' + to_days((conv_id % 60)::INT), '%Y-%m-%d %H:%M:%S') AS ts, 'b' || (conv_id % 7) AS branch,
+  coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS goal, coalesce(arg_max(text, turn) FILTER (role = 'assistant'), '') AS progress,
+  coalesce(arg_max(text, turn) FILTER (role = 'user'), '') AS pending_tasks, list_sort(list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]{8,}')))))[1:5] AS skills,
+  list_sort(list_distinct(list(role))) AS tags FROM conversations GROUP BY conv_id""",
+    "v_catalog": """
+SELECT p_name AS name, string_split(p_name, ' ') AS keywords, [string_split(p_name, ' ')[2] || 'y', 'medium'] AS anti_keywords, CASE WHEN min(p_size) % 2 = 0 THEN ['py', 'ts'] ELSE ['go'] END AS languages,
+  CASE WHEN min(p_size) % 3 = 0 THEN NULL ELSE ['dev', max(lower(p_type))] END AS roles, string_split(p_name, ' ')[2] AS topic, (min(p_size) % 10)::INT AS specificity, count(*) AS stars, 'Library of ' || p_name AS description FROM part GROUP BY p_name""",
+    "v_tasks": """
+SELECT o_orderkey AS task_id, string_agg(DISTINCT p_name, ' and ' ORDER BY p_name) || ' of ' || lower(max(p_type)) AS task, CASE o_orderstatus WHEN 'F' THEN 'py' WHEN 'O' THEN 'ts' END AS language
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderstatus""",
+}
+ORACLE_VIEWS.update(D)
