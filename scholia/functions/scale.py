@@ -46,6 +46,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan over all tasks when its files yield fewer splits than that.
+
+    For CPU-bound work on a few small files. A large table already has more splits
+    than tasks and is returned as it is. Call it on a plain scan only.
+    """
+    tasks = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= tasks else scan.repartition(tasks)
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` holds at most ``rows`` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows

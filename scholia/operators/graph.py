@@ -206,7 +206,7 @@ def glob_matches(files: DataFrame, globs: DataFrame) -> DataFrame:
         .withColumn("rx", glob_regex(F.col("glob")))
     f = files.select("path").distinct().select("path", F.explode(path_prefixes(F.col("path"))).alias("prefix"))
     tested = F.when(F.contains("glob", F.lit("/")), F.col("path")).otherwise(F.regexp_extract("path", r"([^/]*)$", 1))
-    return salted_join(f, g, "prefix", "path").where(tested.rlike(F.col("rx"))).select("path", "glob")
+    return salted_join(f, g, "prefix", "path").where(F.rlike(tested, F.col("rx"))).select("path", "glob")
 
 
 def owning_components(files: DataFrame, components: DataFrame) -> DataFrame:

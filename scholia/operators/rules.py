@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,11 +13,20 @@ from scholia.functions.text import STOPWORDS, contained_in, glob_regex, literal_
 from scholia.operators.mining import identifiers, imports
 
 # An ASCII word boundary; the JVM's own \b follows Unicode letters.
-B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+BEFORE_WORD = r"(?<![A-Za-z0-9_])"
+AFTER_WORD = r"(?![A-Za-z0-9_])"
+EITHER = rf"(?:(?<=[A-Za-z0-9_]){AFTER_WORD}|{BEFORE_WORD}(?=[A-Za-z0-9_]))"
 
 
 def ascii_boundaries(pattern: str) -> str:
-    return pattern.replace(r"\b", B)
+    """Replace each word boundary: cheap one-sided tests where the neighbour in the
+    pattern shows which side the word is on."""
+    def one(m: re.Match) -> str:
+        follower = pattern[m.end():m.end() + 1]
+        if follower.isalnum() or follower == "(":
+            return BEFORE_WORD
+        return AFTER_WORD if follower in ("", "|", ")") else EITHER
+    return re.sub(r"\\b", one, pattern)
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -211,8 +222,10 @@ PROHIBITIONS = [
 
 def prohibitions(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, family, target) with targets of 2 to 100 characters."""
-    found = [F.transform(F.regexp_extract_all(F.col(text_col), F.lit(p), 1), lambda s, n=name: F.struct(F.lit(n).alias("family"), F.trim(s).alias("target")))
-             for name, p in PROHIBITIONS]
+    def family(name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 1),
+                           lambda s: F.struct(F.lit(name).alias("family"), F.trim(s).alias("target")))
+    found = [family(name, pattern) for name, pattern in PROHIBITIONS]
     return (texts.select(F.col(id_col), F.explode(F.concat(*found)).alias("p")).select(id_col, "p.family", "p.target")
             .where(F.length("target").between(2, 100)))
 
@@ -334,7 +347,7 @@ def scope_match(edits: DataFrame, scope: DataFrame, top: int = MAX_MATCHES) -> D
     found = by_import.join(by_term, ["event_id", "id"], "full_outer")
     seen = (found.join(edits.select("event_id", "path"), "event_id")
             .join(scope.select("id", "type", "file_patterns"), "id"))
-    in_path = F.exists("file_patterns", lambda g: F.col("path").rlike(glob_regex(g)))
+    in_path = F.exists("file_patterns", lambda g: F.rlike(F.col("path"), glob_regex(g)))
     only_any = (F.size("file_patterns") == 0) | (F.col("file_patterns") == F.array(F.lit("**")))
     gap = F.col("type") == "post-training"
     strength = (F.when(F.col("imp") == 1, STRENGTH_IMPORT).otherwise(0) + F.when(F.col("term") == 1, STRENGTH_TERM).otherwise(0)

@@ -14,7 +14,7 @@ STALE_LIMIT = 5
 def usage_summary(usage: DataFrame, installed: DataFrame, as_of: str) -> DataFrame:
     """(name, uses, last_used, days_since, recent, suggestion, pos) per installed name."""
     now = F.lit(as_of).cast("timestamp")
-    counted = usage.groupBy("name").agg(F.count(F.lit(1)).alias("uses"), F.max("ts").alias("last"),
+    counted = usage.groupBy("name").agg(F.count(F.lit(1)).alias("uses"), F.max(F.col("ts").cast("timestamp")).alias("last"),
                                         F.count_if(F.col("ts") >= now - F.expr("interval 60 days")).alias("recent"))
     age = (now.cast("double") - F.col("installed_at").cast("double")) / 86400
     since = F.floor((now.cast("double") - F.col("last").cast("double")) / 86400)

@@ -233,8 +233,9 @@ def _(t):
 
 @query("section_types", """
 SELECT doc_id, pos, CASE WHEN w <> '' THEN w WHEN regexp_matches(h, 'principle|rule') THEN 'framework' WHEN regexp_matches(h, 'anti|avoid|pitfall') THEN 'pitfalls' WHEN regexp_matches(h, 'example|case') THEN 'case_studies' ELSE 'content' END AS section
-FROM (SELECT doc_id, pos, lower(header) AS h, CASE WHEN pos = 1 AND length(o_mdsec.text) >= 79 AND lang = 'de' THEN 'framework' WHEN pos = 1 AND length(o_mdsec.text) >= 79 AND lang = 'fr' THEN 'case_studies' ELSE '' END AS w
-      FROM o_mdsec JOIN documents USING (doc_id) WHERE base_kind = 'content' AND n > 1)""")
+FROM (SELECT s.doc_id, s.pos, lower(s.header) AS h, CASE WHEN d.lang NOT IN ('de', 'fr') THEN '' WHEN (s.pos = 1 AND length(s.text) >= 79) OR (s.pos > 1 AND contains('## ' || f.header || chr(10) || f.text || chr(10), left(s.text, 80)))
+        THEN CASE d.lang WHEN 'de' THEN 'framework' ELSE 'case_studies' END ELSE '' END AS w
+      FROM o_mdsec s JOIN documents d USING (doc_id) LEFT JOIN o_mdsec f ON f.doc_id = s.doc_id AND f.pos = 1 WHERE s.base_kind = 'content' AND s.n > 1)""")
 def _(t):
     """The first section of German and French files sits in a wrapper tag."""
     tag = F.when(F.col("lang") == "de", "core_principles").when(F.col("lang") == "fr", "examples")

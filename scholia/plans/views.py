@@ -11,7 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.functions.text import lines, tokens
+from scholia.functions.scale import spread
+from scholia.functions.text import lines
 
 
 class Tables:
@@ -22,7 +23,8 @@ class Tables:
         self.dir = sf_dir
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(df) if name in ("documents", "pages") else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
