@@ -80,8 +80,9 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread_by: str,
 
 
 def salt_count(spark: SparkSession) -> int:
-    """A third of all rows may sit on one key: spread it over a third of the tasks."""
-    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
+    """Buckets for a key that may hold a third of all rows: enough to leave about one
+    percent per bucket, few enough to repeat the small side; AQE splits what is left."""
+    return min(32, max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3))
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list, out: str = "n") -> DataFrame:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.functions.scale import broadcast_within
+
+# needle lists up to this many rows are broadcast
+NEEDLES = 200_000
+
 # The stop list of the query expander.
 STOPWORDS = (
     "a an the in on at to for of and or is are was were be been being have has had "
@@ -58,19 +63,35 @@ def contained_in(needles: DataFrame, haystacks: DataFrame, needle: str, haystack
     """Distinct (needle, haystack) pairs where the needle is a substring.
 
     An equi-join instead of a nested loop: every needle is looked up under its
-    first ``min(length, gram)`` characters, every haystack offers the pieces of
-    those lengths, and a long needle is verified afterwards. Both sides are made
-    distinct first, so a hot value costs one row, not one per document.
+    first ``min(length, gram)`` characters, every haystack offers the pieces of the
+    lengths in use, and a long needle is verified afterwards. Both sides are made
+    distinct first, so a hot value costs one row, not one per document. A needle
+    list of known small size is broadcast, then no piece is shuffled.
     """
     left = (needles.select(F.col(needle).alias("_n")).where(F.length("_n") > 0).distinct()
             .withColumn("_key", F.left(F.col("_n"), F.lit(gram))))
-    pieces = "flatten(transform(sequence(1, {g}), n -> transform(sequence(1, greatest(length(_h) - n + 1, 1)), i -> substring(_h, i, n))))"
+    sizes = [r[0] for r in left.select(F.length("_key")).distinct().collect()]
+    if not sizes:
+        return left.select(F.col("_n").alias(needle), F.lit(None).cast("string").alias(haystack)).limit(0)
+    pieces = ("flatten(transform(array({s}), n -> transform(sequence(1, greatest(length(_h) - n + 1, 1)), "
+              "i -> substring(_h, i, n))))").format(s=", ".join(str(n) for n in sorted(sizes)))
     right = (haystacks.select(F.col(haystack).alias("_h")).where(F.length("_h") > 0).distinct()
-             .withColumn("_key", F.explode(F.array_distinct(F.expr(pieces.format(g=gram))))))
-    return (left.join(right, "_key").where(F.contains("_h", "_n"))
+             .withColumn("_key", F.explode(F.array_distinct(F.expr(pieces)))))
+    return (right.join(broadcast_within(left, NEEDLES), "_key").where(F.contains("_h", "_n"))
             .select(F.col("_n").alias(needle), F.col("_h").alias(haystack)))
 
 
+def phrases_in_texts(needles: DataFrame, texts: DataFrame, needle: str, text: str) -> DataFrame:
+    """Like :func:`contained_in` for longer texts: a needle without blanks lies in one
+    blank-separated token, so it is matched against the distinct tokens first."""
+    one_word = ~F.col(needle).rlike(r"\s")
+    tokens_of = (texts.select(F.col(text).alias("_t")).distinct()
+                 .select("_t", F.explode(F.array_distinct(F.split("_t", r"\s+"))).alias("_w")).where("_w <> ''"))
+    words = contained_in(needles.where(one_word), tokens_of, needle, "_w")
+    by_word = tokens_of.join(words, "_w").select(F.col(needle), F.col("_t").alias(text)).distinct()
+    return by_word.unionByName(contained_in(needles.where(~one_word), texts, needle, text))
+
+
 def records(names: list[str], rows: list[tuple]) -> Column:
     """An array of equally named structs, for ``inline``."""
     def lit(v):

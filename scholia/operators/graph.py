@@ -177,12 +177,13 @@ def words_in_nodes(words: DataFrame, nodes: DataFrame, with_tags: bool = True) -
 def activate(concepts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(query_id, concept, id): nodes holding a concept word of more than two
     letters, plus their direct neighbours. Work is done once per distinct word."""
-    words = concepts.select("query_id", "concept", F.explode(F.split("concept", r"\s+")).alias("word")).where("length(word) > 2")
-    hit = words_in_nodes(words.select("word").distinct(), nodes)
+    pairs = concepts.select("query_id", "concept").distinct()
+    words = pairs.select("concept").distinct().select("concept", F.explode(F.split("concept", r"\s+")).alias("word")).where("length(word) > 2")
+    hit = cut(words_in_nodes(words.select("word").distinct(), nodes))
     step = both_ways(edges).select("node", "neighbour").distinct()
     near = salted_join(step, hit.withColumnRenamed("id", "node"), "node", "neighbour").select("word", F.col("neighbour").alias("id"))
-    reach = hit.unionByName(near).distinct()
-    return words.join(reach, "word").select("query_id", "concept", "id").distinct()
+    reach = words.join(hit.unionByName(near), "word").select("concept", "id").distinct()
+    return salted_join(reach, pairs, "concept", "id").select("query_id", "concept", "id")
 
 
 def concept_intersection(concepts: DataFrame, nodes: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:

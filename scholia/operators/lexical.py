@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from scholia.functions.scale import salted_join
+from scholia.functions.scale import has_at_most, salted_join
 from scholia.functions.text import tokens
 
 K1 = 1.5
 B = 0.75
 TOP_K = 20
+QUERY_TERMS = 200_000
+SCORE_CELLS = 4_000_000
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -83,8 +89,77 @@ def top_k(scores: DataFrame, k: int = TOP_K, by: str = "query_id", tie: str = "c
 
 
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    scores = bm25_scores(postings(chunks), doc_freq(chunks), corpus_stats(chunks), queries)
-    return top_k(scores, k)
+    """(query_id, chunk_id, score, rank): the first k chunks of every query.
+
+    The weighted query terms are small, so they travel and the corpus stays: each
+    task scores the chunks it already holds against all queries and keeps k per
+    query. No posting is shuffled and a hot term costs nothing extra. A term set
+    beyond QUERY_TERMS rows takes the shuffled join of :func:`bm25_scores` instead.
+    """
+    terms = query_terms(queries)
+    if not has_at_most(terms, QUERY_TERMS):
+        scores = bm25_scores(postings(chunks), doc_freq(chunks), corpus_stats(chunks), queries)
+        return top_k(scores, k)
+    vocabulary = terms.select("term").distinct()
+    found = (chunks.select(F.explode(F.array_distinct(tokens("text"))).alias("term"))
+             .join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    weighted = (terms.join(found, "term").join(F.broadcast(corpus_stats(chunks)))
+                .select("query_id", "term", "avg_len", (F.col("qtf") * idf_expr(F.col("n_docs"), F.col("df"))).alias("weight")).toPandas())
+    partial = _score_in_place(chunks, weighted, k)
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
+    return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _score_in_place(chunks: DataFrame, weighted: pd.DataFrame, k: int) -> DataFrame:
+    schema = "query_id bigint, chunk_id bigint, score double"
+    spark = chunks.sparkSession
+    if not len(weighted):
+        return spark.createDataFrame([], schema)
+    weighted = weighted.sort_values("term", kind="stable")
+    vocabulary, starts = np.unique(weighted["term"].to_numpy(dtype=object).astype(str), return_index=True)
+    query_ids, query_no = np.unique(weighted["query_id"].to_numpy(), return_inverse=True)
+    shared = spark.sparkContext.broadcast((vocabulary, np.append(starts, len(weighted)), query_ids, query_no,
+                                           weighted["weight"].to_numpy(), float(weighted["avg_len"].iloc[0])))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, first, qids, qno, weight, avg_len = shared.value
+        index = pd.Index(words)
+        step = max(1, SCORE_CELLS // len(qids))
+        for pdf in batches:
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at:at + step]
+                rows = np.repeat(np.arange(len(part)), part["ts"].map(len).to_numpy())
+                if not len(rows):
+                    continue
+                term = index.get_indexer(np.concatenate(part["ts"].to_numpy()))
+                keep = term >= 0
+                cell, tf = np.unique(rows[keep] * len(words) + term[keep], return_counts=True)
+                row, term = cell // len(words), cell % len(words)
+                length = part["len"].to_numpy()[row]
+                gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
+                # one entry per posting and query that asks for its term
+                asks = first[term + 1] - first[term]
+                entry = np.repeat(np.arange(len(term)), asks)
+                slot = np.arange(len(entry)) - np.repeat(np.cumsum(asks) - asks, asks) + first[term][entry]
+                scores = np.bincount(qno[slot] * len(part) + row[entry], weights=gain[entry] * weight[slot],
+                                     minlength=len(qids) * len(part)).reshape(len(qids), len(part))
+                yield best_per_query(qids, np.round(scores, 6), part["chunk_id"].to_numpy(), k)
+
+    return (chunks.select("chunk_id", tokens("text").alias("ts")).withColumn("len", F.size("ts").cast("bigint"))
+            .mapInPandas(run, schema))
+
+
+def best_per_query(query_ids: np.ndarray, scores: np.ndarray, item_ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best positive scores of each row of a matrix, ties by item id."""
+    found = []
+    for row, s in enumerate(scores):
+        keep = np.flatnonzero(s > 0)
+        if len(keep) > k:
+            v = s[keep]
+            keep = keep[v >= np.partition(v, len(v) - k)[len(v) - k]]
+        order = keep[np.lexsort((item_ids[keep], -s[keep]))[:k]]
+        found.append(pd.DataFrame({"query_id": query_ids[row], "chunk_id": item_ids[order], "score": s[order]}))
+    return pd.concat(found, ignore_index=True)
 
 
 def merge_df(old: DataFrame, delta: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from scholia.functions.text import contained_in, keywords, literal_array, records, tokens
+from scholia.functions.text import contained_in, keywords, literal_array, phrases_in_texts, records, tokens
 from scholia.operators import lexical, vectors
 
 # Fixed values of the search chain.
@@ -349,14 +349,14 @@ def keyword_fallback(queries: DataFrame, results: DataFrame, catalog: DataFrame,
     trig = usable.select("name", F.explode("keywords").alias("k")).select("name", F.lower("k").alias("k"))
     words = weak.select("query_id", F.explode(F.array_distinct(F.filter(F.split("q", r"\s+"), lambda w: F.length(w) > 2))).alias("w"))
 
-    in_query = contained_in(trig, weak, "k", "q")
+    in_query = phrases_in_texts(trig, weak, "k", "q")
     a = trig.join(in_query, "k").join(weak, "q").select("query_id", "name")
     trig_words = trig.select("name", F.explode(F.split("k", r"\s+")).alias("w"))
     b = trig_words.join(words, "w").select("query_id", "name")
     names = usable.select("name", F.lower("name").alias("ln"))
     c = weak.join(contained_in(weak, names, "q", "ln"), "q").join(names, "ln").select("query_id", "name")
     desc = usable.select("name", F.lower(F.coalesce("description", F.lit(""))).alias("d"))
-    d = words.join(contained_in(words, desc, "w", "d"), "w").join(desc, "d").select("query_id", "name")
+    d = words.join(phrases_in_texts(words, desc, "w", "d"), "w").join(desc, "d").select("query_id", "name")
     found = a.unionByName(b).unionByName(c).unionByName(d).distinct()
     return found.join(results.select("query_id", "name").distinct(), ["query_id", "name"], "left_anti")
 
@@ -395,7 +395,7 @@ def route(tasks: DataFrame, catalog: DataFrame, conflicts: list[tuple[str, str,
     kw = catalog.select("name", F.explode("keywords").alias("k"))
     anti = catalog.select("name", F.explode("anti_keywords").alias("k"))
     texts = t.select("task").distinct()
-    pairs = contained_in(kw.select("k").union(anti.select("k")), texts, "k", "task")
+    pairs = phrases_in_texts(kw.select("k").union(anti.select("k")), texts, "k", "task")
     plus = kw.join(pairs, "k").groupBy("task", "name").agg(F.count(F.lit(1)).alias("hits"))
     minus = anti.join(pairs, "k").groupBy("task", "name").agg(F.count(F.lit(1)).alias("anti"))
     langs = catalog.select("name", "languages")
