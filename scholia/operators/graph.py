@@ -70,30 +70,30 @@ def crawl_frontier(links: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFr
     return walked.unionByName(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct())
 
 
-def lineage(parents: DataFrame, max_rounds: int = 40) -> DataFrame:
+def lineage(parents: DataFrame) -> DataFrame:
     """(id, root, depth) for every child and parent by pointer doubling.
 
-    The number of rounds is the logarithm of the longest chain. Nodes on a cycle
-    never reach a root; they are left out.
+    Round k settles every node up to depth 2^k, so the number of rounds is the
+    logarithm of the longest chain. A round that settles nothing leaves only nodes
+    on or above a cycle; they have no root and are left out.
     """
     up = parents.select(F.col("child").alias("id"), F.col("parent").alias("jump")).distinct()
-    roots = up.select(F.col("jump").alias("id")).distinct().join(up.select("id"), "id", "left_anti")
-    done = roots.select("id", F.col("id").alias("root"), F.lit(0).cast("bigint").alias("depth"))
     open_ = cut(up.withColumn("len", F.lit(1).cast("bigint")))
+    roots = cut(open_.select(F.col("jump").alias("id")).distinct().join(open_.select("id"), "id", "left_anti"))
+    target = roots.select(F.col("id").alias("jump"))
+    done = roots.select("id", F.col("id").alias("root"), F.lit(0).cast("bigint").alias("depth"))
     jumps = open_
-    for _ in range(max_rounds):
-        # finished when the jump lands on a root, else double the jump
-        hit = open_.join(roots.select(F.col("id").alias("jump")), "jump", "left_semi")
-        done = done.unionByName(hit.select("id", F.col("jump").alias("root"), F.col("len").alias("depth")))
-        rest = open_.join(roots.select(F.col("id").alias("jump")), "jump", "left_anti")
+    while True:
+        hit = cut(open_.join(target, "jump", "left_semi").select("id", F.col("jump").alias("root"), F.col("len").alias("depth")))
+        if hit.isEmpty():
+            return done
+        done = done.unionByName(hit)
+        rest = open_.join(target, "jump", "left_anti")
         nxt = jumps.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("len").alias("len2"))
-        # a jump target that is already finished keeps its own jump to the root
+        # a jump target that is already settled keeps its own jump to the root
         doubled = cut(rest.join(nxt, "jump").select("id", F.col("jump2").alias("jump"), (F.col("len") + F.col("len2")).alias("len")))
-        if doubled.isEmpty():
-            break
         jumps = cut(doubled.unionByName(jumps.join(doubled.select("id"), "id", "left_anti")))
         open_ = doubled
-    return done
 
 
 def lineage_paths(parents: DataFrame, wanted: DataFrame) -> DataFrame:
