@@ -102,9 +102,10 @@ def lineage_paths(parents: DataFrame, wanted: DataFrame) -> DataFrame:
     Grows the covered part of every chain by doubling: logarithmic rounds, one row
     per chain member.
     """
-    placed = lineage(parents)
+    placed = cut(lineage(parents))
     jumps = cut(parents.select(F.col("child").alias("node"), F.col("parent").alias("jump")).distinct())
-    have = wanted.select("id", F.col("id").alias("node"), F.lit(0).cast("bigint").alias("back"))
+    # an id whose chain ends in a cycle has no path
+    have = wanted.join(placed, "id", "left_semi").select("id", F.col("id").alias("node"), F.lit(0).cast("bigint").alias("back"))
     span = 1
     while True:
         more = have.join(jumps, "node").select("id", F.col("jump").alias("node"), (F.col("back") + span).alias("back"))
