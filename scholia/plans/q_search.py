@@ -335,7 +335,16 @@ def _(t):
     return ranking.concepts(t.v_queries)
 
 
-@query("query_decompose")
+@query("query_decompose", """
+WITH t AS (SELECT l_orderkey AS query_id, list_sort(list(DISTINCT p_name)) AS names FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey),
+q AS (SELECT query_id, array_to_string(names, ' and ') AS task, CASE WHEN len(names) > 1 THEN names[1:5] ELSE [] END AS parts FROM t),
+w AS (SELECT *, string_split(task, ' ') AS ws FROM q),
+p AS (SELECT *, [array_to_string(ws[4 * i + 1:4 * i + 4], ' ') FOR i IN range(0, (len(ws) + 3) // 4) IF len(ws[4 * i + 1:4 * i + 4]) >= 2] AS phrases FROM w),
+a AS (SELECT query_id, list_concat([task], parts, phrases) AS l FROM p),
+x AS (SELECT query_id, l, unnest(range(1, len(l) + 1)) AS i FROM a),
+d AS (SELECT query_id, l[i] AS part, min(i) AS i FROM x GROUP BY ALL),
+r AS (SELECT query_id, part, row_number() OVER (PARTITION BY query_id ORDER BY i) - 1 AS pos FROM d)
+SELECT query_id, pos, part FROM r WHERE pos < 8""")
 def _(t):
     tasks = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey")) \
         .groupBy(F.col("o_orderkey").alias("query_id")).agg(F.array_join(F.array_sort(F.collect_set("p_name")), " and ").alias("query"))
