@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scholia.functions.scale import cut
-from scholia.operators import graph, lexical, ranking
+from scholia.operators import graph, ranking
 from scholia.plans.registry import query
 from scholia.plans.views import kws
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scholia.functions.text import records, tokens
 from scholia.operators import evaluation, lexical, ranking, vectors
 from scholia.plans.registry import query
-from scholia.plans.views import kws, rrf_sql, sibling_sql, toks
+from scholia.plans.views import kws, sibling_sql, toks
 
 
 # ---- lexical ---------------------------------------------------------------
