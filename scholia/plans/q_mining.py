@@ -237,9 +237,10 @@ SELECT c_custkey AS project, CASE WHEN c_custkey % 2 = 0 THEN CASE c_mktsegment
   CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_mktsegment = 'BUILDING' THEN 'Express,React' ELSE '' END ELSE CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Django' ELSE '' END END AS frameworks FROM customer""")
 def _(t):
     c = t.customer
-    files = (c.where("c_custkey % 2 = 0").selectExpr("c_custkey AS project", "'web/package.json' AS path",
-                                                     "CASE WHEN c_mktsegment = 'BUILDING' THEN '{\"dependencies\": {\"express\": \"1\", \"react/dom\": \"2\", \"vuex\": \"3\"}, \"devDependencies\": {\"typescript\": \"5\"}}' ELSE '{\"dependencies\": {\"express\": \"1\"}}' END AS content")
-             .unionByName(c.where("c_custkey % 2 = 1").selectExpr("c_custkey AS project", "'requirements.txt' AS path", "CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Django==4' ELSE 'numpy' END AS content"))
+    npm = "CASE WHEN c_mktsegment = 'BUILDING' THEN '{\"dependencies\": {\"express\": \"1\", \"react/dom\": \"2\", \"vuex\": \"3\"}, \"devDependencies\": {\"typescript\": \"5\"}}' ELSE '{\"dependencies\": {\"express\": \"1\"}}' END"
+    pip = "CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Django==4' ELSE 'numpy' END"
+    even = "c_custkey % 2 = 0"
+    files = (c.selectExpr("c_custkey AS project", f"CASE WHEN {even} THEN 'web/package.json' ELSE 'requirements.txt' END AS path", f"CASE WHEN {even} THEN {npm} ELSE {pip} END AS content")
              .unionByName(c.selectExpr("c_custkey AS project", "'cmd/main.go' AS path", "'package main' AS content"))
              .unionByName(c.selectExpr("c_custkey AS project", "'deep/er/lib.rs' AS path", "'' AS content")))
     return mining.project_profile(files)

@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     # split a hot join key even when that costs one more exchange downstream
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # long texts: bound an Arrow batch by its size, not only by its rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
 
 

@@ -51,7 +51,7 @@ def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     runs = complete_runs(spark, path)
 
     def live(table: str) -> DataFrame:
-        return spark.read.parquet(f"{path}/{table}").join(F.broadcast(runs), "run", "left_semi").drop("run")
+        return spark.read.parquet(f"{path}/{table}").join(runs, "run", "left_semi").drop("run")
     stats = (live("stats").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"))
              .withColumn("avg_len", F.col("total_len") / F.col("n_docs")))
     return {"chunks": live("chunks"), "postings": live("postings"), "vectors": live("vectors"),

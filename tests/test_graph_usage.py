@@ -3,7 +3,7 @@ import random
 from conftest import rows
 from pyspark.sql import functions as F
 
-from scholia.functions.scale import number_rows
+from scholia.functions.scale import broadcast_within, has_at_most, number_rows, salted_join
 from scholia.functions.text import contained_in, phrases_in_texts
 from scholia.operators import graph, usage
 
@@ -149,3 +149,20 @@ def test_session_merge_reports_missing(spark):
     g = spark.createDataFrame([("out", 0, 2), ("out", 1, 1)], "output_id string, pos int, session_id bigint")
     r = usage.session_merge(g, s).first()
     assert r["members"] == "2, 1" and r["missing"] == 1 and "<progress>Unknown</progress><branch>main</branch>" in r["body"]
+
+
+def test_salted_join_with_a_hot_key(spark):
+    big = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 40) END AS k", "id")
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("none", 4)], "k string, v int")
+    want = rows(big.join(small, "k").select("k", "id", "v"))
+    for salts in (1, 2, 32):
+        assert rows(salted_join(big, small, "k", "id", salts).select("k", "id", "v")) == want
+    assert rows(salted_join(big, small.select("k").distinct(), "k", "id", 8, "left_semi").select("k", "id")) == rows(big.join(small, "k", "left_semi"))
+
+
+def test_broadcast_only_within_the_checked_size(spark):
+    df = spark.range(10)
+    assert has_at_most(df, 10) and not has_at_most(df, 9)
+    plan = lambda d: d._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint (strategy=broadcast)" in plan(broadcast_within(df, 10))
+    assert "ResolvedHint" not in plan(broadcast_within(df, 9))
