@@ -8,12 +8,13 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from scholia.session import tune
 
 #: Most bytes of one broadcast. Larger inputs are cut into shards of this size.
 BROADCAST_BYTES = 64 << 20
 #: Rows turned into Python objects at once; Arrow batches are also bounded by bytes.
-SLICE_ROWS = 512
+SLICE_ROWS = 1024
 
 
 def text_udf(make: Callable[[], Callable[[list], list]], schema: str, utf8: bool = False) -> Callable[..., Column]:
@@ -45,25 +46,6 @@ def to_arrow(schema: str) -> pa.DataType:
     return to_arrow_type(_parse_datatype_string(schema))
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, pa.Array]], Iterator[dict[str, Any]]]], schema: str) -> DataFrame:
-    """Run a generator of column dictionaries over the Arrow batches of each task."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-    kind = _parse_datatype_string(schema)
-    assert isinstance(kind, StructType)
-    arrow = to_arrow_schema(kind)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                for out in work(dict(zip(part.schema.names, part.columns, strict=True))):
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
-
-    return df.mapInArrow(run, schema)
-
-
 def once(broadcast: Any, key: str, build: Callable[[Any], Any]) -> Any:
     """An object built from a broadcast dictionary once per Python worker and kept there."""
     holder = broadcast.value
@@ -79,32 +61,33 @@ def share(spark: SparkSession, value: dict[str, Any], size: int, limit: int = BR
     return spark.sparkContext.broadcast(value)
 
 
-class Recent(dict):
-    """Bounded memory of a function of strings: two generations, the older one is dropped.
+class Generations:
+    """What a worker remembers of strings: two generations, the older one is dropped."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.new: dict[str, Any] = {}
+        self.old: dict[str, Any] = {}
+
+    def look_up(self, keys: set[str]) -> tuple[dict[str, Any], list[str]]:
+        """The values that are known, and the keys that are not."""
+        new, old = self.new, self.old
+        found = {k: new[k] for k in keys if k in new}
+        rest = [k for k in keys if k not in found] if len(found) < len(keys) else []
+        again = {k: old[k] for k in rest if k in old}
+        self.keep(again)
+        return found | again, [k for k in rest if k not in again]
+
+    def keep(self, values: dict[str, Any]) -> None:
+        if len(self.new) + len(values) > self.limit:
+            self.old, self.new = self.new, {}
+        self.new.update(values)
 
-    Arguments longer than ``longest`` are worked out each time.
-    """
 
-    def __init__(self, work: Callable[[str], Any], limit: int, longest: int):
-        super().__init__()
-        self.work, self.limit, self.longest, self.older = work, limit, longest, {}
-
-    def __missing__(self, key: str) -> Any:
-        value = self.older.get(key)
-        if value is None:
-            value = self.work(key)
-            if len(key) > self.longest:
-                return value
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
-def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the id and the text, under fixed names, whatever else the table holds."""
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def session(spark: SparkSession) -> SparkSession:
+    """The options of the library, and Arrow batches of whole texts that a worker can hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(2 * SLICE_ROWS))
+    return tune(spark)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

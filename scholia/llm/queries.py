@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from scholia.llm import (bpe_transducer, chat_format, decontaminate, line_dedup, paragraph_sketch, quality_ranking, simhash_ball, substring_dedup, token_counts,
                          toxicity)
-from scholia.llm.common import documents
+from scholia.llm.common import documents, session
 from scholia.llm.labelled import fold
-from scholia.session import tune
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 VOCABULARY = "word_bpe_49k.json"
@@ -28,18 +27,18 @@ def _sha(col: Column | str) -> Column:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids again, digest both."""
-    rows = bpe_transducer.encode_decode(documents(tune(spark), sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    rows = bpe_transducer.encode_decode(documents(session(spark), sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), _sha("decoded").alias("decoded_sha256"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text, and whether they are over the limit."""
-    return token_counts.token_counts(documents(tune(spark), sf_dir), public_tokenizers.path(VOCABULARY))
+    return token_counts.token_counts(documents(session(spark), sf_dir), public_tokenizers.path(VOCABULARY))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text; learned without the held-out fold."""
-    docs, held_out = documents(tune(spark), sf_dir), fold("doc_id", 5) == 0
+    docs, held_out = documents(session(spark), sf_dir), fold("doc_id", 5) == 0
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels").where(~held_out))
     scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out.alias("held_out"), "__toxicity.score", (F.col("__toxicity.score") >= 0.5).cast("int").alias("predicted"),
@@ -48,7 +47,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text; learned without the held-out fold."""
-    docs, held_out = documents(tune(spark), sf_dir), fold("doc_id", 4) == 2
+    docs, held_out = documents(session(spark), sf_dir), fold("doc_id", 4) == 2
     ranking = quality_ranking.learn(docs, _table(spark, sf_dir, "labels").where(~held_out))
     scored = docs.select("doc_id", quality_ranking.score_column(ranking, F.coalesce("text", F.lit(""))).alias("score"))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_ranking.CUT).cast("int").alias("predicted"))
@@ -56,14 +55,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
-    rows = decontaminate.decontamination_report(documents(tune(spark), sf_dir), _table(spark, sf_dir, "benchmark"))
+    rows = decontaminate.decontamination_report(documents(session(spark), sf_dir), _table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                        _sha(F.array_join(F.array_sort("items"), ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited version, and how near they are."""
-    rows = paragraph_sketch.with_next(documents(tune(spark), sf_dir)).withColumn("edited", paragraph_sketch.edited_text())
+    rows = paragraph_sketch.with_next(documents(session(spark), sf_dir)).withColumn("edited", paragraph_sketch.edited_text())
     found = rows.withColumn("r", paragraph_sketch.compare("text", F.array("edited", "next_text")))
     return found.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"), _sha("edited").alias("edited_sha256"), F.col("r.fingerprint").alias("fingerprint"),
                         F.col("r.others")[0].fingerprint.alias("edited_fingerprint"), F.col("r.others")[0].near.alias("near_edited"),
@@ -72,25 +71,25 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that no earlier window covers."""
-    rows = substring_dedup.remove_repeats(documents(tune(spark), sf_dir))
+    rows = substring_dedup.remove_repeats(documents(session(spark), sf_dir))
     return rows.select("doc_id", "n_words", "n_removed", _sha("kept").alias("kept_sha256"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
-    rows = simhash_ball.near_duplicates(documents(tune(spark), sf_dir))
+    rows = simhash_ball.near_duplicates(documents(session(spark), sf_dir))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that are no later repeat."""
-    rows = line_dedup.remove_lines(documents(tune(spark), sf_dir).select("doc_id", "text"), out="r")
+    rows = line_dedup.remove_lines(documents(session(spark), sf_dir).select("doc_id", "text"), out="r")
     return rows.select("doc_id", "r.n_lines", F.size("r.removed").cast("bigint").alias("n_removed"), _sha(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and what can be read back from the output."""
-    rows = _table(tune(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = _table(session(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     chats = chat_format.format_chats(chat_format.events_of_rows(rows.unionByName(extra)))

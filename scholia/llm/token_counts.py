@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scholia.llm.common import Recent, once, share, text_udf
+from scholia.llm.common import Generations, once, share, text_udf
 
 TOKEN_LIMIT = 2048
 #: Words of the broadcast table; what a task may report to it; what its summary holds.
@@ -87,26 +87,29 @@ class Counts:
         words, counts = holder["words"].split("\n"), array("I", holder["counts"])
         self.table = dict(zip(words, counts, strict=True)) if counts else {}
         self.tokenizer = Tokenizer.from_str(holder["vocabulary"])
-        encode = self.tokenizer.encode
-        self.met = Recent(lambda word: self.table.get(word) or len(encode(word, add_special_tokens=False).ids), CACHE_WORDS, LONG_WORD)
+        self.met = Generations(CACHE_WORDS)
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
 
-    def of_part(self, text: str) -> int:
-        """Tokens of a text without added tokens."""
+    def _words(self, text: str) -> list[str]:
+        """Words of a text without added tokens."""
         if not PLAIN(text):
-            return sum(map(self.met.__getitem__, split_plain(text)))
+            return split_plain(text)
         text = self.tokenizer.normalizer.normalize_str(text)
-        spans = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
-        return sum(self.met[text[a:b]] for _, (a, b) in spans)
-
-    def of_text(self, text: str | None) -> int:
-        if not text:
-            return 0
-        if self.added is None or not self.added.search(text):
-            return self.of_part(text)
-        parts = self.added.split(text)
-        return sum(map(self.of_part, parts)) + len(parts) - 1
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def of_texts(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each text; words that are met for the first time are encoded together."""
+        parts = [self.added.split(t) if t and self.added is not None else [t or ""] for t in texts]
+        words = [[w for part in own for w in self._words(part)] if len(own) > 1 else self._words(own[0]) for own in parts]
+        different = set().union(*words)
+        known = {w: self.table[w] for w in different if w in self.table}
+        met, missing = self.met.look_up(different - known.keys())
+        encoded = self.tokenizer.encode_batch(missing, add_special_tokens=False) if missing else []
+        new = {w: len(e.ids) for w, e in zip(missing, encoded, strict=True)}
+        self.met.keep({w: n for w, n in new.items() if len(w) <= LONG_WORD})
+        known |= met | new
+        return [sum(map(known.__getitem__, own)) + len(part) - 1 for own, part in zip(words, parts, strict=True)]
 
 
 class TokenCounter:
@@ -126,7 +129,7 @@ class TokenCounter:
 
         def make() -> Callable[[list], list]:
             counts = once(data, "table", Counts)
-            return lambda texts: [counts.of_text(t) for t in texts]
+            return counts.of_texts
         return text_udf(make, "bigint")(text)
 
 
