@@ -140,8 +140,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its group; all columns as they are.
 
-    Of rows that repeat that id one stays. Rows without an id stay if nothing is near them.
+    Of rows that repeat that id one stays. Rows without an id stay.
     """
-    found = near_duplicates(df, id_col, text_col, **options)
-    gone = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti")
+    found = cut(near_duplicates(df, id_col, text_col, **options))
+    gone = found.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
+    again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    apart = gone.union(again).distinct().withColumnRenamed("doc_id", "__gone")
+    once = df.join(apart, F.col(id_col) == F.col("__gone"), "left_anti")
+    twice = again.join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", "__again")
+    return once.unionByName(df.join(twice, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col]))
