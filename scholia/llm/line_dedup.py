@@ -34,7 +34,7 @@ from scholia.llm.repeats import HashFilter, hash_filter
 WINDOW = 3
 LONG_LINE = 60
 #: Positions from which a hash is dealt out by the lines around it.
-HOT_HASH = 10_000
+HOT_HASH = 500
 #: Bytes of neighbourhoods a task gathers before it sends them on.
 GATHER_BYTES = 48 << 20
 ENDS = b" \t\r\f\v"
