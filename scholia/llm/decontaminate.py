@@ -33,7 +33,8 @@ MAX_COVERAGE = 0.5
 
 _KEPT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = regex.compile(rb"[0-9A-Za-z\x80-\xff]+")
-HITS = "struct<n_words:bigint,spans:array<bigint>,items:array<string>>"
+#: Spans are (start, end, start, end, ...): of words, and the same ones of bytes of the text.
+HITS = "struct<n_words:bigint,spans:array<bigint>,bytes:array<bigint>,items:array<string>>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -163,7 +164,9 @@ def _hit_column(data: Any, window: int, shard_words: int) -> Callable[..., Colum
             for text in texts:
                 words = words_of(text)
                 spans, items = automaton.hits(words)
-                out.append({"n_words": len(words), "spans": [x for s in spans for x in s], "items": sorted(items)})
+                places = [m.span() for m in _WORD.finditer(text)] if spans else []
+                out.append({"n_words": len(words), "spans": [x for s in spans for x in s], "items": sorted(items),
+                            "bytes": [x for a, b in spans for x in (places[a][0], places[b - 1][1])]})
             return out
         return work
     return text_udf(make, HITS, utf8=True)
@@ -179,9 +182,17 @@ def _join_spans(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
+def _join_bytes(a: dict[str, Any], b: dict[str, Any]) -> list[int]:
+    """The bytes of the joined spans of words."""
+    place = dict(zip([*a["spans"][::2], *b["spans"][::2]], [*a["bytes"][::2], *b["bytes"][::2]]))
+    end = dict(zip([*a["spans"][1::2], *b["spans"][1::2]], [*a["bytes"][1::2], *b["bytes"][1::2]]))
+    joined = _join_spans(a["spans"], b["spans"])
+    return [x for s, e in zip(joined[::2], joined[1::2]) for x in (place[s], end[e])]
+
+
 def _merge(left: str, right: str) -> Column:
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        rows = [{"n_words": x["n_words"], "spans": _join_spans(x["spans"], y["spans"]), "items": sorted({*x["items"], *y["items"]})}
+        rows = [{"n_words": x["n_words"], "spans": _join_spans(x["spans"], y["spans"]), "bytes": _join_bytes(x, y), "items": sorted({*x["items"], *y["items"]})}
                 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
         return pa.array(rows, a.type)
     return F.arrow_udf(run, HITS)(left, right)
@@ -210,22 +221,13 @@ def n_hit(hits: str = "__hits") -> Column:
     return F.aggregate(F.col(f"{hits}.spans"), F.lit(0).cast("bigint"), lambda sum_, x: x - sum_)
 
 
-def cut_spans(text: bytes, spans: list[int], longer_than: int = 0) -> str:
-    """The text without the words of spans of more than ``longer_than`` words."""
-    places = [m.span() for m in _WORD.finditer(text)]
-    out, at = [], 0
-    for start, end in zip(spans[::2], spans[1::2]):
-        if end - start > longer_than:
-            out.append(text[at:places[start][0]])
-            at = places[end - 1][1]
-    return b"".join([*out, text[at:]]).decode("utf-8", "replace")
-
-
-def _without(text: str, hits: str) -> Column:
-    def run(texts: pa.Array, found: pa.Array) -> pa.Array:
-        rows = zip(texts.to_pylist(), found.to_pylist(), strict=True)
-        return pa.array([cut_spans(t.encode(), h["spans"]) if t and h["spans"] else t for t, h in rows], pa.string())
-    return F.arrow_udf(run, "string")(text, hits)
+def without(text: Column | str, hits: str = "__hits") -> Column:
+    """The text without the bytes of the hit spans; what stands between words stays."""
+    raw, cuts = (F.col(text) if isinstance(text, str) else text).cast("binary"), F.col(f"{hits}.bytes")
+    bounds = F.concat(F.array(F.lit(0).cast("bigint")), cuts, F.array(F.octet_length(raw).cast("bigint")))
+    pieces = F.transform(F.sequence(F.lit(0), (F.size(cuts) / 2).cast("int")), lambda i: F.substring(
+        raw, (F.get(bounds, (2 * i).cast("int")) + 1).cast("int"), (F.get(bounds, (2 * i + 1).cast("int")) - F.get(bounds, (2 * i).cast("int"))).cast("int")).cast("string"))
+    return F.array_join(pieces, "")
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", max_coverage: float = MAX_COVERAGE, **options: Any) -> DataFrame:
@@ -235,7 +237,7 @@ def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", max_cover
     """
     found = with_hits(df, benchmark, text_col, **options)
     kept = found.where(n_hit() <= F.lit(max_coverage) * F.col("__hits.n_words"))
-    return kept.withColumn(text_col, F.when(F.size("__hits.spans") > 0, _without(text_col, "__hits")).otherwise(F.col(text_col))).select(*df.columns)
+    return kept.withColumn(text_col, F.when(F.size("__hits.spans") > 0, without(text_col)).otherwise(F.col(text_col))).select(*df.columns)
 
 
 def decontamination_report(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: Any) -> DataFrame:

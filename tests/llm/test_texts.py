@@ -67,9 +67,12 @@ def test_decontamination_of_edge_rows(spark, edges, empty):
     assert decontaminate.clean(edges, items.limit(0)).count() == edges.count()
 
 
-def test_cut_spans_leaves_the_rest_as_it_is():
-    assert decontaminate.cut_spans("A, b; c. D!".encode(), [1, 3]) == "A, . D!"
-    assert decontaminate.cut_spans("A, b; c. D!".encode(), [1, 3], longer_than=2) == "A, b; c. D!"
+def test_spans_leave_the_rest_as_it_is(spark):
+    docs = spark.createDataFrame([(1, "É, b; c. D! é z y x w v u t s r q p"), (2, "b"), (3, "q b c z")], DOCS)
+    items = spark.createDataFrame([(1, "b c"), (2, "é z")], "item_id bigint, text string")
+    for shard_words in (10_000, 1):
+        found = decontaminate.clean(docs, items, max_coverage=0.7, shard_words=shard_words)
+        assert {tuple(r) for r in found.collect()} == {(1, "É, . D!  y x w v u t s r q p"), (2, "b"), (3, "q  z")}
 
 
 def test_peeling_recovers_the_differences():
