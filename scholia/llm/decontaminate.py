@@ -133,7 +133,7 @@ class ItemAutomaton(SuffixAutomaton):
 
 def _pieces(item: str, text: bytes | None, most: int, window: int) -> Iterator[tuple[str, bytes | None]]:
     """An item of very many words as overlapping pieces with the same windows."""
-    words = words_of(text)
+    words, most = words_of(text), max(most, 2 * window)
     if len(words) <= most:
         yield item, text
         return
