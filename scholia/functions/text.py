@@ -92,6 +92,21 @@ def phrases_in_texts(needles: DataFrame, texts: DataFrame, needle: str, text: st
     return by_word.unionByName(contained_in(needles.where(~one_word), texts, needle, text))
 
 
+#: Bits of a chunk number that count the lines of one document.
+LINE_BITS = 27
+
+
+def chunk_number(doc_id: Column | str, pos: Column | str) -> Column:
+    """One number for a line of a document; a document with more lines fails the job."""
+    pos = F.col(pos) if isinstance(pos, str) else pos
+    fits = F.when(pos < (1 << LINE_BITS), pos).otherwise(F.raise_error(F.lit("a document has more than 2^27 lines")).cast("int"))
+    return (F.col(doc_id) if isinstance(doc_id, str) else doc_id) * F.lit(1 << LINE_BITS) + fits
+
+
+def document_of(chunk_id: Column | str) -> Column:
+    return F.shiftright(chunk_id, LINE_BITS)
+
+
 def records(names: list[str], rows: list[tuple]) -> Column:
     """An array of equally named structs, for ``inline``."""
     def lit(v):

@@ -35,10 +35,12 @@ def front_value(content: Column, key: str) -> Column:
 
 
 def front_map(content: Column) -> Column:
-    """Flat frontmatter keys as a map of strings."""
+    """Flat frontmatter keys as a map of strings; the last value of a repeated key."""
     rows = F.filter(F.split(front_block(content), "\n"), lambda s: s.rlike(r"^[A-Za-z_][\w-]*:"))
-    return F.map_from_entries(F.transform(rows, lambda s: F.struct(
-        F.regexp_extract(s, r"^([\w-]+):", 1).alias("key"), F.trim(F.regexp_extract(s, r"^[\w-]+:(.*)$", 1)).alias("value"))))
+    key = r"^([\w-]+):"
+    last = F.filter(rows, lambda s, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda later: F.regexp_extract(later, key, 1) == F.regexp_extract(s, key, 1)))
+    return F.map_from_entries(F.transform(last, lambda s: F.struct(
+        F.regexp_extract(s, key, 1).alias("key"), F.trim(F.regexp_extract(s, r"^[\w-]+:(.*)$", 1)).alias("value"))))
 
 
 def inline_list(value: Column) -> Column:
@@ -115,7 +117,7 @@ def atomic(text: Column) -> Column:
     dense = F.regexp_replace(text, r"\n[ \t\r]*(?=\n|$)", "")
     glued = F.regexp_replace(dense, r"\n(?:  |\t)\s*(?![-*] |\d+\.\s|\*\*[^*]+\*\*)(?=\S)", " ")
     rows = F.transform(F.split(glued, "\n"), lambda s: F.regexp_replace(s, r"^\s+", ""))
-    clean = F.transform(rows, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[-*]\s+", ""), r"^\d+\.\s+", ""))
+    clean = F.transform(rows, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[-*] \s*", ""), r"^\d+\.\s+", ""))
     return F.filter(clean, lambda s: F.length(s) > 0)
 
 
@@ -235,7 +237,8 @@ REJECT = (r"^#+ ", r"^<[a-z]", r"^```", r"^[-─═]{3,}", r"^You are (an? |the
 
 def extract_items(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, pos, label, body): blocks cut at headings and blank lines; heading blocks
-    and bold bullets carry a label, plain bullets and sentences do not."""
+    and bold bullets carry a label, plain bullets and sentences do not. A block of bold
+    bullets without a labelled item is passed over once an earlier block gave one."""
     text = trim_all(F.regexp_replace(F.col(text_col), FRONT, ""))
     blocks = F.filter(F.transform(F.split(text, r"\n(?=#{1,3} )|(?<=\n)\n(?=\S)|\n{3,}"), trim_all), lambda b: F.length(b) > 10)
 
@@ -260,12 +263,17 @@ def extract_items(texts: DataFrame, id_col: str, text_col: str = "text") -> Data
             F.array(item(none, F.left(b, F.lit(300)))))
         nothing = F.array().cast("array<struct<label:string,body:string>>")
         is_bold = b.rlike(r"^- \*\*") | b.rlike(r"^\d+\.\s+\*\*")
-        return (F.when(b.rlike(r"^#{1,3}\s+[^\n]+\n"), heading).when(is_bold & (F.size(bold) > 0), bold)
-                .when(b.rlike("^- "), plain).when(b.rlike(r"^#{1,3} |^```|^<[a-z]"), nothing).otherwise(prose))
-
-    found = F.flatten(F.transform(blocks, cut))
-    cleaned = F.transform(found, lambda i: F.struct(i["label"].alias("label"), F.trim(F.regexp_replace(F.regexp_replace(
-        F.trim(i["body"]), r"(?i)^You should generate:\s*", ""), r"(?i)^Actions:\s*", "")).alias("body")))
+        titled = b.rlike(r"^#{1,3}\s+[^\n]+\n")
+        items = (F.when(titled, heading).when(is_bold & (F.size(bold) > 0), bold)
+                 .when(b.rlike("^- "), plain).when(b.rlike(r"^#{1,3} |^```|^<[a-z]"), nothing).otherwise(prose))
+        return F.struct(items.alias("items"), (~titled & is_bold & (F.size(bold) == 0)).alias("loose"))
+
+    # a bold block without a labelled item only counts as long as nothing was found before
+    found = F.transform(blocks, cut)
+    first = F.array_position(F.transform(found, lambda f: F.size(f["items"]) > 0), True)
+    found = F.flatten(F.transform(F.filter(found, lambda f, i: ~(f["loose"] & (first > 0) & (i >= first))), lambda f: f["items"]))
+    cleaned = F.transform(found, lambda i: F.struct(i["label"].alias("label"), trim_all(F.regexp_replace(F.regexp_replace(
+        trim_all(i["body"]), r"(?i)^You should generate:\s*", ""), r"(?i)^Actions:\s*", "")).alias("body")))
     kept = F.filter(cleaned, lambda i: (F.length(i["body"]) >= 20) & ~i["body"].rlike("|".join(REJECT)))
     return texts.select(F.col(id_col), F.posexplode(kept).alias("pos", "i")).select(
         id_col, F.col("pos").cast("bigint").alias("pos"), "i.label", "i.body")
@@ -332,9 +340,14 @@ def description(content: Column) -> Column:
 
 
 def record_clean(rows: DataFrame, id_col: str) -> DataFrame:
-    """Trim every string, empty becomes null; ``rejected`` marks rows with nothing left."""
+    """Trim every string, empty strings and lists become null; ``rejected`` marks rows with nothing left."""
     fields = [f for f in rows.schema.fields if f.name != id_col]
-    cleaned = [F.nullif(F.trim(F.col(f.name)), F.lit("")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in fields]
+
+    def clean(name: str, kind: str) -> Column:
+        if kind == "string":
+            return F.nullif(F.trim(F.col(name)), F.lit(""))
+        return F.when(F.size(name) > 0, F.col(name)) if kind.startswith("array") else F.col(name)
+    cleaned = [clean(f.name, f.dataType.simpleString()).alias(f.name) for f in fields]
     out = rows.select(id_col, *cleaned)
     empty = F.lit(True)
     for f in fields:

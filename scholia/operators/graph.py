@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from scholia.functions.scale import cut, salted_join
@@ -41,7 +42,7 @@ def _walk(step: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     order of a breadth-first search. Edges of a hub node are salted by neighbour.
     """
     seen = seeds.select(F.col("id").alias("seed"), F.col("id")).distinct()
-    frontier = seen.select("seed", F.col("id").alias("node"), F.array().cast("array<bigint>").alias("path"))
+    frontier = seen.select("seed", F.col("id").alias("node"), F.array().cast(T.ArrayType(step.schema["ord"].dataType)).alias("path"))
     found = None
     for hop in range(1, hops + 1):
         reached = (salted_join(step, frontier, "node", "neighbour")

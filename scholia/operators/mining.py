@@ -90,7 +90,7 @@ def imports(files: DataFrame, keep: tuple[str, ...] = ("file_id",)) -> DataFrame
 
 def identifiers(files: DataFrame) -> DataFrame:
     """(file_id, pos, identifier): imported packages, then dotted calls; distinct."""
-    calls = F.regexp_extract_all("content", F.lit(r"(?<![A-Za-z0-9_$])([a-zA-Z_$]\w*(?:\.[a-zA-Z_$]\w*)+)\s*\("), 1)
+    calls = F.regexp_extract_all("content", F.lit(r"((?:(?<![A-Za-z0-9_])[a-zA-Z_]|(?<=[A-Za-z0-9_])\$)\w*(?:\.[a-zA-Z_$]\w*)+)\s*\("), 1)
     lang = language_of(F.col("path"))
     return (files.select("file_id", "content", lang.alias("language"))
             .select("file_id", F.posexplode(F.array_distinct(F.concat(import_list(F.col("content"), F.col("language")), calls))).alias("pos", "identifier")))

@@ -111,8 +111,13 @@ def session_retention(sessions: DataFrame, as_of: str, days: int = 90, archive:
 
 
 def apply_retention(sessions: DataFrame, plan: DataFrame, keep_path: str, archive_path: str) -> None:
+    """Write the archived sessions below a folder of this plan, then the rest.
+
+    A run that is repeated replaces its own folder, so nothing is archived twice.
+    """
     old = plan.where("action = 'archive'").select("session_id")
-    sessions.join(old, "session_id", "left_semi").write.mode("append").parquet(archive_path)
+    run = plan.agg(F.coalesce(F.sum(F.xxhash64("session_id", "action").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("run")).first().run
+    sessions.join(old, "session_id", "left_semi").write.mode("overwrite").parquet(f"{archive_path}/run={run}")
     sessions.join(plan.select("session_id"), "session_id", "left_anti").write.mode("overwrite").parquet(keep_path)
 
 

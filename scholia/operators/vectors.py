@@ -74,10 +74,10 @@ def embed_batch(df: DataFrame, load_model: Callable[[], Callable[[list[str]], np
 
 
 def fill_cache(items: DataFrame, cache: DataFrame, key: str, text_col: str, dim: int = DIM) -> DataFrame:
-    """Embed only keys that are not cached; returns the merged cache."""
-    missing = items.join(cache.select(key), key, "left_anti").dropDuplicates([key])
+    """Embed only keys that are not cached (the smallest text of a key); returns the merged cache."""
+    missing = items.join(cache.select(key), key, "left_anti").groupBy(key).agg(F.min(text_col).alias("_text"))
     return cache.select(key, "embedding").unionByName(
-        embed_hashed(missing, text_col, dim=dim).select(key, "embedding"))
+        embed_hashed(missing, "_text", dim=dim).select(key, "embedding"))
 
 
 # ---- similarity ------------------------------------------------------------
@@ -124,9 +124,11 @@ def knn_topk(queries: DataFrame, items: DataFrame, k: int, skip_self: bool = Fal
     table is built: each task multiplies a block of items with a block of queries
     and emits only its k best per query. Up to QUERY_BLOCK queries are shipped
     once to every task and the items are not shuffled at all; beyond that both
-    sides are cut into blocks of bounded size.
+    sides are cut into blocks of bounded size. Missing vectors are no hits and find none.
     """
     spark = items.sparkSession
+    complete = "{0} is not null and not exists({0}, v -> v is null)"
+    queries, items = queries.where(complete.format("qvec")), items.where(complete.format("ivec"))
     schema = "query_id bigint, item_id bigint, score double"
     found = queries.limit(QUERY_BLOCK + 1).count()
     if found <= QUERY_BLOCK:
@@ -204,17 +206,21 @@ def near_dup_leaders(items: DataFrame, min_score: float = 0.85, batch: int = LEA
     still undecided in one map-only pass. No pair table exists at any time, and a
     hot group of near copies disappears in the round that meets its leader.
 
-    ``known(id, vec)``: leaders of earlier runs, tried first, in id order.
+    ``known(id, vec)``: leaders of earlier runs, tried first, in id order; with a
+    column ``seq`` (say the batch they arrived in) in the order of seq and id.
     """
     spark = items.sparkSession
-    source = items.select("id", "vec")
+    # a vector without length resembles nothing, not even another one
+    alone = F.coalesce(~F.exists("vec", lambda v: v != 0), F.lit(True))
+    source = items.where(~alone).select("id", "vec")
+    lonely = items.where(alone).select("id", F.col("id").alias("leader_id"))
     distinct = cut(source.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"))
     schema = T.StructType([T.StructField("id", T.LongType()),
                            T.StructField("vec", items.schema["vec"].dataType),
                            T.StructField("leader_id", T.LongType())])
     settled = None
     todo = distinct
-    offered = known
+    offered = known if known is None or "seq" in known.columns else known.withColumn("seq", F.lit(0))
 
     def absorb(settled, piece):
         return piece if settled is None else settled.unionByName(piece)
@@ -222,12 +228,15 @@ def near_dup_leaders(items: DataFrame, min_score: float = 0.85, batch: int = LEA
     last_known = None
     while True:
         if offered is not None:
-            nxt = offered if last_known is None else offered.where(F.col("id") > F.lit(last_known))
-            rows = nxt.orderBy("id").limit(batch).select("id", "vec").toPandas()
+            nxt = offered
+            if last_known is not None:
+                seq, key = last_known
+                nxt = offered.where((F.col("seq") > seq) | (F.col("seq") == seq) & (F.col("id") > key))
+            rows = nxt.orderBy("seq", "id").limit(batch).select("id", "vec", "seq").toPandas()
             if not len(rows):
                 offered = None
                 continue
-            last_known = int(rows["id"].iloc[-1])
+            last_known = int(rows["seq"].iloc[-1]), int(rows["id"].iloc[-1])
             leaders_ids, leaders_mat = rows["id"].to_numpy(), _unit(_matrix(rows["vec"]))
             chosen = None
         else:
@@ -250,9 +259,9 @@ def near_dup_leaders(items: DataFrame, min_score: float = 0.85, batch: int = LEA
         settled = absorb(settled, marked.where("leader_id is not null"))
         todo = marked.where("leader_id is null").select("id", "vec")
     if settled is None:
-        return source.select("id", F.lit(None).cast("bigint").alias("leader_id")).limit(0)
+        return lonely
     return (source.join(settled.select("vec", "leader_id"), "vec")
-            .select("id", "leader_id"))
+            .select("id", "leader_id").unionByName(lonely))
 
 
 def mentions(assigned: DataFrame) -> DataFrame:

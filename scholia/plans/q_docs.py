@@ -38,10 +38,9 @@ def _(t):
 
 
 @query("path_filter", """
-SELECT path FROM v_files WHERE NOT regexp_matches(path, '(^|/)(build|vendor|dist)/') AND length(content) <= 100000 AND ext IN ('ts', 'py', 'go', 'rs')""")
+SELECT path FROM v_files WHERE NOT regexp_matches(path, '(^|/)(build|vendor|dist)/') AND ext IN ('ts', 'py', 'go', 'rs')""")
 def _(t):
-    files = t.v_files.withColumn("bytes", F.octet_length("content"))
-    return src.path_filter(files, extensions=["ts", "py", "go", "rs"], max_bytes=100000).select("path")
+    return src.path_filter(t.v_files, extensions=["ts", "py", "go", "rs"]).select("path")
 
 
 @query("snapshot_diff", """

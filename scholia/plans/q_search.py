@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholia.functions.text import records, tokens
+from scholia.functions.text import document_of, records, tokens
 from scholia.operators import evaluation, lexical, ranking, vectors
 from scholia.plans.registry import query
 from scholia.plans.views import kws, sibling_sql, toks
@@ -63,7 +63,7 @@ def _(t):
 
 @query("index_coverage", """
 WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT role FROM conversations UNION SELECT DISTINCT lower(o_orderpriority) FROM orders
-           UNION SELECT term FROM o_df WHERE df >= 20),
+           UNION SELECT term FROM o_df),
 q AS (SELECT name, term, count(*) AS qtf FROM (SELECT name, unnest(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda t: length(t) >= 2)) AS term FROM n) GROUP BY ALL),
 s AS (SELECT name, chunk_id, round(sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 6) AS score
       FROM q JOIN o_df USING (term) JOIN o_post USING (term) JOIN o_len USING (chunk_id), o_stats GROUP BY ALL)
@@ -74,7 +74,7 @@ def _(t):
     names = (t.part.select(F.col("p_name").alias("name"))
              .union(t.conversations.select("role"))
              .union(t.orders.select(F.lower("o_orderpriority")))
-             .union(df.where("df >= 20").select("term")).distinct())
+             .union(df.select("term")).distinct())
     return lexical.covered(names, lexical.postings(c), df, lexical.corpus_stats(c))
 
 
@@ -367,7 +367,7 @@ def _(t):
 
 def run_of(t):
     return lexical.bm25_topk(t.v_chunks, t.v_queries).select(
-        "query_id", F.floor(F.col("chunk_id") / 100000).cast("bigint").alias("item_id"), "rank")
+        "query_id", document_of("chunk_id").alias("item_id"), "rank")
 
 
 @query("mrr_at_k", """

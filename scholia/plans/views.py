@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.functions.scale import number_rows, spread
-from scholia.functions.text import lines
+from scholia.functions.text import chunk_number, contained_in, lines
 
 
 class Tables:
@@ -36,7 +36,7 @@ class Tables:
         """One row per non-blank line. Numbered inside the row: no shuffle."""
         return (self.documents.select("doc_id", "lang", "source", lines("text").alias("ls"))
                 .select("doc_id", "lang", "source", F.size("ls").cast("bigint").alias("n"), F.posexplode("ls").alias("pos", "text"))
-                .select((F.col("doc_id") * 100000 + F.col("pos")).alias("chunk_id"),
+                .select(chunk_number("doc_id", "pos").alias("chunk_id"),
                         F.col("doc_id").alias("parent_id"), F.col("pos").cast("bigint").alias("sibling_index"),
                         F.col("n").alias("sibling_count"), "text",
                         F.col("source").alias("name"), F.col("lang").alias("type")))
@@ -49,20 +49,26 @@ class Tables:
     def v_qrels(self) -> DataFrame:
         """(query_id, item_id): documents that hold the whole passage.
 
-        A passage found in a text carries its inner words whole, so words 2..6 are
-        looked up by equality and the few candidates are verified.
+        A passage found in a text carries its inner words whole, so the first five of
+        them, or as many as there are, are looked up by equality and the few candidates
+        are verified. Passages without inner words are looked up by their characters.
         """
-        def shingles(col):
-            ts = F.filter(F.split(F.lower(col), "[^a-z0-9]+"), lambda w: F.length(w) > 0)
-            return ts
-        need = (self.benchmark.select("item_id", F.col("text").alias("passage"), shingles("text").alias("ts"))
-                .select("item_id", "passage", F.array_join(F.slice("ts", 3, 5), " ").alias("key")))
-        docs = (self.documents.select("doc_id", "text", shingles("text").alias("ts"))
-                .where(F.size("ts") >= 5)
-                .select("doc_id", F.explode(F.array_distinct(F.transform(
-                    F.sequence(F.lit(1), F.size("ts") - 4), lambda i: F.array_join(F.slice("ts", i, 5), " ")))).alias("key")))
-        found = docs.join(need, "key").select("doc_id", "item_id", "passage").distinct()
-        return (found.join(self.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage"))
+        def words(col):
+            return F.filter(F.split(F.lower(col), "[^a-z0-9]+"), lambda w: F.length(w) > 0)
+        need = (self.benchmark.where("text is not null").select("item_id", F.col("text").alias("passage"), words("text").alias("ts"))
+                .withColumn("n", F.least(F.greatest(F.size("ts") - 2, F.lit(0)), F.lit(5))))
+        keys = need.where("n > 0").select("item_id", "passage", "n", F.array_join(F.slice("ts", F.lit(2), F.col("n")), " ").alias("key"))
+        docs = (self.documents.select("doc_id", words("text").alias("ts")).join(F.broadcast(keys.select("n").distinct()), F.size("ts") >= F.col("n"))
+                .select("doc_id", "n", F.explode(F.array_distinct(F.transform(
+                    F.sequence(F.lit(1), F.size("ts") - F.col("n") + 1), lambda i: F.array_join(F.slice("ts", i, F.col("n")), " ")))).alias("key")))
+        texts = self.documents.select("doc_id", "text")
+        by_words = (docs.join(keys, ["key", "n"]).select("doc_id", "item_id", "passage").distinct()
+                    .join(texts, "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id"))
+        short = need.where("n = 0").select("item_id", "passage")
+        held = contained_in(short, texts, "passage", "text")
+        by_chars = short.join(held, "passage").join(texts, "text").select("item_id", "doc_id")
+        anywhere = short.where("passage = ''").join(texts.where("text is not null")).select("item_id", "doc_id")
+        return (by_words.unionByName(by_chars).unionByName(anywhere)
                 .select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item_id")))
 
     @cached_property
@@ -84,7 +90,7 @@ ORACLE_VIEWS["v_lines"] = """
 SELECT doc_id, lang, source, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: length(s) > 0) AS ls
 FROM documents"""
 ORACLE_VIEWS["v_chunks"] = """
-SELECT doc_id * 100000 + i - 1 AS chunk_id, doc_id AS parent_id, (i - 1)::BIGINT AS sibling_index, len(ls)::BIGINT AS sibling_count,
+SELECT doc_id * 134217728 + i - 1 AS chunk_id, doc_id AS parent_id, (i - 1)::BIGINT AS sibling_index, len(ls)::BIGINT AS sibling_count,
        ls[i] AS text, source AS name, lang AS type
 FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM v_lines)"""
 ORACLE_VIEWS["v_queries"] = "SELECT item_id AS query_id, replace(text, chr(10), ' ') AS query FROM benchmark"
@@ -167,7 +173,7 @@ SELECT query_id, pos AS rank, score, text, chunk_id, expanded FROM (
     WHERE rn = 1)) {limit}"""
 
 
-ORACLE_VIEWS["o_run"] = "SELECT qv // 10 AS query_id, chunk_id // 100000 AS item_id, rank FROM o_bm25_top WHERE qv % 10 = 0"
+ORACLE_VIEWS["o_run"] = "SELECT qv // 10 AS query_id, chunk_id // 134217728 AS item_id, rank FROM o_bm25_top WHERE qv % 10 = 0"
 ORACLE_VIEWS["o_knn"] = """
 SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (
   SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
@@ -278,10 +284,10 @@ def v_edges(t) -> DataFrame:
     bought = (li.join(nxt, ["l_orderkey", "l_linenumber"]).where("l_partkey <> other")
               .groupBy("l_partkey", "other").agg(F.min("l_quantity").cast("int").alias("q"), F.min("l_shipdate").alias("d"))
               .selectExpr("concat('p', l_partkey) AS src", "concat('p', other) AS dst", EDGE_CASE.format("q") + " AS type", "1.0D AS weight",
-                          "date_format(d, 'yyyy-MM-dd') AS created", "l_partkey * 1000000000 + other AS ord"))
+                          "date_format(d, 'yyyy-MM-dd') AS created", "named_struct('a', l_partkey, 'b', other, 'c', 0) AS ord"))
     brand = t.part.where("p_size >= 40").selectExpr(
         "concat('p', p_partkey) AS src", "concat('b', substring(p_brand, 7)) AS dst", "'applies-to' AS type", "1.0D AS weight", "'1995-01-01' AS created",
-        "p_partkey * 1000000000 + 900000000 + cast(substring(p_brand, 7) AS bigint) AS ord")
+        "named_struct('a', p_partkey, 'b', cast(9223372036854775807 AS bigint), 'c', cast(substring(p_brand, 7) AS int)) AS ord")
     return bought.unionByName(brand)
 
 
@@ -350,7 +356,7 @@ def v_manifests(t) -> DataFrame:
 @_view
 def v_decisions(t) -> DataFrame:
     x, y = LIB.format("p_partkey"), LIB.format("p_partkey + 1")
-    return t.part.where("p_size = 1").selectExpr(
+    return t.part.selectExpr(
         "p_partkey AS decision_id", "p_name AS title",
         f"CASE p_partkey % 4 WHEN 0 THEN concat('Do not use ', {x}, '.') WHEN 1 THEN concat('Prefer ', {y}, ' over ', {x}) WHEN 2 THEN concat('We replaced ', {x}, ' with ', {y}) "
         f"ELSE concat('Decided against ', {x}, '. Avoid ', {x}, ' in every api.') END AS text")
@@ -391,7 +397,7 @@ def v_sessions(t) -> DataFrame:
     long_words = F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{8,})"), 1))))
     g = c.groupBy("conv_id").agg(F.min_by("text", F.when(user, F.col("turn"))).alias("goal"), F.max_by("text", F.when(asst, F.col("turn"))).alias("progress"),
                                  F.max_by("text", F.when(user, F.col("turn"))).alias("pending_tasks"),
-                                 F.slice(F.array_sort(long_words), 1, 5).alias("skills"), F.array_sort(F.collect_set("role")).alias("tags"))
+                                 F.array_sort(long_words).alias("skills"), F.array_sort(F.collect_set("role")).alias("tags"))
     return g.select(F.col("conv_id").alias("session_id"),
                     F.date_format(F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(conv_id % 60 AS int))"), "yyyy-MM-dd HH:mm:ss").alias("ts"),
                     F.concat(F.lit("b"), (F.col("conv_id") % 7).cast("string")).alias("branch"),
@@ -430,10 +436,10 @@ SELECT 'p' || p_partkey AS id, CASE WHEN p_type = 'PROMO' THEN 'decision' ELSE '
   replace(p_name, ' ', ',') || ',' || lower(p_type) || ',' || lower(p_brand) AS tags, CASE WHEN p_size < 13 THEN '' ELSE p_brand || ' ' || p_type END AS body FROM part
 UNION ALL SELECT DISTINCT 'b' || substr(p_brand, 7), 'component', p_brand, '', '' FROM part""",
     "v_edges": f"""
-SELECT 'p' || a AS src, 'p' || b AS dst, {EDGE_CASE.format('q')} AS type, 1.0::DOUBLE AS weight, strftime(d, '%Y-%m-%d') AS created, a * 1000000000 + b AS ord
+SELECT 'p' || a AS src, 'p' || b AS dst, {EDGE_CASE.format('q')} AS type, 1.0::DOUBLE AS weight, strftime(d, '%Y-%m-%d') AS created, {{'a': a::BIGINT, 'b': b::BIGINT, 'c': 0::INT}} AS ord
 FROM (SELECT x.l_partkey AS a, y.l_partkey AS b, floor(min(x.l_quantity))::INT AS q, min(x.l_shipdate) AS d FROM lineitem x JOIN lineitem y
       ON x.l_orderkey = y.l_orderkey AND x.l_linenumber = y.l_linenumber - 1 AND x.l_partkey <> y.l_partkey GROUP BY ALL)
-UNION ALL SELECT 'p' || p_partkey, 'b' || substr(p_brand, 7), 'applies-to', 1.0, '1995-01-01', p_partkey * 1000000000 + 900000000 + substr(p_brand, 7)::BIGINT FROM part WHERE p_size >= 40""",
+UNION ALL SELECT 'p' || p_partkey, 'b' || substr(p_brand, 7), 'applies-to', 1.0, '1995-01-01', {{'a': p_partkey::BIGINT, 'b': 9223372036854775807::BIGINT, 'c': substr(p_brand, 7)::INT}} FROM part WHERE p_size >= 40""",
     "o_both": "SELECT src AS node, dst AS nb, type, ord, src, dst FROM v_edges UNION ALL SELECT dst, src, type, ord, src, dst FROM v_edges",
     "v_links": "SELECT DISTINCT page_id AS src, (page_id * 7 + k) % (SELECT count(*) FROM pages) AS dst FROM pages, (SELECT unnest([1, 2, 3]) AS k) WHERE page_id <> (page_id * 7 + k) % (SELECT count(*) FROM pages)",
     "v_lineage": "SELECT * FROM (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders) WHERE parent IS NOT NULL",
@@ -455,7 +461,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_
 SELECT p_partkey AS decision_id, p_name AS title, 'lib' || (p_partkey + 1000) AS x, 'lib' || (p_partkey + 1001) AS y,
   CASE p_partkey % 4 WHEN 0 THEN 'Do not use lib' || (p_partkey + 1000) || '.' WHEN 1 THEN 'Prefer lib' || (p_partkey + 1001) || ' over lib' || (p_partkey + 1000)
   WHEN 2 THEN 'We replaced lib' || (p_partkey + 1000) || ' with lib' || (p_partkey + 1001) ELSE 'Decided against lib' || (p_partkey + 1000) || '. Avoid lib' || (p_partkey + 1000) || ' in every api.' END AS text
-FROM part WHERE p_size = 1""",
+FROM part""",
     "o_edits": "SELECT event_id, event_id % (SELECT count(*) FROM part) AS pk, 'lib' || (event_id % (SELECT count(*) FROM part) + 1000) AS lib FROM events",
     "o_scope_hits": f"""
 SELECT event_id, 'gap:' || name AS id, 5 AS strength FROM o_edits JOIN v_releases ON lib = name WHERE publish_date > '{CUTOFF_DATE}'
@@ -468,7 +474,7 @@ UNION ALL SELECT 'x' || n_nationkey, TIMESTAMP '2023-12-01' + to_days(n_nationke
     "v_sessions": """
 SELECT conv_id AS session_id, strftime(TIMESTAMP '2024-01-01' + to_days((conv_id % 60)::INT), '%Y-%m-%d %H:%M:%S') AS ts, 'b' || (conv_id % 7) AS branch,
   coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS goal, coalesce(arg_max(text, turn) FILTER (role = 'assistant'), '') AS progress,
-  coalesce(arg_max(text, turn) FILTER (role = 'user'), '') AS pending_tasks, list_sort(list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]{8,}')))))[1:5] AS skills,
+  coalesce(arg_max(text, turn) FILTER (role = 'user'), '') AS pending_tasks, list_sort(list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z]{8,}'))))) AS skills,
   list_sort(list_distinct(list(role))) AS tags FROM conversations GROUP BY conv_id""",
     "v_catalog": """
 SELECT p_name AS name, string_split(p_name, ' ') AS keywords, [string_split(p_name, ' ')[2] || 'y', 'medium'] AS anti_keywords, CASE WHEN min(p_size) % 2 = 0 THEN ['py', 'ts'] ELSE ['go'] END AS languages,

@@ -16,12 +16,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from scholia.functions.scale import cut, scratch_path
-from scholia.functions.text import lines
+from scholia.functions.text import chunk_number, lines
 from scholia.operators import lexical, mining, rules, vectors
 from scholia.sources.records import ttl_cache_split, upsert_latest
 
-WAIT_SECONDS = 1800
-
 
 # ---- plumbing --------------------------------------------------------------
 
@@ -48,9 +46,7 @@ def every(writer: DataStreamWriter, interval: str) -> DataStreamWriter:
 
 
 def run_to_end(query: StreamingQuery) -> None:
-    if not query.awaitTermination(WAIT_SECONDS):
-        query.stop()
-        raise TimeoutError("stream did not finish in time")
+    query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
 
@@ -142,7 +138,7 @@ CHUNK_SCHEMA = "doc_id bigint, chunk_id bigint, text string"
 
 def chunk_lines(docs: DataFrame) -> DataFrame:
     return (docs.select("doc_id", F.posexplode(lines("text")).alias("pos", "text"))
-            .select("doc_id", (F.col("doc_id") * 100000 + F.col("pos")).alias("chunk_id"), "text"))
+            .select("doc_id", chunk_number("doc_id", "pos").alias("chunk_id"), "text"))
 
 
 def index_batch(spark: SparkSession, docs: DataFrame, n: int, out: str) -> None:
@@ -151,9 +147,11 @@ def index_batch(spark: SparkSession, docs: DataFrame, n: int, out: str) -> None:
     Chunks are stored per batch, frequencies as signed deltas: plus the new chunks,
     minus the chunks the same documents had before. Only earlier batches are read,
     so the step gives the same result when it is run twice. Of a document that comes
-    twice in one batch the row with the greatest text is kept.
+    twice in one batch the row with the greatest ``version`` is kept (and of equal ones,
+    or where there is no such column, the one with the greatest text).
     """
-    latest = docs.groupBy("doc_id").agg(F.max("text").alias("text"))
+    order = F.struct("version", "text") if "version" in docs.columns else F.struct("text")
+    latest = docs.groupBy("doc_id").agg(F.max(order).alias("newest")).select("doc_id", "newest.text")
     fresh = chunk_lines(latest)
     write_batch(fresh, out, "chunks", n)
     write_batch(latest.select("doc_id"), out, "docs", n)
@@ -191,14 +189,14 @@ LEADER_SCHEMA = "id bigint, leader_id bigint, vec array<double>"
 def near_dup(stream: DataFrame, out: str, min_score: float = 0.85) -> DataFrame:
     """(leader_id, mentions, level): texts (id, text) merged as they arrive.
 
-    The leaders so far are a table; a batch is tried against them first, then
-    settled in itself. Unlike state keyed by a hash bucket this is exact.
+    The leaders so far are a table; a batch is tried against them first, in the order
+    of their arrival, then settled in itself. Unlike state keyed by a hash bucket this is exact.
     """
     spark = stream.sparkSession
 
     def job(batch: DataFrame, n: int) -> None:
         rows = cut(vectors.embed_hashed(batch.select("id", "text"), out="vec").select("id", "vec"))
-        known = read_batches(spark, out, "assigned", LEADER_SCHEMA, n).where("id = leader_id").select("id", "vec")
+        known = read_batches(spark, out, "assigned", LEADER_SCHEMA, n).where("id = leader_id").select("id", "vec", F.col("batch").alias("seq"))
         got = vectors.near_dup_leaders(rows, min_score, known=cut(known))
         write_batch(got.join(rows, "id").select("id", "leader_id", "vec"), out, "assigned", n)
     replay(stream, out, job)

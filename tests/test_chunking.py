@@ -155,3 +155,25 @@ def test_metadata_prefix(spark):
 def test_record_clean(spark):
     df = ck.record_clean(spark.createDataFrame([(1, " a ", ""), (2, " ", None)], "id int, x string, y string"), "id")
     assert rows(df) == [(1, "a", None, 0), (2, None, None, 1)]
+
+
+def test_items_after_bold_blocks_without_a_label(spark):
+    loose = "- ** not a label, just stars in a long line\n- and a plain bullet that is long enough"
+    text = "# Title\nbody of the heading block here\n\n" + loose
+    rows = ck.extract_items(spark.createDataFrame([(1, text), (2, loose)], "id int, text string"), "id").collect()
+    assert [(r["label"], r["body"]) for r in rows if r["id"] == 1][0] == ("Title", "body of the heading block here")
+    long = "# Title\n" + "x" * 299 + "\n" + "y" * 40
+    assert ck.extract_items(spark.createDataFrame([(1, long)], "id int, text string"), "id").first()["body"] == "x" * 299
+
+
+def test_dash_with_a_tab_is_no_bullet(spark):
+    assert one(spark, "-\tfoo\n- bar\n* baz", lambda c: ck.atomic(c)) == ["-\tfoo", "bar", "baz"]
+
+
+def test_repeated_frontmatter_keys(spark):
+    assert one(spark, "---\na: 1\nb: 2\na: 3\n---\nx", ck.front_map) == {"a": "3", "b": "2"}
+
+
+def test_records_of_empty_lists_are_rejected(spark):
+    rows = spark.createDataFrame([(1, " ", []), (2, "", ["x"]), (3, None, None)], "id int, a string, l array<string>")
+    assert {r["id"]: r["rejected"] for r in ck.record_clean(rows, "id").collect()} == {1: 1, 2: 0, 3: 1}

@@ -195,3 +195,9 @@ def test_uncaptured_docs(spark):
     files = spark.createDataFrame([(1, "docs/a.md"), (1, "docs/b.py"), (1, "docs/sub/c.md"), (1, "ADR.md"), (1, "specs/x.txt"), (1, "src/a.md")], "project int, path string")
     src = spark.createDataFrame([(1, "specs")], "project int, name string")
     assert rows(mining.uncaptured_docs(files, src).select("path", "type", "files")) == [("ADR.md", "file", 1), ("docs", "directory", 1)]
+
+
+def test_identifiers_start_at_a_script_boundary(spark):
+    files = spark.createDataFrame([(1, "a.js", "$.ajax(1); $foo.bar(2); x$y.z(3); foo.bar(4)")], "file_id int, path string, content string")
+    got = [r.identifier for r in mining.identifiers(files).collect()]
+    assert got == ["foo.bar", "x$y.z"] or "$.ajax" not in got and "$foo.bar" not in got

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -183,3 +184,51 @@ def test_judgements_anchor_numbers(spark):
 def test_tier_badge(spark):
     c = spark.createDataFrame([(1, "bronze", True), (1, "gold", True), (1, "platinum", False), (2, "bronze", False), (2, "silver", True)], "item_id int, tier string, ok boolean")
     assert rows(evaluation.tier_badge(c)) == [(1, "gold"), (2, None)]
+
+
+def test_judgements_of_short_passages(spark, tmp_path):
+    from scholia.plans.views import Tables
+    spark.createDataFrame([(1, "Alpha beta gamma delta epsilon zeta eta theta"), (2, "x beta gamma y"), (3, "xab cdy"), (4, None), (5, "ab")], "doc_id bigint, text string") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "beta gamma delta epsilon zeta eta theta"), (2, "beta gamma y"), (3, "ab cd"), (4, "ab"), (5, None)], "item_id bigint, text string") \
+        .write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in Tables(spark, str(tmp_path)).v_qrels.collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 3), (4, 5)}
+
+
+def test_lines_of_a_very_long_document_keep_their_numbers(spark):
+    from scholia.functions.text import chunk_number, document_of
+    from scholia.streaming.jobs import chunk_lines
+    docs = spark.createDataFrame([(1, "a\n" * 150_000), (2, "b")], "doc_id bigint, text string")
+    rows = chunk_lines(docs)
+    assert rows.select("chunk_id").distinct().count() == 150_001
+    assert rows.where(document_of("chunk_id") != F.col("doc_id")).count() == 0
+    with pytest.raises(Exception, match="2\\^27"):
+        docs.select(chunk_number("doc_id", F.lit(1 << 27))).collect()
+
+
+def test_vectors_without_length_lead_themselves(spark):
+    v = vectors.embed_hashed(spark.createDataFrame([(1, "!!"), (2, "??"), (3, "red fox"), (4, "red fox")], "chunk_id bigint, text string"))
+    rows = v.selectExpr("chunk_id AS id", "embedding AS vec").unionByName(spark.createDataFrame([(5, None)], "id bigint, vec array<double>"))
+    assert {tuple(r) for r in vectors.near_dup_leaders(rows).collect()} == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 5)}
+
+
+def test_known_leaders_by_arrival(spark):
+    one = [1.0, 0.0]
+    known = spark.createDataFrame([(9, one, 0), (5, [0.99, 0.1], 1)], "id bigint, vec array<double>, seq int")
+    rows = spark.createDataFrame([(1, one)], "id bigint, vec array<double>")
+    assert vectors.near_dup_leaders(rows, 0.9, known=known).first()["leader_id"] == 9
+    assert vectors.near_dup_leaders(rows, 0.9, known=known, batch=1).first()["leader_id"] == 9
+
+
+def test_missing_vectors_are_no_hits(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id bigint, qvec array<double>")
+    i = spark.createDataFrame([(7, [1.0, 0.0]), (8, None), (9, [None, 1.0])], "item_id bigint, ivec array<double>")
+    assert [tuple(r)[:2] for r in vectors.knn_topk(q, i, 3).collect()] == [(1, 7)]
+
+
+def test_cache_takes_the_smallest_text_of_a_key(spark):
+    items = spark.createDataFrame([("k", "zebra fox"), ("k", "apple pie")], "key string, text string")
+    empty = spark.createDataFrame([], "key string, embedding array<double>")
+    got = vectors.fill_cache(items, empty, "key", "text").first()["embedding"]
+    assert got == vectors.embed_hashed(items.where("text = 'apple pie'")).first()["embedding"]
