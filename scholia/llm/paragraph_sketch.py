@@ -15,7 +15,7 @@ it is 1 for two texts without pieces. Nulls are empty texts.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,7 +152,7 @@ def likeness(old: list[np.ndarray], new: list[np.ndarray]) -> list[float]:
 
 def compare(text: Column | str, others: Column) -> Column:
     """Struct of the fingerprint of a text and, for each text of an array, its
-    fingerprint, its likeness to the text, and the digests that went and came."""
+    fingerprint and its likeness to the text."""
     schema = "struct<fingerprint:string,others:array<struct<fingerprint:string,near:double>>>"
     kind = to_arrow(schema)
 
