@@ -35,6 +35,14 @@ BITS = 64
 #: Variants that one group of leading bits should have (8 bytes each while it is worked on).
 GROUP_VARIANTS = 1 << 20
 SEED = 42
+#: Near copies in a pipeline: words of a shingle, Jaccard similarity, share of such pairs
+#: that should meet, and bits of the smallest view.
+PAIR_SHINGLE = 5
+SIMILARITY = 0.8
+RECALL = 0.97
+LEAST_BITS = 24
+#: Variants of one group of leading bits of a view.
+PAIR_VARIANTS = 1 << 22
 
 
 def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -76,16 +84,15 @@ def flips(bits: int, most: int) -> list[int]:
     return [sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(bits), k)]
 
 
-def leading_bits(n: int, radius: int, group_variants: int = GROUP_VARIANTS) -> int:
+def leading_bits(n: int, radius: int, group_variants: int = GROUP_VARIANTS, bits: int = BITS) -> int:
     """Leading bits for ``n`` fingerprints: about ``group_variants`` variants in a group."""
-    variants = n * len(flips(BITS, radius))
+    variants = n * len(flips(bits, radius))
     return min(40, max(1, math.ceil(math.log2(max(2, variants / group_variants)))))
 
 
-def _links_of_group(prints: np.ndarray, group: int, lead: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs among the fingerprints that can reach the leading bits ``group``."""
-    prints = np.unique(prints)
-    rest = BITS - lead
+def _meetings(prints: np.ndarray, group: int, bits: int, lead: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs of fingerprints that share a variant with the leading bits ``group``."""
+    rest = bits - lead
     used = np.bitwise_count((prints >> np.uint64(rest)) ^ np.uint64(group))
     low = prints & np.uint64((1 << rest) - 1)
     variants, owners = [], []
@@ -100,9 +107,16 @@ def _links_of_group(prints: np.ndarray, group: int, lead: int, radius: int) -> t
     same = np.flatnonzero(variant[1:] == variant[:-1])
     a, b = owner[same], owner[same + 1]
     pairs = np.unique(np.minimum(a, b) * len(prints) + np.maximum(a, b))
-    x, y = prints[pairs // len(prints)], prints[pairs % len(prints)]
-    near = np.bitwise_count(x ^ y) <= 2 * radius
-    return x[near].view(np.int64), y[near].view(np.int64)
+    a, b = pairs // len(prints), pairs % len(prints)
+    near = np.bitwise_count(prints[a] ^ prints[b]) <= 2 * radius
+    return a[near], b[near]
+
+
+def _links_of_group(prints: np.ndarray, group: int, lead: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs among the fingerprints that can reach the leading bits ``group``."""
+    prints = np.unique(prints)
+    a, b = _meetings(prints, group, BITS, lead, radius)
+    return prints[a].view(np.int64), prints[b].view(np.int64)
 
 
 def ball_links(prints: DataFrame, col: str = "fp", radius: int = RADIUS, group_variants: int = GROUP_VARIANTS) -> DataFrame:
@@ -137,14 +151,107 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+# ---- near copies of a given similarity -----------------------------------
+
+def bits_for(n: int, radius: int = RADIUS) -> int:
+    """Bits of a view: unrelated texts then make about as many pairs as there are texts."""
+    bits = LEAST_BITS
+    while bits < BITS and sum(math.comb(bits, k) for k in range(radius + 1)) / 2.0 ** bits * n > 2:
+        bits += 1
+    return bits
+
+
+def views_for(bits: int, similarity: float, recall: float = RECALL, radius: int = RADIUS) -> int:
+    """Views that a pair of this similarity needs to meet in one of them so often."""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    meet = sum(math.comb(bits, k) * differ ** k * (1 - differ) ** (bits - k) for k in range(radius + 1))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(meet, 0.999))))
+
+
+_BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+
+
+def view_bits(hashes: np.ndarray, bits: int, views: int) -> list[int]:
+    """Independent fingerprints of a set of shingles, ``bits`` bits each."""
+    total = -(-bits * views // 64) * 8
+    mixed = np.empty((len(hashes), total // 8), np.uint64)
+    for word in range(total // 8):
+        x = (hashes ^ np.uint64((word + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0x94D049BB133111EB)
+        mixed[:, word] = x ^ (x >> np.uint64(29))
+    counts = np.zeros((total, 256), np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        block = mixed[at:at + (1 << 14)].view(np.uint8).astype(np.int64) + np.arange(total) * 256
+        counts += np.bincount(block.ravel(), minlength=total * 256).reshape(total, 256)
+    on = ((counts @ _BIT_OF).ravel() * 2 > len(hashes))[:bits * views].reshape(views, bits)
+    return [int("".join("1" if b else "0" for b in row), 2) for row in on.tolist()]
+
+
+def _views(text: Column | str, size: int, bits: int, views: int) -> Column:
+    def make() -> Callable[[list], list]:
+        def one(text: bytes | None) -> list[int]:
+            hashes = np.unique(shingle_hashes(text, size))
+            return view_bits(hashes, bits, views) if len(hashes) else []
+        return lambda texts: [one(t) for t in texts]
+    return text_udf(make, "array<bigint>", utf8=True)(text)
+
+
+def _shingle_set(text: Column | str, size: int) -> Column:
+    return text_udf(lambda: lambda texts: [np.unique(shingle_hashes(t, size)).view(np.int64).tolist() for t in texts], "array<bigint>", utf8=True)(text)
+
+
+def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PAIR_SHINGLE, similarity: float = SIMILARITY,
+                  radius: int = RADIUS, group_variants: int = PAIR_VARIANTS) -> DataFrame:
+    """a, b: smallest ids of different texts with a Jaccard similarity of word shingles.
+
+    Texts meet by the ball hashing of several views, short enough fingerprints for pairs of
+    the wanted similarity to meet in one of them, and long enough for others not to. Pairs
+    that meet are verified on their whole shingle sets. Of the texts with one variant each
+    meets the next one. Texts without words and rows without an id take no part; of
+    several texts of one id the one with the largest set is verified.
+    """
+    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    keyed = texts.withColumn("key", F.xxhash64("text"))
+    first = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
+    n = first.count()
+    bits = bits_for(n, radius)
+    views, half = views_for(bits, similarity, radius=radius), radius // 2
+    lead = leading_bits(n, half, group_variants, bits)
+    reach = F.array(*[F.lit(m).cast("bigint") for m in flips(lead, half)])
+    seen = texts.select("doc_id", _views("text", size, bits, views).alias("views")).join(first.select("doc_id"), "doc_id", "left_semi")
+    led = seen.select("doc_id", F.posexplode("views").alias("view", "fp")).withColumn("top", F.shiftrightunsigned("fp", bits - lead))
+    rows = led.select("doc_id", "view", "fp", F.explode(F.transform(reach, lambda m: m.bitwiseXOR(F.col("top")))).alias("lead"))
+
+    def meet(group: pa.Table) -> pa.Table:
+        ids, prints = group["doc_id"].to_numpy(), group["fp"].to_numpy().view(np.uint64)
+        order = np.argsort(ids, kind="stable")
+        ids, prints = ids[order], prints[order]
+        a, b = _meetings(prints, group["lead"][0].as_py(), bits, lead, half)
+        return pa.table({"a": ids[a], "b": ids[b]})
+
+    pairs = cut(rows.groupBy("view", "lead").applyInArrow(meet, "a bigint, b bigint").where("a <> b").distinct())
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = texts.join(needed, "doc_id", "left_semi").select("doc_id", _shingle_set("text", size).alias("held"))
+    sets = cut(held.groupBy("doc_id").agg(F.max("held").alias("held")))
+    both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("held").alias("x")), "a")
+            .join(sets.select(F.col("doc_id").alias("b"), F.col("held").alias("y")), "b"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = SIMILARITY, **options: int) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its group; all columns as they are.
 
-    Of rows that repeat that id one stays. Rows without an id stay.
+    Groups are those of :func:`near_duplicates` joined by :func:`similar_pairs` (unless
+    ``similarity`` is None). Of rows that repeat an id one stays. Rows without an id stay.
     """
-    found = cut(near_duplicates(df, id_col, text_col, **options))
-    gone = found.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    found = cut(near_duplicates(df, id_col, text_col, **options).where("doc_id is not null"))
+    links = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    if similarity is not None:
+        links = links.unionByName(similar_pairs(df, id_col, text_col, similarity=similarity))
+    gone = cut(components(links).where("node <> root").select(F.col("node").alias("doc_id")))
+    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     apart = gone.union(again).distinct().withColumnRenamed("doc_id", "__gone")
     once = df.join(apart, F.col(id_col) == F.col("__gone"), "left_anti")
     twice = again.join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", "__again")

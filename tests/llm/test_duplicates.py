@@ -150,6 +150,32 @@ def test_ball_links_connect_all_near_fingerprints(spark, group_variants):
     assert found == {v: r for v, r in want.items() if r in many}
 
 
+def test_similar_pairs_against_all_pairs(spark):
+    random.seed(21)
+    docs = []
+    for i in range(60):
+        words = [f"w{random.randrange(5000)}" for _ in range(random.randrange(4, 300))]
+        docs.append((10 * i, " ".join(words)))
+        for k in range(1, 4):
+            changed = [w if random.random() > 0.01 * k * k else "new" for w in words]
+            docs.append((10 * i + k, " ".join(changed)))
+    docs += [(1000, docs[0][1]), (1001, None), (1002, ""), (None, docs[0][1])]
+    found = {tuple(r) for r in simhash_ball.similar_pairs(spark.createDataFrame(docs, DOCS)).collect()}
+    first = {}
+    for d, t in docs:
+        if d is not None and t:
+            first[t] = min(d, first.get(t, d))
+    sets = {d: set(simhash_ball.shingle_hashes(t.encode(), 5).tolist()) for t, d in first.items()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert found <= want and len(found) >= 0.9 * len(want) and len(want) > 40
+
+
+def test_views_follow_the_number_of_texts():
+    bits = [simhash_ball.bits_for(n) for n in (100, 10**5, 10**7, 10**9)]
+    assert bits == sorted(bits) and bits[0] == simhash_ball.LEAST_BITS and bits[-1] <= 64
+    assert simhash_ball.views_for(30, 0.95) < simhash_ball.views_for(30, 0.8) < simhash_ball.views_for(40, 0.8)
+
+
 def test_fingerprint_of_short_texts():
     def value(text):
         return simhash_ball.majority_bits(simhash_ball.shingle_hashes(text))
