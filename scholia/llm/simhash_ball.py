@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from scholia.functions.scale import cut
+from scholia.functions.scale import broadcast_within, cut
 from scholia.llm.common import text_udf
 from scholia.llm.components import components
 
@@ -43,6 +43,11 @@ RECALL = 0.97
 LEAST_BITS = 24
 #: Variants of one group of leading bits of a view.
 PAIR_VARIANTS = 1 << 22
+#: Share of bits in which a pair of the wanted similarity hardly ever differs (0.15 is usual
+#: at 0.8, chance pairs have a half).
+FAR_BITS = 0.27
+#: Ids of documents that are sent to all tasks; more of them are joined by a shuffle.
+SENT_IDS = 1_000_000
 
 
 def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -219,7 +224,8 @@ def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     views, half = views_for(bits, similarity, radius=radius), radius // 2
     lead = leading_bits(n, half, group_variants, bits)
     reach = F.array(*[F.lit(m).cast("bigint") for m in flips(lead, half)])
-    seen = texts.select("doc_id", _views("text", size, bits, views).alias("views")).join(first.select("doc_id"), "doc_id", "left_semi")
+    every = texts.select("doc_id", _views("text", size, bits, views).alias("views"))
+    seen = cut(every.join(first.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("views").alias("views")))
     led = seen.select("doc_id", F.posexplode("views").alias("view", "fp")).withColumn("top", F.shiftrightunsigned("fp", bits - lead))
     rows = led.select("doc_id", "view", "fp", F.explode(F.transform(reach, lambda m: m.bitwiseXOR(F.col("top")))).alias("lead"))
 
@@ -230,9 +236,14 @@ def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         a, b = _meetings(prints, group["lead"][0].as_py(), bits, lead, half)
         return pa.table({"a": ids[a], "b": ids[b]})
 
-    pairs = cut(rows.groupBy("view", "lead").applyInArrow(meet, "a bigint, b bigint").where("a <> b").distinct())
+    met = rows.groupBy("view", "lead").applyInArrow(meet, "a bigint, b bigint").where("a <> b").distinct()
+    # over all views a pair of the similarity differs in far fewer bits than a chance one
+    differ = F.aggregate(F.zip_with("x", "y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, k: n + k)
+    pairs = cut(met.join(seen.select(F.col("doc_id").alias("a"), F.col("views").alias("x")), "a")
+                .join(seen.select(F.col("doc_id").alias("b"), F.col("views").alias("y")), "b")
+                .where(differ <= int(FAR_BITS * bits * views)).select("a", "b"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = texts.join(needed, "doc_id", "left_semi").select("doc_id", _shingle_set("text", size).alias("held"))
+    held = texts.join(broadcast_within(needed, SENT_IDS), "doc_id", "left_semi").select("doc_id", _shingle_set("text", size).alias("held"))
     sets = cut(held.groupBy("doc_id").agg(F.max("held").alias("held")))
     both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("held").alias("x")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("held").alias("y")), "b"))
@@ -252,7 +263,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
         links = links.unionByName(similar_pairs(df, id_col, text_col, similarity=similarity))
     gone = cut(components(links).where("node <> root").select(F.col("node").alias("doc_id")))
     again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    apart = gone.union(again).distinct().withColumnRenamed("doc_id", "__gone")
+    apart = broadcast_within(cut(gone.union(again).distinct().withColumnRenamed("doc_id", "__gone")), SENT_IDS)
     once = df.join(apart, F.col(id_col) == F.col("__gone"), "left_anti")
-    twice = again.join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", "__again")
+    twice = broadcast_within(cut(again.join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", "__again")), SENT_IDS)
     return once.unionByName(df.join(twice, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col]))
