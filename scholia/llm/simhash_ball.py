@@ -42,7 +42,7 @@ SIMILARITY = 0.8
 RECALL = 0.97
 LEAST_BITS = 24
 #: Variants of one group of leading bits of a view.
-PAIR_VARIANTS = 1 << 22
+PAIR_VARIANTS = 1 << 21
 #: Share of bits in which a pair of the wanted similarity hardly ever differs (0.15 is usual
 #: at 0.8, chance pairs have a half).
 FAR_BITS = 0.27
@@ -105,12 +105,13 @@ def _meetings(prints: np.ndarray, group: int, bits: int, lead: int, radius: int)
         own = np.flatnonzero(used == k)
         masks = np.array(flips(rest, radius - k), np.uint64)
         variants.append((low[own][:, None] ^ masks[None, :]).ravel())
-        owners.append(np.repeat(own, len(masks)))
+        owners.append(np.repeat(own.astype(np.int32), len(masks)))
     variant, owner = np.concatenate(variants), np.concatenate(owners)
+    del variants, owners
     order = np.argsort(variant)
     variant, owner = variant[order], owner[order]
     same = np.flatnonzero(variant[1:] == variant[:-1])
-    a, b = owner[same], owner[same + 1]
+    a, b = owner[same].astype(np.int64), owner[same + 1].astype(np.int64)
     pairs = np.unique(np.minimum(a, b) * len(prints) + np.maximum(a, b))
     a, b = pairs // len(prints), pairs % len(prints)
     near = np.bitwise_count(prints[a] ^ prints[b]) <= 2 * radius
