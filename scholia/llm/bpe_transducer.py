@@ -36,14 +36,12 @@ from scholia.llm.common import Generations, once, share, text_udf
 #: between blanks that one generation of its memory holds.
 MAX_STATES = 30_000
 MAX_PAIRS = 400_000
-MAX_WORDS = 40_000
-MAX_CHUNKS = 100_000
+MAX_WORDS = 60_000
+MAX_CHUNKS = 200_000
 #: Longer pre-tokens are encoded each time instead of being kept.
 LONG_WORD = 48
 #: Bytes after which sure tokens of a long pre-token are emitted.
 LOOKAHEAD = 128
-#: Texts that are split and encoded together.
-TEXTS = 200
 #: Ids handed to the decoder at once.
 DECODE_IDS = 8192
 
@@ -386,9 +384,6 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text."""
-        return [ids for at in range(0, len(texts), TEXTS) for ids in self._block(texts[at:at + TEXTS])]
-
-    def _block(self, texts: list[str | None]) -> list[bytes]:
         parts = [self._split(t) for t in texts]
         found, missing = self.chunks.look_up(set().union(*parts))
         pieces = [self.pieces(part) for part in missing]
