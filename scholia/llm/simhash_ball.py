@@ -36,16 +36,19 @@ BITS = 64
 GROUP_VARIANTS = 1 << 20
 SEED = 42
 #: Near copies in a pipeline: words of a shingle, Jaccard similarity, share of such pairs
-#: that should meet, and bits of the smallest view.
+#: that should meet, bits in which a view may differ, and bits of the smallest view.
 PAIR_SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.97
+PAIR_RADIUS = 2
 LEAST_BITS = 24
+#: Unrelated texts that a text may meet in a view.
+CHANCE_PAIRS = 8
 #: Variants of one group of leading bits of a view.
-PAIR_VARIANTS = 1 << 21
-#: Share of bits in which a pair of the wanted similarity hardly ever differs (0.15 is usual
-#: at 0.8, chance pairs have a half).
-FAR_BITS = 0.27
+PAIR_VARIANTS = 1 << 18
+#: Bits of the 64 of a second fingerprint in which a pair of the wanted similarity hardly
+#: ever differs (10 are usual at 0.8, unrelated texts differ in 32).
+FAR_BITS = 18
 #: Ids of documents that are sent to all tasks; more of them are joined by a shuffle.
 SENT_IDS = 1_000_000
 
@@ -95,8 +98,11 @@ def leading_bits(n: int, radius: int, group_variants: int = GROUP_VARIANTS, bits
     return min(40, max(1, math.ceil(math.log2(max(2, variants / group_variants)))))
 
 
-def _meetings(prints: np.ndarray, group: int, bits: int, lead: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs of fingerprints that share a variant with the leading bits ``group``."""
+def _meetings(prints: np.ndarray, group: int, bits: int, lead: int, radius: int, following: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs of fingerprints that share a variant with the leading bits ``group``.
+
+    Of the fingerprints with one variant each meets so many ``following`` ones.
+    """
     rest = bits - lead
     used = np.bitwise_count((prints >> np.uint64(rest)) ^ np.uint64(group))
     low = prints & np.uint64((1 << rest) - 1)
@@ -110,10 +116,15 @@ def _meetings(prints: np.ndarray, group: int, bits: int, lead: int, radius: int)
     del variants, owners
     order = np.argsort(variant)
     variant, owner = variant[order], owner[order]
-    same = np.flatnonzero(variant[1:] == variant[:-1])
-    a, b = owner[same].astype(np.int64), owner[same + 1].astype(np.int64)
-    pairs = np.unique(np.minimum(a, b) * len(prints) + np.maximum(a, b))
-    a, b = pairs // len(prints), pairs % len(prints)
+    met = [np.empty(0, np.int64)]
+    for step in range(1, following + 1):
+        same = np.flatnonzero(variant[step:] == variant[:-step])
+        if not len(same):
+            break
+        a, b = owner[same].astype(np.int64), owner[same + step].astype(np.int64)
+        met.append(np.minimum(a, b) * len(prints) + np.maximum(a, b))
+    pairs = np.unique(np.concatenate(met))
+    a, b = pairs // max(1, len(prints)), pairs % max(1, len(prints))
     near = np.bitwise_count(prints[a] ^ prints[b]) <= 2 * radius
     return a[near], b[near]
 
@@ -159,39 +170,41 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 # ---- near copies of a given similarity -----------------------------------
 
-def bits_for(n: int, radius: int = RADIUS) -> int:
-    """Bits of a view: unrelated texts then make about as many pairs as there are texts."""
+def bits_for(n: int, radius: int = PAIR_RADIUS) -> int:
+    """Bits of a view: a text then meets few of ``n`` unrelated texts, however many there are."""
     bits = LEAST_BITS
-    while bits < BITS and sum(math.comb(bits, k) for k in range(radius + 1)) / 2.0 ** bits * n > 2:
+    while bits < BITS - 1 and sum(math.comb(bits, k) for k in range(radius + 1)) / 2.0 ** bits * n > CHANCE_PAIRS:
         bits += 1
     return bits
 
 
-def views_for(bits: int, similarity: float, recall: float = RECALL, radius: int = RADIUS) -> int:
+def views_for(bits: int, similarity: float, recall: float = RECALL, radius: int = PAIR_RADIUS) -> int:
     """Views that a pair of this similarity needs to meet in one of them so often."""
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     meet = sum(math.comb(bits, k) * differ ** k * (1 - differ) ** (bits - k) for k in range(radius + 1))
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(meet, 0.999))))
 
 
-_BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+_BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
 def view_bits(hashes: np.ndarray, bits: int, views: int) -> list[int]:
-    """Independent fingerprints of a set of shingles, ``bits`` bits each."""
-    total = -(-bits * views // 64) * 8
-    mixed = np.empty((len(hashes), total // 8), np.uint64)
-    for word in range(total // 8):
+    """A fingerprint of a set of shingles (signed), then ``views`` others of ``bits`` bits each."""
+    words = 1 + -(-bits * views // BITS)
+    mixed = np.empty((len(hashes), words), np.uint64)
+    for word in range(words):
         x = (hashes ^ np.uint64((word + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(31)
         x *= np.uint64(0x94D049BB133111EB)
         mixed[:, word] = x ^ (x >> np.uint64(29))
-    counts = np.zeros((total, 256), np.int64)
+    total = 8 * words
+    counts = np.zeros(total * 256, np.int64)
     for at in range(0, len(hashes), 1 << 14):
-        block = mixed[at:at + (1 << 14)].view(np.uint8).astype(np.int64) + np.arange(total) * 256
-        counts += np.bincount(block.ravel(), minlength=total * 256).reshape(total, 256)
-    on = ((counts @ _BIT_OF).ravel() * 2 > len(hashes))[:bits * views].reshape(views, bits)
-    return [int("".join("1" if b else "0" for b in row), 2) for row in on.tolist()]
+        block = mixed[at:at + (1 << 14)].view(np.uint8) + np.arange(total) * 256
+        counts += np.bincount(block.ravel(), minlength=total * 256)
+    on = (counts.reshape(total, 256).astype(np.float64) @ _BIT_OF).ravel() * 2 > len(hashes)
+    whole = int(np.packbits(on[:BITS]).view(np.int64)[0])
+    return [whole, *(on[BITS:BITS + bits * views].reshape(views, bits) @ (1 << np.arange(bits))).tolist()]
 
 
 def _views(text: Column | str, size: int, bits: int, views: int) -> Column:
@@ -208,41 +221,50 @@ def _shingle_set(text: Column | str, size: int) -> Column:
 
 
 def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PAIR_SHINGLE, similarity: float = SIMILARITY,
-                  radius: int = RADIUS, group_variants: int = PAIR_VARIANTS) -> DataFrame:
+                  radius: int = PAIR_RADIUS, group_variants: int = PAIR_VARIANTS, known: DataFrame | None = None) -> DataFrame:
     """a, b: smallest ids of different texts with a Jaccard similarity of word shingles.
 
     Texts meet by the ball hashing of several views, short enough fingerprints for pairs of
-    the wanted similarity to meet in one of them, and long enough for others not to. Pairs
-    that meet are verified on their whole shingle sets. Of the texts with one variant each
-    meets the next one. Texts without words and rows without an id take no part; of
-    several texts of one id the one with the largest set is verified.
+    the wanted similarity to meet in one of them. Texts that agree in a view meet the first
+    one of them, and the first ones of all values within ``radius`` bits meet each other: a
+    variant has at most one owner a bit, so a crowded one needs no cap. Pairs that meet and
+    are near by a second fingerprint are verified on their whole shingle sets. ``known``
+    (doc_id, component_id) names groups that are linked already; pairs inside one are left
+    out. Texts without words and rows without an id take no part; of several texts of one
+    id the one with the largest set is verified. ``radius`` is even.
     """
     texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    keyed = texts.withColumn("key", F.xxhash64("text"))
-    first = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
-    n = first.count()
+    n = texts.count()
     bits = bits_for(n, radius)
     views, half = views_for(bits, similarity, radius=radius), radius // 2
     lead = leading_bits(n, half, group_variants, bits)
+    every = texts.select("doc_id", F.xxhash64("text").alias("key"), _views("text", size, bits, views).alias("views")).where(F.size("views") > 0)
+    firsts = every.groupBy("key").agg(F.min(F.struct("doc_id", "views")).alias("first")).select("first.*")
+    if known is None:
+        named = firsts.withColumn("part", F.col("doc_id"))
+    else:
+        parts = known.groupBy("doc_id").agg(F.min("component_id").alias("part"))
+        named = firsts.join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    seen = cut(named.select(F.struct("doc_id", "part", F.element_at("views", 1).alias("whole")).alias("text"), F.slice("views", 2, views).alias("views")))
+    rows = seen.select("text", F.posexplode("views").alias("view", "fp"))
+    values = cut(rows.groupBy("view", "fp").agg(F.min("text").alias("first"), F.count(F.lit(1)).alias("n")))
+
+    agreeing = rows.join(values.where("n > 1").select("view", "fp", "first"), ["view", "fp"])
+    far = F.bit_count(F.col("text.whole").bitwiseXOR(F.col("first.whole")))
+    agreeing = agreeing.where((F.col("text.part") != F.col("first.part")) & (far <= FAR_BITS)).select(F.col("first.doc_id").alias("a"), F.col("text.doc_id").alias("b"))
+
     reach = F.array(*[F.lit(m).cast("bigint") for m in flips(lead, half)])
-    every = texts.select("doc_id", _views("text", size, bits, views).alias("views"))
-    seen = cut(every.join(first.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("views").alias("views")))
-    led = seen.select("doc_id", F.posexplode("views").alias("view", "fp")).withColumn("top", F.shiftrightunsigned("fp", bits - lead))
-    rows = led.select("doc_id", "view", "fp", F.explode(F.transform(reach, lambda m: m.bitwiseXOR(F.col("top")))).alias("lead"))
+    led = values.select("view", "fp", "first.*").withColumn("top", F.shiftrightunsigned("fp", bits - lead))
+    balls = led.select("view", "fp", "doc_id", "part", "whole", F.explode(F.transform(reach, lambda m: m.bitwiseXOR(F.col("top")))).alias("lead"))
 
     def meet(group: pa.Table) -> pa.Table:
-        ids, prints = group["doc_id"].to_numpy(), group["fp"].to_numpy().view(np.uint64)
-        order = np.argsort(ids, kind="stable")
-        ids, prints = ids[order], prints[order]
-        a, b = _meetings(prints, group["lead"][0].as_py(), bits, lead, half)
-        return pa.table({"a": ids[a], "b": ids[b]})
-
-    met = rows.groupBy("view", "lead").applyInArrow(meet, "a bigint, b bigint").where("a <> b").distinct()
-    # over all views a pair of the similarity differs in far fewer bits than a chance one
-    differ = F.aggregate(F.zip_with("x", "y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, k: n + k)
-    pairs = cut(met.join(seen.select(F.col("doc_id").alias("a"), F.col("views").alias("x")), "a")
-                .join(seen.select(F.col("doc_id").alias("b"), F.col("views").alias("y")), "b")
-                .where(differ <= int(FAR_BITS * bits * views)).select("a", "b"))
+        ids, parts, prints, wholes = (group[c].to_numpy() for c in ("doc_id", "part", "fp", "whole"))
+        a, b = _meetings(prints.view(np.uint64), group["lead"][0].as_py(), bits, lead, half, following=bits)
+        held = (parts[a] != parts[b]) & (np.bitwise_count(wholes.view(np.uint64)[a] ^ wholes.view(np.uint64)[b]) <= FAR_BITS)
+        return pa.table({"a": ids[a[held]], "b": ids[b[held]]})
+
+    met = balls.groupBy("view", "lead").applyInArrow(meet, "a bigint, b bigint").unionByName(agreeing)
+    pairs = cut(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     held = texts.join(broadcast_within(needed, SENT_IDS), "doc_id", "left_semi").select("doc_id", _shingle_set("text", size).alias("held"))
     sets = cut(held.groupBy("doc_id").agg(F.max("held").alias("held")))
@@ -261,7 +283,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     found = cut(near_duplicates(df, id_col, text_col, **options).where("doc_id is not null"))
     links = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     if similarity is not None:
-        links = links.unionByName(similar_pairs(df, id_col, text_col, similarity=similarity))
+        links = links.unionByName(similar_pairs(df, id_col, text_col, similarity=similarity, known=links.select(F.col("a").alias("doc_id"), F.col("b").alias("component_id"))))
     gone = cut(components(links).where("node <> root").select(F.col("node").alias("doc_id")))
     again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     apart = broadcast_within(cut(gone.union(again).distinct().withColumnRenamed("doc_id", "__gone")), SENT_IDS)
