@@ -16,7 +16,7 @@ never name a component unless no other row does. Repeated rows share a component
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from scholia.functions.scale import broadcast_within, cut
-from scholia.llm.common import text_udf
+from scholia.llm.common import SLICE_ROWS, share, text_udf
 from scholia.llm.components import components
 
 SHINGLE = 4
@@ -35,20 +35,21 @@ BITS = 64
 #: Variants that one group of leading bits should have (8 bytes each while it is worked on).
 GROUP_VARIANTS = 1 << 20
 SEED = 42
-#: Near copies in a pipeline: words of a shingle, Jaccard similarity, share of such pairs
-#: that should meet, bits in which a view may differ, and bits of the smallest view.
+#: Near copies in a pipeline: words of a shingle and Jaccard similarity.
 PAIR_SHINGLE = 5
 SIMILARITY = 0.8
+#: Sizes of views of :func:`bits_for` and :func:`views_for`.
 RECALL = 0.97
 PAIR_RADIUS = 2
 LEAST_BITS = 24
 #: Unrelated texts that a text may meet in a view.
 CHANCE_PAIRS = 8
-#: Variants of one group of leading bits of a view.
-PAIR_VARIANTS = 1 << 18
-#: Bits of the 64 of a second fingerprint in which a pair of the wanted similarity hardly
-#: ever differs (10 are usual at 0.8, unrelated texts differ in 32).
-FAR_BITS = 18
+#: Leading bits of a shingle by which it is counted (a byte each in the table).
+COUNT_BITS = 22
+#: A shingle of so many more texts than usual is heavy.
+HEAVY = 256
+#: Rare shingles of one group that is sorted at once.
+GROUP_TOKENS = 1 << 16
 #: Ids of documents that are sent to all tasks; more of them are joined by a shuffle.
 SENT_IDS = 1_000_000
 
@@ -185,107 +186,203 @@ def views_for(bits: int, similarity: float, recall: float = RECALL, radius: int
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(meet, 0.999))))
 
 
-_BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
+def _shingles(text: bytes | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
 
 
-def view_bits(hashes: np.ndarray, bits: int, views: int) -> list[int]:
-    """A fingerprint of a set of shingles (signed), then ``views`` others of ``bits`` bits each."""
-    words = 1 + -(-bits * views // BITS)
-    mixed = np.empty((len(hashes), words), np.uint64)
-    for word in range(words):
-        x = (hashes ^ np.uint64((word + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0x94D049BB133111EB)
-        mixed[:, word] = x ^ (x >> np.uint64(29))
-    total = 8 * words
-    counts = np.zeros(total * 256, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        block = mixed[at:at + (1 << 14)].view(np.uint8) + np.arange(total) * 256
-        counts += np.bincount(block.ravel(), minlength=total * 256)
-    on = (counts.reshape(total, 256).astype(np.float64) @ _BIT_OF).ravel() * 2 > len(hashes)
-    whole = int(np.packbits(on[:BITS]).view(np.int64)[0])
-    return [whole, *(on[BITS:BITS + bits * views].reshape(views, bits) @ (1 << np.arange(bits))).tolist()]
+def _name(held: np.ndarray) -> int:
+    """A signed 64-bit name of a set of shingles; zero for the empty one."""
+    return int(np.uint64(xxh64_intdigest(held.tobytes(), SEED)).view(np.int64)) if len(held) else 0
 
 
-def _views(text: Column | str, size: int, bits: int, views: int) -> Column:
-    def make() -> Callable[[list], list]:
-        def one(text: bytes | None) -> list[int]:
-            hashes = np.unique(shingle_hashes(text, size))
-            return view_bits(hashes, bits, views) if len(hashes) else []
-        return lambda texts: [one(t) for t in texts]
-    return text_udf(make, "array<bigint>", utf8=True)(text)
-
-
-def _shingle_set(text: Column | str, size: int) -> Column:
-    return text_udf(lambda: lambda texts: [np.unique(shingle_hashes(t, size)).view(np.int64).tolist() for t in texts], "array<bigint>", utf8=True)(text)
+def common_shingles(texts: DataFrame, size: int = PAIR_SHINGLE, every: int = 1) -> tuple[bytes, int]:
+    """How common shingles are, as a byte (a logarithm) for each value of their leading bits,
+    and the byte from which on one counts as heavy. One in ``every`` texts is counted.
 
+    The table only orders shingles, so that rare ones are compared; no result depends on it.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << COUNT_BITS, np.uint32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                for text in batch.column(0).cast(pa.binary()).slice(at, SLICE_ROWS).to_pylist():
+                    np.add.at(table, _shingles(text, size) >> np.uint64(BITS - COUNT_BITS), 1)
+        for chunk in range(0, len(table), 1 << 16):
+            at = np.flatnonzero(table[chunk:chunk + (1 << 16)])
+            if len(at):
+                n = np.minimum(table[chunk + at], 0xFFFF).astype(np.uint16)
+                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "at": [at.astype(np.uint16).tobytes()], "n": [n.tobytes()]}, schema)
+
+    def add(group: pa.Table) -> pa.Table:
+        table = np.zeros(1 << 16, np.int64)
+        for at, n in zip(group["at"].to_pylist(), group["n"].to_pylist(), strict=True):
+            table[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint16)
+        return pa.table({"chunk": [group["chunk"][0].as_py()], "level": [_level(table).tobytes()], "total": [int(table.sum())]})
+
+    schema = pa.schema([("chunk", pa.int64()), ("at", pa.binary()), ("n", pa.binary())])
+    counted = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
+    chunks = counted.mapInArrow(count, "chunk bigint, at binary, n binary").groupBy("chunk").applyInArrow(add, "chunk bigint, level binary, total bigint").collect()
+    table = np.zeros(1 << COUNT_BITS, np.uint8)
+    for row in chunks:
+        table[row.chunk:row.chunk + (1 << 16)] = np.frombuffer(row.level, np.uint8)
+    usual = sum(row.total for row in chunks) / len(table)
+    return table.tobytes(), int(_level(np.array([4 * usual + HEAVY / every]))[0])
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.round(8 * np.log2(1 + counts))).astype(np.uint8)
+
+
+def rare_shingles(held: np.ndarray, table: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of a set and their levels: so many that two sets with this
+    similarity have one of them in common, since fewer than these can be missing."""
+    take = len(held) - math.ceil(similarity * len(held) - 1e-9) + 1
+    levels = table[held >> np.uint64(BITS - COUNT_BITS)]
+    order = np.argsort(levels, kind="stable")[:take]
+    return held[order], levels[order]
+
+
+def _repeated(group: pa.Table) -> pa.Table:
+    """Rows whose shingle several sets have, each set once."""
+    rows = group.select(["token", "key", "size", "pos"])
+    token, key = rows["token"].to_numpy(), rows["key"].to_numpy()
+    order = np.lexsort((key, token))
+    token, key = token[order], key[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+    order, token = order[new], token[new]
+    same = token[1:] == token[:-1]
+    several = np.zeros(len(order), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    return rows.take(order[several])
+
+
+class Similar:
+    """The texts of a table, those with equal sets of shingles as one, and which sets are similar.
+
+    Every set gives its rarest shingles, as many as can be missing in a similar set and one
+    more. So two sets of the wanted similarity share one of them, whatever their sizes are.
+    Sets that share one, and could be similar by their sizes and by the place of that
+    shingle in both, are verified on their whole sets. No pair is lost on the way.
+    Nulls are texts without words; rows without an id take no part.
+    """
 
-def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PAIR_SHINGLE, similarity: float = SIMILARITY,
-                  radius: int = PAIR_RADIUS, group_variants: int = PAIR_VARIANTS, known: DataFrame | None = None) -> DataFrame:
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, size: int, similarity: float):
+        self.size, self.similarity = size, similarity
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        self.texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text.alias("text"))
+        n_bytes = self.texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+        every = max(1, min(8, n_bytes >> 23))
+        table, heavy = common_shingles(self.texts, size, every)
+        shared = share(df.sparkSession, {"table": table}, len(table))
+
+        def make() -> Callable[[list], list]:
+            table = np.frombuffer(shared.value["table"], np.uint8)
+
+            def one(text: bytes | None) -> dict:
+                held = _shingles(text, size)
+                if not len(held):
+                    return {"key": 0, "size": 0, "light": 0, "tokens": []}
+                tokens, levels = rare_shingles(held, table, similarity)
+                return {"key": _name(held), "size": len(held), "light": int((levels < heavy).sum()), "tokens": tokens.view(np.int64)}
+            return lambda texts: [one(t) for t in texts]
+
+        sets = text_udf(make, "struct<key: bigint, size: int, light: int, tokens: array<bigint>>", utf8=True)
+        #: doc_id, text_key, key (of the set), size, light, tokens for every row with an id
+        self.rows = cut(self.texts.select("doc_id", F.xxhash64("text").alias("text_key"), sets("text").alias("s")).select("doc_id", "text_key", "s.*"))
+        self.live = self._live()
+
+    def _live(self) -> DataFrame:
+        """token, key, size, pos: the rare shingles that several sets may have.
+
+        Heavy ones, which copies have, skip the sorting in groups and meet by joins that AQE splits.
+        """
+        total = self.rows.agg(F.sum(F.col("light").cast("bigint"))).first()[0] or 0
+        lead = min(40, max(1, math.ceil(math.log2(max(2, total / GROUP_TOKENS)))))
+        each = self.rows.select("key", "size", "light", F.posexplode("tokens").alias("pos", "token"))
+        light = each.where("pos < light").select("token", "key", "size", "pos", F.shiftrightunsigned("token", BITS - lead).alias("lead"))
+        repeated = light.groupBy("lead").applyInArrow(_repeated, "token bigint, key bigint, size int, pos int")
+        heavy = each.where("pos >= light").select("token", "key", "size", "pos").distinct()
+        return cut(repeated.unionByName(heavy))
+
+    def _fits(self, x: str, y: str) -> Column:
+        left = F.least(*[F.col(f"{s}.size") - F.col(f"{s}.pos") for s in (x, y)])
+        return left >= F.lit(self.similarity / (1 + self.similarity)) * (F.col(f"{x}.size") + F.col(f"{y}.size")) - F.lit(1e-6)
+
+    def _met(self, x: DataFrame, y: DataFrame, where: Column) -> DataFrame:
+        met = x.alias("x").join(y.alias("y"), "token").where(where & self._fits("x", "y"))
+        return met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs of sets (a, b; materialised) that are similar, by their whole sets."""
+        size = self.size
+
+        def make() -> Callable[[list], list]:
+            def one(text: bytes | None) -> dict:
+                held = _shingles(text, size)
+                return {"key": _name(held), "held": held.view(np.int64)}
+            return lambda texts: [one(t) for t in texts]
+
+        whole = text_udf(make, "struct<key: bigint, held: array<bigint>>", utf8=True)
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        ids = cut(self.rows.join(broadcast_within(cut(needed), SENT_IDS), "key").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+        held = self.texts.join(broadcast_within(ids, SENT_IDS), "doc_id", "left_semi").select(whole("text").alias("s")).select("s.*")
+        sets = cut(held.groupBy("key").agg(F.first("held").alias("held")))
+        both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("held").alias("x")), "a")
+                .join(sets.select(F.col("key").alias("b"), F.col("held").alias("y")), "b"))
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared >= F.lit(self.similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    def pairs(self) -> DataFrame:
+        """a, b: all pairs of similar sets."""
+        return self.similar(cut(self._met(self.live, self.live, F.col("x.key") < F.col("y.key"))))
+
+    def groups(self) -> DataFrame:
+        """node, root: the components of all pairs of similar sets, without making all pairs.
+
+        The sets of a shingle are compared with the first of them, which brings copies into
+        one part; then only sets of different parts are compared with each other.
+        """
+        first = self.live.groupBy("token").agg(F.min(F.struct("key", "size", "pos")).alias("f")).select("token", "f.*")
+        tried = cut(self._met(self.live, first, F.col("x.key") != F.col("y.key")))
+        links = cut(self.similar(tried))
+        parts = cut(components(links))
+        held = self.live.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("root", "key")).drop("root")
+        mixed = held.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
+        rest = cut(held.join(mixed, "token", "left_semi"))
+        met = cut(self._met(rest, rest, F.col("x.part") < F.col("y.part")).join(tried, ["a", "b"], "left_anti"))
+        return cut(components(links.unionByName(self.similar(met))))
+
+
+def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PAIR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """a, b: smallest ids of different texts with a Jaccard similarity of word shingles.
 
-    Texts meet by the ball hashing of several views, short enough fingerprints for pairs of
-    the wanted similarity to meet in one of them. Texts that agree in a view meet the first
-    one of them, and the first ones of all values within ``radius`` bits meet each other: a
-    variant has at most one owner a bit, so a crowded one needs no cap. Pairs that meet and
-    are near by a second fingerprint are verified on their whole shingle sets. ``known``
-    (doc_id, component_id) names groups that are linked already; pairs inside one are left
-    out. Texts without words and rows without an id take no part; of several texts of one
-    id the one with the largest set is verified. ``radius`` is even.
+    All such pairs of different sets of shingles; of different texts with one set the first
+    is paired with each other one. Texts without words and rows without an id take no part.
     """
-    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    n = texts.count()
-    bits = bits_for(n, radius)
-    views, half = views_for(bits, similarity, radius=radius), radius // 2
-    lead = leading_bits(n, half, group_variants, bits)
-    every = texts.select("doc_id", F.xxhash64("text").alias("key"), _views("text", size, bits, views).alias("views")).where(F.size("views") > 0)
-    firsts = every.groupBy("key").agg(F.min(F.struct("doc_id", "views")).alias("first")).select("first.*")
-    if known is None:
-        named = firsts.withColumn("part", F.col("doc_id"))
-    else:
-        parts = known.groupBy("doc_id").agg(F.min("component_id").alias("part"))
-        named = firsts.join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-    seen = cut(named.select(F.struct("doc_id", "part", F.element_at("views", 1).alias("whole")).alias("text"), F.slice("views", 2, views).alias("views")))
-    rows = seen.select("text", F.posexplode("views").alias("view", "fp"))
-    values = cut(rows.groupBy("view", "fp").agg(F.min("text").alias("first"), F.count(F.lit(1)).alias("n")))
-
-    agreeing = rows.join(values.where("n > 1").select("view", "fp", "first"), ["view", "fp"])
-    far = F.bit_count(F.col("text.whole").bitwiseXOR(F.col("first.whole")))
-    agreeing = agreeing.where((F.col("text.part") != F.col("first.part")) & (far <= FAR_BITS)).select(F.col("first.doc_id").alias("a"), F.col("text.doc_id").alias("b"))
+    found = Similar(df, id_col, text_col, size, similarity)
+    texts = cut(found.rows.where("size > 0").groupBy("key", "text_key").agg(F.min("doc_id").alias("doc_id")))
+    first = texts.groupBy("key").agg(F.min("doc_id").alias("first"))
+    pairs = found.pairs().join(first.select(F.col("key").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("key").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    equal = texts.join(first, "key").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
+    return pairs.unionByName(equal).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    reach = F.array(*[F.lit(m).cast("bigint") for m in flips(lead, half)])
-    led = values.select("view", "fp", "first.*").withColumn("top", F.shiftrightunsigned("fp", bits - lead))
-    balls = led.select("view", "fp", "doc_id", "part", "whole", F.explode(F.transform(reach, lambda m: m.bitwiseXOR(F.col("top")))).alias("lead"))
-
-    def meet(group: pa.Table) -> pa.Table:
-        ids, parts, prints, wholes = (group[c].to_numpy() for c in ("doc_id", "part", "fp", "whole"))
-        a, b = _meetings(prints.view(np.uint64), group["lead"][0].as_py(), bits, lead, half, following=bits)
-        held = (parts[a] != parts[b]) & (np.bitwise_count(wholes.view(np.uint64)[a] ^ wholes.view(np.uint64)[b]) <= FAR_BITS)
-        return pa.table({"a": ids[a[held]], "b": ids[b[held]]})
-
-    met = balls.groupBy("view", "lead").applyInArrow(meet, "a bigint, b bigint").unionByName(agreeing)
-    pairs = cut(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = texts.join(broadcast_within(needed, SENT_IDS), "doc_id", "left_semi").select("doc_id", _shingle_set("text", size).alias("held"))
-    sets = cut(held.groupBy("doc_id").agg(F.max("held").alias("held")))
-    both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("held").alias("x")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("held").alias("y")), "b"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = SIMILARITY, **options: int) -> DataFrame:
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PAIR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its group; all columns as they are.
 
-    Groups are those of :func:`near_duplicates` joined by :func:`similar_pairs` (unless
-    ``similarity`` is None). Of rows that repeat an id one stays. Rows without an id stay.
+    Groups are those of :func:`near_duplicates` joined by all pairs of a Jaccard similarity
+    of word shingles. Of rows that repeat an id one stays. Rows without an id stay.
     """
-    found = cut(near_duplicates(df, id_col, text_col, **options).where("doc_id is not null"))
-    links = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    if similarity is not None:
-        links = links.unionByName(similar_pairs(df, id_col, text_col, similarity=similarity, known=links.select(F.col("a").alias("doc_id"), F.col("b").alias("component_id"))))
+    near = near_duplicates(df, id_col, text_col).where("doc_id is not null")
+    found = Similar(df, id_col, text_col, size, similarity)
+    ids = found.rows.select("doc_id", "key")
+    roots = ids.join(found.groups().withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = cut(roots.groupBy("root").agg(F.min("doc_id").alias("a")))
+    links = near.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(roots.join(least, "root").select("a", F.col("doc_id").alias("b")))
     gone = cut(components(links).where("node <> root").select(F.col("node").alias("doc_id")))
-    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    again = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     apart = broadcast_within(cut(gone.union(again).distinct().withColumnRenamed("doc_id", "__gone")), SENT_IDS)
     once = df.join(apart, F.col(id_col) == F.col("__gone"), "left_anti")
     twice = broadcast_within(cut(again.join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", "__again")), SENT_IDS)

@@ -199,3 +199,38 @@ def test_near_duplicates_of_edge_rows(spark, edges, empty):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(6) == 1 and ids.count(None) == 2 and 2 not in ids and 5 not in ids
     assert simhash_ball.near_duplicates(empty).count() == simhash_ball.keep_one(empty).count() == 0
+
+
+def all_similar(docs):
+    """All pairs of a similarity of 0.8, and the smallest id of each component of them."""
+    sets = [(d, frozenset(simhash_ball.shingle_hashes(t.encode(), 5).tolist())) for d, t in sorted(docs)]
+    pairs = set()
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            shared = len(x & y)
+            if shared >= 0.8 * (len(x) + len(y) - shared):
+                pairs.add((b, a))
+    root = {d: d for d, _ in sets}
+    for b, a in sorted(pairs) * 2:
+        x, y = a, b
+        while root[x] != x:
+            x = root[x]
+        while root[y] != y:
+            y = root[y]
+        root[max(x, y)] = min(x, y)
+    return pairs, {d for d in root if root[d] == d}
+
+
+def test_similar_pairs_of_one_template(spark):
+    random.seed(31)
+    template, docs = [f"w{i}" for i in range(104)], []
+    for i in range(1000):
+        words = list(template)
+        for k in range(2):
+            for at in random.sample(range(104), 2):
+                words[at] = f"u{i}x{k}x{at}"
+            docs.append((2 * i + k, " ".join(words)))
+    random.shuffle(docs)
+    pairs, _ = all_similar(docs)
+    table = spark.createDataFrame(docs, DOCS).repartition(4)
+    assert {tuple(r) for r in simhash_ball.similar_pairs(table).collect()} == pairs and len(pairs) > 900
