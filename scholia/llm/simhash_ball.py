@@ -372,15 +372,14 @@ def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PAIR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its group; all columns as they are.
 
-    Groups are those of :func:`near_duplicates` joined by all pairs of a Jaccard similarity
-    of word shingles. Of rows that repeat an id one stays. Rows without an id stay.
+    Groups are the components of all pairs with a Jaccard similarity of word shingles, and
+    texts without words. Of rows that repeat an id one stays. Rows without an id stay.
     """
-    near = near_duplicates(df, id_col, text_col).where("doc_id is not null")
     found = Similar(df, id_col, text_col, size, similarity)
     ids = found.rows.select("doc_id", "key")
     roots = ids.join(found.groups().withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = cut(roots.groupBy("root").agg(F.min("doc_id").alias("a")))
-    links = near.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(roots.join(least, "root").select("a", F.col("doc_id").alias("b")))
+    links = roots.join(least, "root").select("a", F.col("doc_id").alias("b"))
     gone = cut(components(links).where("node <> root").select(F.col("node").alias("doc_id")))
     again = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     apart = broadcast_within(cut(gone.union(again).distinct().withColumnRenamed("doc_id", "__gone")), SENT_IDS)

@@ -231,6 +231,33 @@ def test_similar_pairs_of_one_template(spark):
                 words[at] = f"u{i}x{k}x{at}"
             docs.append((2 * i + k, " ".join(words)))
     random.shuffle(docs)
-    pairs, _ = all_similar(docs)
+    pairs, kept = all_similar(docs)
     table = spark.createDataFrame(docs, DOCS).repartition(4)
     assert {tuple(r) for r in simhash_ball.similar_pairs(table).collect()} == pairs and len(pairs) > 900
+    left = {r.doc_id for r in simhash_ball.keep_one(table).collect()}
+    assert left == kept and len(left) > 50
+
+
+def test_groups_of_many_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(simhash_ball, "HEAVY", 4)
+    monkeypatch.setattr(simhash_ball, "GROUP_TOKENS", 64)
+    random.seed(32)
+    base, docs = [f"w{i}" for i in range(60)], []
+    for i in range(300):
+        words = list(base)
+        for _ in range(random.randrange(3)):
+            words[random.randrange(60)] = f"u{random.randrange(20)}"
+        docs.append((i, " ".join(words[random.randrange(6):])))
+    pairs, kept = all_similar(docs)
+    table = spark.createDataFrame(docs, DOCS).repartition(4)
+    assert {r.doc_id for r in simhash_ball.keep_one(table).collect()} == kept and len(pairs) > 1000
+
+
+def test_one_dominating_word_makes_no_copy(spark):
+    random.seed(33)
+    docs = [(i, "word " * 1000 + " ".join(f"d{i}x{k}" for k in range(200))) for i in range(6)]
+    docs.append((6, docs[2][1].replace("d2x100", "new")))
+    prints = {simhash_ball.majority_bits(simhash_ball.shingle_hashes(t.encode())) for _, t in docs}
+    assert len(prints) == 1
+    table = spark.createDataFrame(docs, DOCS)
+    assert {r.doc_id for r in simhash_ball.keep_one(table).collect()} == set(range(6)) == all_similar(docs)[1]
