@@ -261,3 +261,14 @@ def test_one_dominating_word_makes_no_copy(spark):
     assert len(prints) == 1
     table = spark.createDataFrame(docs, DOCS)
     assert {r.doc_id for r in simhash_ball.keep_one(table).collect()} == set(range(6)) == all_similar(docs)[1]
+
+
+def test_short_texts_with_one_word_more(spark):
+    docs = []
+    for i in range(150):
+        words = [f"v{i}x{k}" for k in range(8 + i % 20)]
+        docs += [(3 * i, " ".join(words)), (3 * i + 1, " ".join([*words, "more"])), (3 * i + 2, " ".join(["x", *words[1:]]))]
+    pairs, kept = all_similar(docs)
+    table = spark.createDataFrame(docs, DOCS).repartition(4)
+    assert {tuple(r) for r in simhash_ball.similar_pairs(table).collect()} == pairs and len(pairs) >= 150
+    assert {r.doc_id for r in simhash_ball.keep_one(table).collect()} == kept
