@@ -370,19 +370,20 @@ def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PAIR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its group; all columns as they are.
+    """The first row of every group of ``df`` by id (and text key); all columns as they are.
 
     Groups are the components of all pairs with a Jaccard similarity of word shingles, and
-    texts without words. Of rows that repeat an id one stays. Rows without an id stay.
+    texts without words. Rows that share an id are apart unless their texts are near copies;
+    of equal rows one stays. Rows without an id stay.
     """
     found = Similar(df, id_col, text_col, size, similarity)
-    ids = found.rows.select("doc_id", "key")
-    roots = ids.join(found.groups().withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = cut(roots.groupBy("root").agg(F.min("doc_id").alias("a")))
-    links = roots.join(least, "root").select("a", F.col("doc_id").alias("b"))
-    gone = cut(components(links).where("node <> root").select(F.col("node").alias("doc_id")))
-    again = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    apart = broadcast_within(cut(gone.union(again).distinct().withColumnRenamed("doc_id", "__gone")), SENT_IDS)
-    once = df.join(apart, F.col(id_col) == F.col("__gone"), "left_anti")
-    twice = broadcast_within(cut(again.join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", "__again")), SENT_IDS)
-    return once.unionByName(df.join(twice, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col]))
+    named = found.rows.join(found.groups().withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    each = cut(named.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")))
+    first = each.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    told = each.join(first, "root").withColumn("stays", F.struct("doc_id", "text_key") == F.col("first")).where("n > 1 or not stays")
+    told = cut(told.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), "stays"))
+    keyed = df.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    same = (F.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__text"))
+    once = keyed.join(broadcast_within(told.drop("stays"), SENT_IDS), same, "left_anti")
+    twice = keyed.join(broadcast_within(told.where("stays").drop("stays"), SENT_IDS), same, "left_semi")
+    return once.unionByName(twice.dropDuplicates([id_col, "__key"])).drop("__key")

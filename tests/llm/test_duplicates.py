@@ -272,3 +272,9 @@ def test_short_texts_with_one_word_more(spark):
     table = spark.createDataFrame(docs, DOCS).repartition(4)
     assert {tuple(r) for r in simhash_ball.similar_pairs(table).collect()} == pairs and len(pairs) >= 150
     assert {r.doc_id for r in simhash_ball.keep_one(table).collect()} == kept
+
+
+def test_rows_that_share_an_id_keep_their_texts(spark):
+    docs = [(1, "one text"), (1, "another text"), (1, "one text"), (2, "third text"), (2, "Another  text"), (3, "third text"), (None, "one text")]
+    kept = simhash_ball.keep_one(spark.createDataFrame(docs, DOCS).repartition(3))
+    assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == [(0, "one text"), (1, "another text"), (1, "one text"), (2, "third text")]
