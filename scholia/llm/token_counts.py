@@ -44,6 +44,15 @@ def split_plain(text: str) -> list[str]:
     return text.lower().split()
 
 
+def word_tokenizer(vocabulary: str) -> Tokenizer:
+    """The library's tokenizer for single words. Special tokens are cut out of the texts
+    before, in the very case they are written in; what becomes one by lower-casing is
+    ordinary text."""
+    tokenizer = Tokenizer.from_str(vocabulary)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
 class FrequentWords:
     """Summary of bounded size: when it is full, counts below the median leave it."""
 
@@ -86,7 +95,7 @@ class Counts:
     def __init__(self, holder: dict[str, Any]):
         words, counts = holder["words"].split("\n"), array("I", holder["counts"])
         self.table = dict(zip(words, counts, strict=True)) if counts else {}
-        self.tokenizer = Tokenizer.from_str(holder["vocabulary"])
+        self.tokenizer = word_tokenizer(holder["vocabulary"])
         self.met = Generations(CACHE_WORDS)
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
@@ -118,8 +127,7 @@ class TokenCounter:
     def __init__(self, spark: SparkSession, vocabulary_path: str, words: list[str]):
         with open(vocabulary_path, encoding="utf-8") as file:
             vocabulary = file.read()
-        tokenizer = Tokenizer.from_str(vocabulary)
-        counts = array("I", [len(e.ids) for e in tokenizer.encode_batch(words, add_special_tokens=False)])
+        counts = array("I", [len(e.ids) for e in word_tokenizer(vocabulary).encode_batch(words, add_special_tokens=False)])
         data = {"vocabulary": vocabulary, "words": "\n".join(words), "counts": counts.tobytes()}
         size = len(vocabulary) + 4 * len(words) + len(data["words"])
         self.data = share(spark, data, size, VOCABULARY_BYTES)

@@ -84,6 +84,23 @@ def test_counts_agree_with_the_library(spark, edges, empty):
     assert token_counts.token_counts(empty, path).count() == 0
 
 
+def test_special_strings_in_other_case_are_ordinary_text(spark):
+    path = public_tokenizers.path(queries.VOCABULARY)
+    library = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        vocabulary = f.read()
+    sample = []
+    for token in library.get_added_tokens_decoder().values():
+        for s in (token.content, token.content.upper(), token.content.title(), token.content.swapcase(), token.content[:-1]):
+            sample += [s, f"a {s} b", f"x{s}y", f"{s}{s}", f"{token.content}{s}", f"é日 {s}"]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in sample]
+    # once from the second tier, once from a table that holds every word
+    counts = token_counts.Counts({"words": "", "counts": b"", "vocabulary": vocabulary})
+    assert counts.of_texts(sample) == want and counts.of_texts(sample) == want
+    docs = spark.createDataFrame(list(enumerate(sample * 3)), "doc_id bigint, text string")
+    assert [r.n_tokens for r in token_counts.token_counts(docs, path).orderBy("doc_id").collect()] == want * 3
+
+
 def test_plain_characters_follow_the_library():
     library = Tokenizer.from_file(public_tokenizers.path(queries.VOCABULARY))
     for code in range(0x250):
