@@ -349,8 +349,8 @@ def _(t):
 WITH b AS (SELECT doc_id, trim(text, ' ' || chr(10)) AS b FROM documents),
 s AS (SELECT doc_id, b, list_filter(list_transform(string_split(regexp_replace(b, '([.!?])\s+([A-Z"''])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: length(x) > 30) AS ss FROM b WHERE length(b) > 10),
 i AS (SELECT doc_id, CASE WHEN length(b) > 150 AND len(ss) >= 2 THEN list_transform(ss, lambda x: left(x, 300)) ELSE [left(b, 300)] END AS items FROM s),
-k AS (SELECT doc_id, list_filter(items, lambda x: length(trim(x)) >= 20) AS items FROM i)
-SELECT doc_id, unnest(range(0, len(items)))::BIGINT AS pos, trim(unnest(items)) AS body FROM k""")
+k AS (SELECT doc_id, list_filter(items, lambda x: length(trim(x, ' ' || chr(10))) >= 20) AS items FROM i)
+SELECT doc_id, unnest(range(0, len(items)))::BIGINT AS pos, trim(unnest(items), ' ' || chr(10)) AS body FROM k""")
 def _(t):
     """The sentence branch: running prose without any markup."""
     return ck.extract_items(t.documents, "doc_id").select("doc_id", "pos", "body")
