@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import (bpe_transducer, chat_format, decontaminate, line_dedup, paragraph_sketch, quality_ranking, simhash_ball, substring_dedup, token_counts,
-                         toxicity)
+from scholia.llm import (bpe_transducer, chat_format, decontaminate, filter_audit, language_bits, line_dedup, paragraph_sketch, periodic_runs, quality_ranking,
+                         simhash_ball, substring_dedup, token_counts, toxicity)
 from scholia.llm.common import documents, session
 from scholia.llm.labelled import fold
 
@@ -100,9 +100,43 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.char_length("learned").cast("bigint").alias("loss_chars"), _sha("learned").alias("loss_sha256"), "formatted_chars")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; learned without the held-out fold."""
+    docs, held_out = documents(session(spark), sf_dir), fold("doc_id", 4) == 2
+    model = language_bits.learn(docs.where(~held_out))
+    rows = language_bits.predict(docs.select("doc_id", "text"), model, out="found")
+    return rows.select("doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every order, by language."""
+    return filter_audit.filter_audit(documents(session(spark), sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def repeated_tails(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The texts (null: empty) with a run in about a tenth of them: with h the crc32 of the id
+    as text and g = h / 10, where h is divisible by 10 the words from a = g % n on repeat the
+    p = 1 + (n - a) / (3 + g % 8) words at a. Other texts stay as they are."""
+    rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(F.crc32(F.col(id_col).cast("string")), F.lit(1)).alias("h"))
+    edited = F.pmod("h", F.lit(10)) == 0
+    words = F.when(edited, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("w", words).withColumn("n", F.size("w").cast("bigint")).withColumn("g", F.floor(F.col("h") / 10).cast("bigint"))
+    rows = rows.withColumn("a", F.expr("int(if(n > 0, g % n, 0))"))
+    rows = rows.withColumn("p", F.expr("int(1 + floor((n - a) / (3 + g % 8)))"))
+    tail = F.array_join(F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", F.col("a") + (i - F.col("a")) % F.col("p")))), " ")
+    return rows.select(id_col, F.when(F.col("n") > 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document."""
+    rows = periodic_runs.periodic_runs(repeated_tails(documents(session(spark), sf_dir))).select("doc_id", "runs.*")
+    return rows.select("doc_id", "n_runs", "start", "length", "period", F.floor(F.col("length") * 1000 / F.col("period")).cast("bigint").alias("exponent_milli"),
+                       _sha("runs").alias("runs_sha256"), _sha("kept").alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_token_counts, op3_toxicity, op4_quality, op5_decontamination, op6_fingerprints, op7_substring_dedup, op8_simhash,
-                            op9_line_dedup, op10_chat_format)}
+                            op9_line_dedup, op10_chat_format, op11_language_id, op12_filter_audit, op13_periodic_runs)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -141,6 +175,21 @@ gone AS (SELECT DISTINCT f.doc_id, f.p FROM (SELECT doc_id, k FROM alone UNION S
 kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY p) AS t FROM l ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_lines, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op12_filter_audit": r"""
+WITH RECURSIVE orders AS (SELECT '' AS o, 0 AS n UNION ALL SELECT o || f, n + 1 FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(o, f)),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT doc_id, part, concat(CASE WHEN len(w) < 100 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END,
+        CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END,
+        CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY x) THEN 'E' ELSE '' END) AS fails FROM t),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM d LEFT JOIN l USING (doc_id) GROUP BY ALL),
+s AS (SELECT o AS filter_order, unnest(range(1, 6))::INT AS step FROM orders WHERE n = 5),
+r AS (SELECT c.part, filter_order, step, filter_order[step] AS f, n, good, bad, fails, contains(fails, filter_order[step]) AS hit,
+        len(list_filter(string_split(left(filter_order, step - 1), ''), lambda g: g <> '' AND contains(fails, g))) > 0 AS earlier FROM c, s),
+a AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT hit AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit AND NOT earlier), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (hit AND earlier), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (hit AND NOT earlier), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (hit AND NOT earlier), 0)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM a""",
     "op10_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
