@@ -44,21 +44,15 @@ _WORD = 63
 _GRAINS = 1 << 20
 
 
-class Letters:
-    """Lower-case letter of every code point; 0 for all that is no letter."""
+def letter_table() -> np.ndarray:
+    """Lower-case letter of every code point; 0 for all that is no letter. Made by the driver
+    and broadcast, so that a worker keeps one however many tasks it runs."""
+    lower = (chr(i).lower() if chr(i).isalpha() else "\0" for i in range(0x110000))
+    return np.fromiter((ord(c[0]) for c in lower), np.uint32, 0x110000)
 
-    _table: np.ndarray | None = None
 
-    @classmethod
-    def table(cls) -> np.ndarray:
-        if cls._table is None:
-            lower = (chr(i).lower() if chr(i).isalpha() else "\0" for i in range(0x110000))
-            cls._table = np.fromiter((ord(c[0]) for c in lower), np.uint32, 0x110000)
-        return cls._table
-
-    @classmethod
-    def of(cls, text: str) -> np.ndarray:
-        return cls.table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+def letters_of(text: str, table: np.ndarray) -> np.ndarray:
+    return table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -139,12 +133,13 @@ def training_sample(rows: DataFrame, text_col: str, lang_col: str, per_language:
     return cut(drawn.dropDuplicates(["language", "key"]).select("language", "text")), [lang for lang, _ in sizes]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], shared: Any) -> Iterator[pa.RecordBatch]:
     """(language, gram, n) of the texts of every batch."""
+    table = once(shared, "letter_table", _letters)
     for batch in batches:
         language = np.array(batch.column(0).to_pylist(), np.int64)
         for text, own, starts, owners in pieces(batch.column(1).to_pylist()):
-            letters = Letters.of(text)
+            letters = letters_of(text, table)
             of_place = language[owners]
             for size in SIZES:
                 at, h = gram_hashes(letters, own, size)
@@ -163,7 +158,12 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     """
     spark = rows.sparkSession
     sample, languages = training_sample(rows, text_col, lang_col, per_language)
-    seen = sample.mapInArrow(_counted, "language int, gram bigint, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n"))
+    letters = letter_table().tobytes()
+    lookup = share(spark, {"letters": letters}, len(letters))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _counted(batches, lookup)
+    seen = sample.mapInArrow(counted, "language int, gram bigint, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n"))
     seen = cut(seen)
     totals = seen.groupBy("language").agg(F.sum("n").alias("total"))
     rates = seen.join(F.broadcast(totals), "language").select("language", "gram", "n", (F.col("n") / F.col("total")).alias("rate"))
@@ -179,7 +179,12 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     found = bits.toPandas()
     table[found["word"].to_numpy(np.int64), found["slot"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
     filled = [float(((table[i // _WORD] >> np.uint64(i % _WORD)) & np.uint64(1)).mean()) for i in range(len(languages))]
-    return Model(languages, share(spark, {"table": table.tobytes(), "slots": slots, "languages": languages, "filled": filled}, table.nbytes), filled)
+    return Model(languages, share(
+        spark, {"table": table.tobytes(), "slots": slots, "languages": languages, "filled": filled, "letters": letters}, table.nbytes + len(letters)), filled)
+
+
+def _letters(holder: dict[str, Any]) -> np.ndarray:
+    return np.frombuffer(holder["letters"], np.uint32)
 
 
 # ---- prediction ------------------------------------------------------------
@@ -189,6 +194,7 @@ class Scorer:
 
     def __init__(self, holder: dict[str, Any]):
         self.languages, self.slots = holder["languages"], holder["slots"]
+        self.letters = _letters(holder)
         self.table = np.frombuffer(holder["table"], np.uint64).reshape(-1, self.slots)
         self.chance = np.array(holder["filled"], float) ** PROBES
 
@@ -197,7 +203,7 @@ class Scorer:
         hits = np.zeros((len(texts), len(self.languages)))
         total, letter = np.zeros(len(texts)), np.zeros(len(texts), bool)
         for text, own, starts, owners in pieces(texts):
-            letters = Letters.of(text)
+            letters = letters_of(text, self.letters)
             np.logical_or.at(letter, owners, np.logical_or.reduceat(letters != 0, starts))
             for size in SIZES:
                 at, h = gram_hashes(letters, own, size)

@@ -25,6 +25,9 @@ def test_language_on_the_held_out_fold(spark):
     assert n > 2000 and right / n > 0.995
 
 
+LETTERS = language_bits.letter_table()
+
+
 def plain_grams(text, size):
     """Windows of letters with one border at either end, by definition."""
     letters = "\0" + "".join(c.lower()[0] if c.isalpha() else "\0" for c in text) + "\0"
@@ -43,7 +46,7 @@ def test_windows_of_blocks(block):
     for size in language_bits.SIZES:
         got = [Counter() for _ in texts]
         for text, own, starts, owners in language_bits.pieces(texts, block):
-            at, h = language_bits.gram_hashes(language_bits.Letters.of(text), own, size)
+            at, h = language_bits.gram_hashes(language_bits.letters_of(text, LETTERS), own, size)
             for a, x in zip(at, h.tolist(), strict=True):
                 got[owners[np.searchsorted(starts, a, side="right") - 1]][x] += 1
         want = [Counter(plain_grams(t, size)) for t in texts]
