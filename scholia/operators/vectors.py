@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from scholia.functions.scale import cut
@@ -17,7 +17,10 @@ from scholia.functions.text import tokens
 DIM = 64
 QUERY_BLOCK = 4096
 ITEM_BLOCK = 65536
-LEADER_BATCH = 4096
+#: Scores that a task holds at once.
+SCORE_CELLS = 4_000_000
+#: Undecided rows that one task may settle alone.
+GREEDY_ROWS = 4096
 
 
 # ---- embedding -------------------------------------------------------------
@@ -181,87 +184,154 @@ def knn_threshold(queries: DataFrame, items: DataFrame, limit: int, min_score: f
 
 # ---- leader clustering -----------------------------------------------------
 
-def _attach(batch_leaders, min_score: float, schema: T.StructType):
-    """Map-only pass: lowest-id leader of this round within reach, or null."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, mat = batch_leaders.value
-        for pdf in batches:
-            if len(pdf):
-                near = np.round(_unit(_matrix(pdf["vec"])) @ mat.T, 6) >= min_score
-                first = np.where(near.any(axis=1), ids[near.argmax(axis=1)], -1)
-                pdf = pdf.assign(leader_id=pd.array(np.where(first < 0, 0, first), dtype="Int64"))
-                pdf.loc[first < 0, "leader_id"] = pd.NA
-                yield pdf
-    return run
-
-
-def near_dup_leaders(items: DataFrame, min_score: float = 0.85, batch: int = LEADER_BATCH,
-                     known: DataFrame | None = None) -> DataFrame:
-    """(id, leader_id): each row, in id order, joins the first earlier leader within
-    ``min_score`` cosine, else becomes a leader whose vector never moves.
-
-    Equal vectors always share their leader, so copies are collapsed first. Then,
-    round by round, the lowest ``batch`` undecided vectors are settled among
-    themselves (a bounded matrix) and the leaders found are offered to everything
-    still undecided in one map-only pass. No pair table exists at any time, and a
-    hot group of near copies disappears in the round that meets its leader.
-
-    ``known(id, vec)``: leaders of earlier runs, tried first, in id order; with a
-    column ``seq`` (say the batch they arrived in) in the order of seq and id.
+#: Place in the order that is later than every known leader's.
+_NOW = 1 << 62
+
+
+def _arrow_unit(table: pa.Table, col: str = "vec") -> np.ndarray:
+    """The vectors of an Arrow column as unit rows of a matrix."""
+    vec = table[col].combine_chunks()
+    flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return _unit(flat.reshape(len(vec), -1)) if len(vec) else np.zeros((0, 0))
+
+
+def _blocks_of(df: DataFrame, rows: int) -> int:
+    return max(1, -(-df.count() // rows))
+
+
+def first_near(rows: DataFrame, leaders: DataFrame, min_score: float) -> DataFrame:
+    """(pos, m): for every row near an earlier leader the first such one, ``m(seq, pos, id)``.
+
+    Both sides are ``(seq, pos, id, vec)`` and are cut into blocks of ITEM_BLOCK rows that
+    meet in cells on the cluster. A cell multiplies two bounded matrices and returns one
+    row at most for each of its rows, so no pair table exists however dense the neighbours
+    are, and no vector comes to the driver. The result is cut off from both sides, so that
+    it can be joined with them again.
+    """
+    left_n, right_n = _blocks_of(rows, ITEM_BLOCK), _blocks_of(leaders, ITEM_BLOCK)
+
+    def side(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return (df.select("seq", "pos", "id", "vec", F.pmod(F.xxhash64("pos"), F.lit(n)).alias(own))
+                .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))))
+
+    names = ["pos", "lseq", "lpos", "lid"]
+
+    def cell(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        # a side without rows in this cell comes without its columns
+        if not {"vec"} <= set(mine.column_names) & set(theirs.column_names) or not len(mine) or not len(theirs):
+            return pa.table([pa.array([], pa.int64())] * len(names), names=names)
+        theirs = theirs.sort_by([("seq", "ascending"), ("pos", "ascending")])
+        a, b = _arrow_unit(mine), _arrow_unit(theirs)
+        hit, first = np.zeros(len(a), bool), np.zeros(len(a), np.int64)
+        earlier = np.searchsorted(_places(theirs), _places(mine), side="left")
+        step = max(1, SCORE_CELLS // len(b))
+        for at in range(0, len(a), step):
+            near = np.round(a[at:at + step] @ b.T, 6) >= min_score
+            near &= np.arange(len(b)) < earlier[at:at + step, None]
+            hit[at:at + step], first[at:at + step] = near.any(axis=1), near.argmax(axis=1)
+        found = theirs.select(["seq", "pos", "id"]).take(first[hit])
+        return pa.table([mine["pos"].filter(pa.array(hit)), *found.columns], names=names)
+
+    cells = side(rows, "_l", left_n, "_r", right_n).groupBy("_l", "_r").cogroup(side(leaders, "_r", right_n, "_l", left_n).groupBy("_l", "_r"))
+    return cut(cells.applyInArrow(cell, "pos bigint, lseq bigint, lpos bigint, lid bigint")
+               .groupBy("pos").agg(F.min(F.struct(F.col("lseq").alias("seq"), F.col("lpos").alias("pos"), F.col("lid").alias("id"))).alias("m")))
+
+
+def _places(table: pa.Table) -> np.ndarray:
+    """Sortable (seq, pos) of a table."""
+    out = np.empty(len(table), dtype=[("seq", np.int64), ("pos", np.int64)])
+    out["seq"], out["pos"] = table["seq"].to_numpy(), table["pos"].to_numpy()
+    return out
+
+
+def _lead_alone(rows: DataFrame, min_score: float) -> DataFrame:
+    """Leaders among a bounded number of rows, taken one after the other in one task."""
+    def pick(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        mat = _arrow_unit(table)
+        open_, leads = np.ones(len(table), bool), np.zeros(len(table), bool)
+        for n in range(len(table)):
+            if open_[n]:
+                leads[n] = True
+                open_[n:] &= np.round(mat[n:] @ mat[n], 6) < min_score
+        return table.filter(pa.array(leads)).drop_columns(["_all"])
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(pick, rows.schema)
+
+
+def _independent(rows: DataFrame, min_score: float, greedy_rows: int) -> DataFrame:
+    """The rows that lead when ``rows`` are taken in order of ``pos``.
+
+    In rounds: a row without an undecided earlier neighbour leads, and the neighbours of
+    leaders are decided. The rounds follow the longest chain of neighbours in order; what
+    is left is taken in one task once it is no more than ``greedy_rows`` rows.
+    """
+    found, open_ = [], rows
+    while open_.count() > greedy_rows:
+        lead = cut(open_.join(first_near(open_, open_, min_score).select("pos"), "pos", "left_anti").select(*rows.columns))
+        found.append(lead)
+        decided = first_near(open_, lead, min_score).select("pos").unionByName(lead.select("pos"))
+        open_ = cut(open_.join(decided, "pos", "left_anti").select(*rows.columns))
+    out = _lead_alone(open_, min_score)
+    for lead in found:
+        out = out.unionByName(lead)
+    return cut(out)
+
+
+def near_dup_leaders(items: DataFrame, min_score: float = 0.85, known: DataFrame | None = None, order: str = "id",
+                     greedy_rows: int = GREEDY_ROWS) -> DataFrame:
+    """(id, leader_id): each row, in the order of ``order`` (a number of its own for every
+    id), joins the first earlier leader within ``min_score`` cosine, else becomes a leader
+    whose vector never moves.
+
+    Equal vectors always share their leader, so copies are collapsed first. The rest is
+    decided in prefixes of the order that grow fourfold: what no earlier leader has taken
+    gives the leaders of the prefix (:func:`_independent`), which are then offered to all
+    that is undecided. So dense groups of near copies are gone before they can meet
+    themselves, and the number of prefixes grows with the logarithm of the rows.
+
+    ``known(id, vec)``: leaders of earlier runs, tried first, in id order; with a column
+    ``seq`` (say the batch they arrived in) in the order of seq and id, or of seq and
+    ``order`` if they have that column. A row with a null vector or one without length
+    resembles nothing, not even another one, and leads itself.
     """
-    spark = items.sparkSession
-    # a vector without length resembles nothing, not even another one
     alone = F.coalesce(~F.exists("vec", lambda v: v != 0), F.lit(True))
-    source = items.where(~alone).select("id", "vec")
+    source = items.where(~alone).select("id", "vec", F.col(order).cast("bigint").alias("pos"))
     lonely = items.where(alone).select("id", F.col("id").alias("leader_id"))
-    distinct = cut(source.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"))
-    schema = T.StructType([T.StructField("id", T.LongType()),
-                           T.StructField("vec", items.schema["vec"].dataType),
-                           T.StructField("leader_id", T.LongType())])
-    settled = None
-    todo = distinct
-    offered = known if known is None or "seq" in known.columns else known.withColumn("seq", F.lit(0))
-
-    def absorb(settled, piece):
-        return piece if settled is None else settled.unionByName(piece)
-
-    last_known = None
-    while True:
-        if offered is not None:
-            nxt = offered
-            if last_known is not None:
-                seq, key = last_known
-                nxt = offered.where((F.col("seq") > seq) | (F.col("seq") == seq) & (F.col("id") > key))
-            rows = nxt.orderBy("seq", "id").limit(batch).select("id", "vec", "seq").toPandas()
-            if not len(rows):
-                offered = None
-                continue
-            last_known = int(rows["seq"].iloc[-1]), int(rows["id"].iloc[-1])
-            leaders_ids, leaders_mat = rows["id"].to_numpy(), _unit(_matrix(rows["vec"]))
-            chosen = None
-        else:
-            rows = todo.orderBy("id").limit(batch).select("id", "vec").toPandas()
-            if not len(rows):
-                break
-            ids, mat = rows["id"].to_numpy(), _unit(_matrix(rows["vec"]))
-            picked: list[int] = []
-            for n in range(len(ids)):
-                if not picked or not (np.round(mat[picked] @ mat[n], 6) >= min_score).any():
-                    picked.append(n)
-            leaders_ids, leaders_mat = ids[picked], mat[picked]
-            chosen = leaders_ids
-        shared = spark.sparkContext.broadcast((leaders_ids, leaders_mat))
-        marked = cut(todo.mapInPandas(_attach(shared, min_score, schema), schema))
-        if chosen is not None:
-            own = spark.createDataFrame([(int(x),) for x in chosen], "lead bigint")
-            marked = (marked.join(F.broadcast(own), marked["id"] == own["lead"], "left")
-                      .withColumn("leader_id", F.coalesce("lead", "leader_id")).drop("lead"))
-        settled = absorb(settled, marked.where("leader_id is not null"))
-        todo = marked.where("leader_id is null").select("id", "vec")
-    if settled is None:
-        return lonely
-    return (source.join(settled.select("vec", "leader_id"), "vec")
-            .select("id", "leader_id").unionByName(lonely))
+    todo = cut(source.groupBy("vec").agg(F.min(F.struct("pos", "id")).alias("m"))
+               .select(F.lit(_NOW).alias("seq"), "m.pos", "m.id", "vec"))
+    settled, columns = [], todo.columns
+
+    def offer(leaders: DataFrame) -> None:
+        nonlocal todo
+        near = first_near(todo, leaders, min_score).select("pos", F.col("m.id").alias("leader_id"))
+        settled.append(todo.join(near, "pos").select("vec", "leader_id"))
+        todo = todo.join(near, "pos", "left_anti").select(*columns)
+
+    if known is not None:
+        place = order if order in known.columns else "id"
+        earlier = known if "seq" in known.columns else known.withColumn("seq", F.lit(0))
+        offer(cut(earlier.where(F.exists("vec", lambda v: v != 0))
+                  .select(F.col("seq").cast("bigint").alias("seq"), F.col(place).cast("bigint").alias("pos"), "id", "vec")))
+    size = greedy_rows
+    while left := todo.count():
+        block = todo
+        if left > size:
+            # a little less than size, as the bound is an estimate
+            bound = todo.agg(F.percentile_approx("pos", 0.9 * size / left, 10_000)).first()[0]
+            block = todo.where(F.col("pos") <= bound)
+        leaders = _independent(block, min_score, greedy_rows)
+        settled.append(leaders.select("vec", F.col("id").alias("leader_id")))
+        todo = todo.join(leaders.select("pos"), "pos", "left_anti").select(*columns)
+        offer(leaders)
+        todo = cut(todo)
+        size *= 4
+    out = lonely
+    if settled:
+        decided = settled[0]
+        for piece in settled[1:]:
+            decided = decided.unionByName(piece)
+        out = source.join(decided, "vec").select("id", "leader_id").unionByName(lonely)
+    return out
 
 
 def mentions(assigned: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scholia.functions.text import document_of, records, tokens
 from scholia.operators import evaluation, lexical, ranking, vectors
 from scholia.plans.registry import query
-from scholia.plans.views import kws, sibling_sql, toks
+from scholia.plans.views import LEADER_FOLD, kws, sibling_sql, toks
 
 
 # ---- lexical ---------------------------------------------------------------
@@ -111,7 +111,7 @@ def _(t):
     return vectors.knn_threshold(t.v_vec_queries, t.v_vec, 10, 0.3, skip_self=True)
 
 
-@query("near_dup_leaders")
+@query("near_dup_leaders", f"{LEADER_FOLD} SELECT id, leader_id FROM leaders")
 def _(t):
     docs = vectors.embed_hashed(t.documents.select(F.col("doc_id").alias("id"), "text"), out="vec").select("id", "vec")
     return vectors.near_dup_leaders(docs, 0.85)

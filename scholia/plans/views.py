@@ -179,6 +179,24 @@ SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER
   SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"""
 
+# leaders among the documents, by a fold over a list: one step a document in id order
+ORACLE_VIEWS["o_dvec"] = f"""
+SELECT doc_id, list(coalesce(c, 0.0) ORDER BY k) AS v FROM (SELECT doc_id, unnest(range(0, 64)) AS k FROM documents)
+LEFT JOIN (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS k, count(*)::DOUBLE AS c FROM (SELECT doc_id, unnest({toks('text')}) AS term FROM documents) GROUP BY ALL) USING (doc_id, k)
+GROUP BY doc_id"""
+ORACLE_VIEWS["o_dnum"] = "SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, v FROM o_dvec WHERE list_sum(v) > 0"
+ORACLE_VIEWS["o_dnear"] = """
+SELECT b.r, list(a.r ORDER BY a.r) AS nb FROM o_dnum a JOIN o_dnum b ON a.r < b.r AND round(list_cosine_similarity(a.v, b.v), 6) >= 0.85 GROUP BY b.r"""
+LEADER_FOLD = """
+WITH RECURSIVE fold(r, leads) AS (
+  SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT fold.r + 1, CASE WHEN list_has_any(leads, coalesce(nb, [])) THEN leads ELSE list_append(leads, fold.r + 1) END
+  FROM fold LEFT JOIN o_dnear n ON n.r = fold.r + 1 WHERE fold.r < (SELECT count(*) FROM o_dnum)),
+last AS (SELECT leads FROM fold ORDER BY r DESC LIMIT 1),
+joined AS (SELECT d.r, coalesce(list_min(list_intersect(nb, leads)), d.r) AS lead FROM last, o_dnum d LEFT JOIN o_dnear n USING (r)),
+leaders AS (SELECT a.doc_id AS id, b.doc_id AS leader_id FROM joined JOIN o_dnum a USING (r) JOIN o_dnum b ON b.r = lead
+            UNION ALL SELECT doc_id, doc_id FROM o_dvec WHERE list_sum(v) = 0)"""
+
 # ---- markdown made from the documents --------------------------------------
 
 MD_LINE = """

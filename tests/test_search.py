@@ -75,11 +75,42 @@ def test_leaders_equal_the_sequential_fold(spark):
     m[100:150] = m[3]  # hot group of copies
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, vec array<double>")
     want = sequential_leaders(m, 0.85)
-    for batch in (7, 4096):
-        got = {r["id"]: r["leader_id"] for r in vectors.near_dup_leaders(df, 0.85, batch).collect()}
+    for few in (7, 4096):
+        got = {r["id"]: r["leader_id"] for r in vectors.near_dup_leaders(df, 0.85, greedy_rows=few).collect()}
         assert got == want
 
 
+def test_leaders_in_another_order_and_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ITEM_BLOCK", 23)
+    m = random_vectors(120, 3, 8)
+    places = np.random.default_rng(2).permutation(120)
+    df = spark.createDataFrame([(i, int(places[i]), v.tolist()) for i, v in enumerate(m)], "id bigint, arrival bigint, vec array<double>")
+    by_place = np.argsort(places)
+    want = {int(by_place[a]): int(by_place[b]) for a, b in sequential_leaders(m[by_place], 0.9).items()}
+    for few in (5, 4096):
+        assert {r["id"]: r["leader_id"] for r in vectors.near_dup_leaders(df, 0.9, order="arrival", greedy_rows=few).collect()} == want
+
+
+def test_a_chain_of_neighbours(spark):
+    """Each row is near the next one only: every other row leads."""
+    angles = np.arange(40) * 0.5
+    df = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))] + [0.0] * i + [0.6] + [0.0] * (39 - i)) for i, a in enumerate(angles)], "id bigint, vec array<double>")
+    m = np.array([r["vec"] for r in df.orderBy("id").collect()])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    got = {r["id"]: r["leader_id"] for r in vectors.near_dup_leaders(df, 0.55, greedy_rows=2).collect()}
+    assert got == sequential_leaders(m, 0.55)
+
+
+def test_leaders_stay_on_the_cluster(spark, monkeypatch):
+    """Neither vectors nor leaders come to the driver: only counts and bounds do."""
+    from pyspark.sql import DataFrame
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("pulled to the driver"))
+    monkeypatch.setattr(DataFrame, "collect", lambda self: pytest.fail("pulled to the driver"))
+    m = random_vectors(60, 4, 9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, vec array<double>")
+    vectors.near_dup_leaders(df, 0.85, greedy_rows=5)
+
+
 def test_leader_is_not_transitive(spark):
     a, b, c = [1.0, 0.0], [0.87, 0.49], [0.52, 0.85]  # a~b, b~c, not a~c
     df = spark.createDataFrame([(0, a), (1, b), (2, c)], "id bigint, vec array<double>")
@@ -218,7 +249,7 @@ def test_known_leaders_by_arrival(spark):
     known = spark.createDataFrame([(9, one, 0), (5, [0.99, 0.1], 1)], "id bigint, vec array<double>, seq int")
     rows = spark.createDataFrame([(1, one)], "id bigint, vec array<double>")
     assert vectors.near_dup_leaders(rows, 0.9, known=known).first()["leader_id"] == 9
-    assert vectors.near_dup_leaders(rows, 0.9, known=known, batch=1).first()["leader_id"] == 9
+    assert vectors.near_dup_leaders(rows, 0.9, known=known, greedy_rows=1).first()["leader_id"] == 9
 
 
 def test_missing_vectors_are_no_hits(spark):
