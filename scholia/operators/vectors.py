@@ -41,21 +41,19 @@ def normalised(vec: Column) -> Column:
 def embed_hashed(df: DataFrame, text_col: str = "text", out: str = "embedding", dim: int = DIM) -> DataFrame:
     """The same vectors as :func:`hashed_vector`, one Arrow batch at a time.
 
-    The JVM tokenises and hashes; numpy only counts buckets. This avoids touching
-    all ``dim`` slots once per token.
+    The JVM tokenises and hashes; numpy counts the buckets of a whole batch together. This
+    avoids touching all ``dim`` slots once per token. A null text has no tokens.
     """
-    @F.pandas_udf("array<double>")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = []
-            for b in batch:
-                v = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(float)
-                n = np.sqrt((v * v).sum())
-                rows.append(v / n if n > 0 else v)
-            yield pd.Series(rows)
+            sizes = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            cells = np.repeat(np.arange(len(batch)), sizes) * dim + batch.flatten().to_numpy(zero_copy_only=False)
+            rows = np.bincount(cells, minlength=len(batch) * dim).astype(float).reshape(len(batch), dim)
+            yield pa.ListArray.from_arrays(np.arange(0, (len(batch) + 1) * dim, dim, dtype=np.int32), _unit(rows).ravel())
 
+    count.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     buckets = F.transform(tokens(text_col), lambda t: (F.conv(F.left(F.md5(t), F.lit(8)), 16, 10).cast("bigint") % dim).cast("int"))
-    return df.withColumn(out, count(buckets))
+    return df.withColumn(out, F.arrow_udf(count, "array<double>")(buckets))
 
 
 def embed_batch(df: DataFrame, load_model: Callable[[], Callable[[list[str]], np.ndarray]],
@@ -104,20 +102,21 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.asarray(col.tolist(), dtype=np.float64) if len(col) else np.zeros((0, 0))
 
 
-def _best_rows(query_ids, scores, item_ids, k, skip_self):
+def _best_rows(query_ids: np.ndarray, scores: np.ndarray, item_ids: np.ndarray, k: int, skip_self: bool) -> pd.DataFrame:
     """Top k per query row of a score matrix, ties by item id."""
-    out = []
-    for row, qid in enumerate(query_ids):
-        s = scores[row]
-        keep = np.arange(len(s)) if not skip_self else np.flatnonzero(item_ids != qid)
-        v = s[keep]
-        if len(v) > k:
-            bar = np.partition(v, len(v) - k)[len(v) - k]
-            keep = keep[v >= bar]
-            v = s[keep]
-        order = np.lexsort((item_ids[keep], -v))[:k]
-        out.extend((qid, item_ids[keep[i]], v[i]) for i in order)
-    return out
+    if skip_self:
+        scores = np.where(item_ids[None, :] == query_ids[:, None], -np.inf, scores)
+    if scores.shape[1] > k:
+        bar = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+        row, col = np.nonzero((scores >= bar) & (scores > -np.inf))
+    else:
+        row, col = np.nonzero(scores > -np.inf)
+    score = scores[row, col]
+    order = np.lexsort((item_ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    return pd.DataFrame({"query_id": query_ids[row[keep]], "item_id": item_ids[col[keep]], "score": score[keep]})
 
 
 def knn_topk(queries: DataFrame, items: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
@@ -144,8 +143,7 @@ def knn_topk(queries: DataFrame, items: DataFrame, k: int, skip_self: bool = Fal
                 if len(pdf) and len(qids):
                     ids = pdf["item_id"].to_numpy()
                     scores = np.round(qmat @ _unit(_matrix(pdf["ivec"])).T, 6)
-                    yield pd.DataFrame(_best_rows(qids, scores, ids, k, skip_self),
-                                       columns=["query_id", "item_id", "score"])
+                    yield _best_rows(qids, scores, ids, k, skip_self)
 
         partial = items.select("item_id", "ivec").mapInPandas(scan, schema)
     else:
@@ -166,11 +164,11 @@ def _knn_blocks(queries: DataFrame, items: DataFrame, k: int, skip_self: bool, s
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
         qmat, imat, ids = _unit(_matrix(left["qvec"])), _unit(_matrix(right["ivec"])), right["item_id"].to_numpy()
-        out = []
-        for at in range(0, len(left), 256):
-            scores = np.round(qmat[at:at + 256] @ imat.T, 6)
-            out.extend(_best_rows(left["query_id"].to_numpy()[at:at + 256], scores, ids, k, skip_self))
-        return pd.DataFrame(out, columns=["query_id", "item_id", "score"])
+        out, qids = [], left["query_id"].to_numpy()
+        step = max(1, SCORE_CELLS // len(ids))
+        for at in range(0, len(left), step):
+            out.append(_best_rows(qids[at:at + step], np.round(qmat[at:at + step] @ imat.T, 6), ids, k, skip_self))
+        return pd.concat(out, ignore_index=True)
 
     return (q.groupBy("_q", "_i").cogroup(i.groupBy("_q", "_i"))
             .applyInPandas(cell, schema))
@@ -344,13 +342,20 @@ def mentions(assigned: DataFrame) -> DataFrame:
 def recommend(profiles: DataFrame, catalog: DataFrame, installed: DataFrame, limit: int = 32) -> DataFrame:
     """Best items per profile that are not installed, at most the free slots.
 
-    ``profiles(query_id, qvec)``, ``catalog(item_id, ivec)``, ``installed(query_id,
-    item_id)``. With ``used`` installed rows there are ``limit - used`` slots and at
-    most ``used`` of the first ``limit`` neighbours are hidden, so those suffice.
+    ``profiles(query_id, qvec)``, ``catalog(item_id, name, ivec)``, ``installed(query_id,
+    name)``; names are compared without regard to case. An item without a vector scores 0.
+    With ``used`` installed names there are ``limit - used`` slots. Names are unique in the
+    catalog, so at most ``used`` of the first ``limit`` neighbours are hidden and those suffice.
     """
-    used = installed.groupBy("query_id").agg(F.countDistinct("item_id").alias("used"))
-    hits = knn_topk(profiles, catalog, limit).drop("rank")
-    free = hits.join(installed, ["query_id", "item_id"], "left_anti").join(used, "query_id", "left")
+    mine = installed.select("query_id", F.lower("name").alias("name")).distinct()
+    used = mine.groupBy("query_id").agg(F.count(F.lit(1)).alias("used"))
+    # a vector without length has the cosine 0 with everything
+    whole = F.col("ivec").isNotNull() & ~F.exists("ivec", lambda v: v.isNull())
+    known = catalog.select("item_id", F.lower("name").alias("name"), F.when(whole, F.col("ivec")).alias("ivec"))
+    dim = F.broadcast(known.agg(F.coalesce(F.max(F.size("ivec")), F.lit(1)).alias("dim")))
+    filled = known.join(dim).withColumn("ivec", F.coalesce("ivec", F.transform(F.sequence(F.lit(1), F.greatest("dim", F.lit(1))), lambda i: i.cast("double") * 0)))
+    hits = knn_topk(profiles, filled.select("item_id", "ivec"), limit).drop("rank").join(known.select("item_id", "name"), "item_id")
+    free = hits.join(mine, ["query_id", "name"], "left_anti").join(used, "query_id", "left")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
     return (free.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= F.greatest(F.lit(0), F.lit(limit) - F.coalesce("used", F.lit(0))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scholia.functions.text import document_of, records, tokens
-from scholia.operators import evaluation, lexical, ranking, vectors
+from scholia.operators import evaluation, lexical, neighbours, ranking, vectors
 from scholia.plans.registry import query
 from scholia.plans.views import LEADER_FOLD, kws, sibling_sql, toks
 
@@ -125,22 +125,33 @@ def _(t):
     return vectors.fill_cache(names, cache, "name", "name").select("name")
 
 
+@query("knn_candidates")
+def _(t):
+    """Neighbours from the signature index; knn_topk is the exact answer to the same queries."""
+    signatures = neighbours.fit(t.v_vec)
+    return neighbours.search(neighbours.build(t.v_vec, signatures), t.v_vec_queries, signatures, 10, skip_self=True)
+
+
 @query("recommend", """
 WITH inst AS (SELECT DISTINCT user_id AS query_id, json_extract(props, '$.k')::BIGINT AS item_id FROM events WHERE event_type = 'purchase'),
 used AS (SELECT query_id, count(*) AS used FROM inst GROUP BY query_id),
 prof AS (SELECT DISTINCT user_id AS query_id FROM events),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, CASE WHEN b.label = 3 THEN 0.0 ELSE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) END AS score
       FROM embeddings a JOIN prof p ON p.query_id = a.vec_id, embeddings b)
 SELECT query_id, item_id, score, rank FROM (
   SELECT s.*, coalesce(used, 0) AS used, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, s.item_id) AS rank
   FROM s LEFT JOIN used USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM inst i WHERE i.query_id = s.query_id AND i.item_id = s.item_id))
 WHERE rank <= greatest(0, 32 - used)""")
 def _(t):
+    """A profile per user with a vector; a tenth of the catalog has none, names differ in case."""
     ev = t.events
     installed = (ev.where("event_type = 'purchase'")
-                 .select(F.col("user_id").alias("query_id"), F.get_json_object("props", "$.k").cast("bigint").alias("item_id")).distinct())
-    profiles = t.v_vec_queries.join(ev.select(F.col("user_id").alias("query_id")).distinct(), "query_id", "left_semi")
-    return vectors.recommend(profiles, t.v_vec, installed)
+                 .select(F.col("user_id").alias("query_id"), F.concat(F.lit("ITEM-"), F.get_json_object("props", "$.k")).alias("name")))
+    profiles = (t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+                .join(ev.select(F.col("user_id").alias("query_id")).distinct(), "query_id", "left_semi"))
+    catalog = t.embeddings.select(F.col("vec_id").alias("item_id"), F.concat(F.lit("Item-"), F.col("vec_id").cast("string")).alias("name"),
+                                  F.when(F.col("label") != 3, F.col("embedding")).alias("ivec"))
+    return vectors.recommend(profiles, catalog, installed)
 
 
 @query("best_per_name", """

@@ -3,7 +3,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from scholia.operators import evaluation, lexical, ranking, vectors
+from scholia.operators import evaluation, lexical, neighbours, ranking, vectors
 
 
 def chunk_df(spark, texts):
@@ -263,3 +263,67 @@ def test_cache_takes_the_smallest_text_of_a_key(spark):
     empty = spark.createDataFrame([], "key string, embedding array<double>")
     got = vectors.fill_cache(items, empty, "key", "text").first()["embedding"]
     assert got == vectors.embed_hashed(items.where("text = 'apple pie'")).first()["embedding"]
+
+
+# ---- neighbours from an index ----------------------------------------------
+
+def found_of(spark, items, queries, k=10, target=neighbours.TARGET):
+    signatures = neighbours.fit(items, k, target)
+    index = neighbours.build(items, signatures)
+    assert index.count() == items.where("ivec is not null").count()
+    return signatures, neighbours.search(index, queries, signatures, k, skip_self=True)
+
+
+def test_recall_on_the_embeddings(spark):
+    """Vectors without structure: recall holds, at the price of probing most buckets."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    items = table.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("ivec"))
+    queries = table.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    signatures, found = found_of(spark, items, queries)
+    assert neighbours.recall(found, vectors.knn_topk(queries, items, 10, skip_self=True)) >= 0.9
+
+
+def test_recall_and_probes_on_clustered_vectors(spark, monkeypatch):
+    """Vectors in groups: the same recall from a small part of the buckets."""
+    monkeypatch.setattr(neighbours, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(neighbours, "PIECE_ROWS", 50)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(150, 32))
+    m = centres[rng.integers(0, 150, 6000)] + 0.25 * rng.normal(size=(6000, 32))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "item_id bigint, ivec array<double>").cache()
+    queries = items.where("item_id % 20 = 0").selectExpr("item_id AS query_id", "ivec AS qvec")
+    signatures, found = found_of(spark, items, queries)
+    exact = vectors.knn_topk(queries, items, 10, skip_self=True)
+    assert neighbours.recall(found, exact) >= 0.9
+    assert signatures.probes <= 0.25 * 2 ** signatures.bits
+    # scores are exact: what both have in common is scored alike
+    both = found.join(exact.withColumnRenamed("score", "want"), ["query_id", "item_id"])
+    assert both.where("score <> want").count() == 0
+
+
+def test_probe_order_is_nearest_first():
+    s = neighbours.Signatures(neighbours._planes(8, 5, 1), 1, 1.0)
+    q = random_vectors(20, 8, 3)
+    order = s.probe_order(q, 32)
+    assert (order[:, 0] == s.buckets(q)).all() and all(len(set(r)) == 32 for r in order.tolist())
+    margin = (q @ s.planes) ** 2
+    cost = np.array([[sum(margin[i, b] for b in range(5) if (own[0] ^ x) >> b & 1) for x in own] for i, own in enumerate(order)])
+    assert (np.diff(cost, axis=1) >= -1e-12).all()
+
+
+def test_index_of_odd_tables(spark):
+    none = spark.createDataFrame([], "item_id bigint, ivec array<double>")
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [0.0, 0.0])], "item_id bigint, ivec array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (9, None)], "query_id bigint, qvec array<double>")
+    assert neighbours.search(neighbours.build(none, neighbours.fit(none)), queries, neighbours.fit(none)).count() == 0
+    signatures = neighbours.fit(odd)
+    got = neighbours.search(neighbours.build(odd, signatures), queries, signatures, 3)
+    assert sorted((r.query_id, r.item_id, r.score) for r in got.collect()) == [(1, 1, 1.0), (1, 4, 0.0)]
+
+
+def test_recommend_scores_a_missing_vector_with_zero(spark):
+    profiles = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, qvec array<double>")
+    catalog = spark.createDataFrame([(1, "Up", [1.0, 0.1]), (2, "None", None), (3, "Down", [-1.0, 0.0]), (4, "Have", [1.0, 0.0])], "item_id bigint, name string, ivec array<double>")
+    installed = spark.createDataFrame([(1, "HAVE"), (1, "have"), (1, "elsewhere")], "query_id bigint, name string")
+    got = [(r.item_id, r.rank) for r in vectors.recommend(profiles, catalog, installed, 5).orderBy("rank").collect()]
+    assert got == [(1, 1), (2, 2), (3, 3)]
