@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,19 +42,24 @@ def normalised(vec: Column) -> Column:
 def embed_hashed(df: DataFrame, text_col: str = "text", out: str = "embedding", dim: int = DIM) -> DataFrame:
     """The same vectors as :func:`hashed_vector`, one Arrow batch at a time.
 
-    The JVM tokenises and hashes; numpy counts the buckets of a whole batch together. This
-    avoids touching all ``dim`` slots once per token. A null text has no tokens.
+    The JVM tokenises; a task hashes every different token of a batch once and counts the
+    buckets of the batch together, instead of touching all ``dim`` slots once per token. A
+    null text has no tokens.
     """
+    def bucket(token: str) -> int:
+        return int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % dim
+
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             sizes = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            cells = np.repeat(np.arange(len(batch)), sizes) * dim + batch.flatten().to_numpy(zero_copy_only=False)
+            words = batch.flatten().dictionary_encode()
+            hashed = np.fromiter(map(bucket, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+            cells = np.repeat(np.arange(len(batch)), sizes) * dim + hashed[words.indices.to_numpy()]
             rows = np.bincount(cells, minlength=len(batch) * dim).astype(float).reshape(len(batch), dim)
             yield pa.ListArray.from_arrays(np.arange(0, (len(batch) + 1) * dim, dim, dtype=np.int32), _unit(rows).ravel())
 
     count.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    buckets = F.transform(tokens(text_col), lambda t: (F.conv(F.left(F.md5(t), F.lit(8)), 16, 10).cast("bigint") % dim).cast("int"))
-    return df.withColumn(out, F.arrow_udf(count, "array<double>")(buckets))
+    return df.withColumn(out, F.arrow_udf(count, "array<double>")(tokens(text_col)))
 
 
 def embed_batch(df: DataFrame, load_model: Callable[[], Callable[[list[str]], np.ndarray]],
@@ -293,8 +299,8 @@ def near_dup_leaders(items: DataFrame, min_score: float = 0.85, known: DataFrame
     resembles nothing, not even another one, and leads itself.
     """
     alone = F.coalesce(~F.exists("vec", lambda v: v != 0), F.lit(True))
-    source = items.where(~alone).select("id", "vec", F.col(order).cast("bigint").alias("pos"))
-    lonely = items.where(alone).select("id", F.col("id").alias("leader_id"))
+    rows = cut(items.select("id", "vec", F.col(order).cast("bigint").alias("pos")))
+    source, lonely = rows.where(~alone), rows.where(alone).select("id", F.col("id").alias("leader_id"))
     todo = cut(source.groupBy("vec").agg(F.min(F.struct("pos", "id")).alias("m"))
                .select(F.lit(_NOW).alias("seq"), "m.pos", "m.id", "vec"))
     settled, columns = [], todo.columns

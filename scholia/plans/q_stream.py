@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scholia.operators import manifests
 from scholia.plans.q_mining import MATCH, scoped
 from scholia.plans.registry import query
-from scholia.plans.views import LIB
+from scholia.plans.views import LEADER_FOLD, LIB
 from scholia.streaming import jobs
 
 
@@ -74,18 +74,31 @@ def _(t):
     return df.join(F.broadcast(stats)).select("term", "df", "n_docs", "total_len")
 
 
-@query("stream_near_dup")
+@query("stream_near_dup", f"""{LEADER_FOLD},
+m AS (SELECT leader_id, count(*) AS mentions FROM leaders GROUP BY leader_id)
+SELECT leader_id, mentions, CASE WHEN mentions >= 10 THEN 4 WHEN mentions >= 5 THEN 3 WHEN mentions >= 3 THEN 2 ELSE 1 END AS level FROM m""")
 def _(t):
-    docs = jobs.read_table_stream(t.spark, t.dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return jobs.near_dup(docs, jobs.scratch(t.spark, "near-dup"))
+    """The documents in three parts, by id."""
+    out = jobs.scratch(t.spark, "near-dup")
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    return jobs.in_parts(docs, out, "id", 3, lambda stream: jobs.near_dup(stream, out))
 
 
 @query("stream_ttl_cache", """
-SELECT 'npm:' || lib || '@1.' || p_size || '.0' AS key, 'miss' AS state, any_value(publish_date) AS publish_date FROM o_edits JOIN part ON pk = p_partkey LEFT JOIN v_releases r ON r.name = lib GROUP BY ALL""")
+WITH a AS (SELECT 'npm:' || lib || '@1.' || p_size || '.0' AS key, lib, p_type, ts, row_number() OVER (PARTITION BY lib ORDER BY ts) AS n FROM o_edits JOIN events USING (event_id) JOIN part ON pk = p_partkey),
+l AS (SELECT key, any_value(lib) AS lib, any_value(p_type) AS ty, list([epoch_us(ts)] ORDER BY n) AS ticks FROM a GROUP BY key),
+m AS (SELECT key, lib, ty, list_transform(ticks, lambda x: x[1]) AS ticks, list_reduce(ticks, lambda acc, x: CASE WHEN x[1] - acc[-1] < 86400000000 THEN acc ELSE list_concat(acc, x) END) AS loads FROM l),
+s AS (SELECT key, lib, ty, unnest(ticks) AS us, unnest(range(1, len(ticks) + 1)) AS n, ticks, loads FROM m),
+w AS (SELECT key, us, CASE WHEN ty <> 'PROMO' THEN publish_date END AS publish_date, list_contains(loads, us) AND (n = 1 OR ticks[n - 1] <> us) AS miss FROM s LEFT JOIN v_releases r ON r.name = lib)
+SELECT key, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S') AS ts, CASE WHEN miss THEN 'miss' WHEN publish_date IS NULL THEN 'no-gap' ELSE 'hit' END AS state, publish_date FROM w""")
 def _(t):
+    """Requests in three parts by time; a part of the releases has no date."""
     sizes = t.part.selectExpr("concat('lib', p_partkey + 1000) AS lib", "p_size")
     n = t.part.agg(F.count(F.lit(1)).alias("n"))
-    ev = jobs.read_table_stream(t.spark, t.dir, "events").join(F.broadcast(n)).selectExpr("ts", f"{LIB.format('event_id % n')} AS lib")
-    asked = ev.join(sizes, "lib").selectExpr("concat('npm:', lib, '@1.', p_size, '.0') AS key", "ts")
-    rel = t.v_releases.selectExpr("concat(ecosystem, ':', name, '@', version) AS key", "publish_date")
-    return jobs.ttl_cache(asked, rel, jobs.scratch(t.spark, "ttl")).select("key", "state", "publish_date")
+    asked = (t.events.join(F.broadcast(n)).selectExpr("ts", f"{LIB.format('event_id % n')} AS lib")
+             .join(sizes, "lib").selectExpr("concat('npm:', lib, '@1.', p_size, '.0') AS key", "cast(ts AS timestamp) AS ts"))
+    dated = t.part.where("p_type <> 'PROMO'").selectExpr("concat('lib', p_partkey + 1000) AS name")
+    rel = t.v_releases.join(dated, "name").selectExpr("concat(ecosystem, ':', name, '@', version) AS key", "publish_date")
+    out = jobs.scratch(t.spark, "ttl")
+    got = jobs.in_parts(asked, out, "ts", 3, lambda stream: jobs.ttl_cache(stream, rel, out))
+    return got.select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "state", "publish_date")

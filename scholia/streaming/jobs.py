@@ -8,17 +8,19 @@ after a lost executor replaces its first attempt.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from scholia.functions.scale import cut, scratch_path
 from scholia.functions.text import chunk_number, lines
 from scholia.operators import lexical, mining, rules, vectors
-from scholia.sources.records import ttl_cache_split, upsert_latest
 
 
 # ---- plumbing --------------------------------------------------------------
@@ -181,56 +183,129 @@ def index_stream(stream: DataFrame, out: str) -> tuple[DataFrame, DataFrame]:
     return df, stats
 
 
-# ---- state kept in tables --------------------------------------------------
+# ---- streams with state --------------------------------------------------
 
-LEADER_SCHEMA = "id bigint, leader_id bigint, vec array<double>"
+LEADER_SCHEMA = "id bigint, leader_id bigint, arrival bigint, vec array<double>"
 
 
 def near_dup(stream: DataFrame, out: str, min_score: float = 0.85) -> DataFrame:
     """(leader_id, mentions, level): texts (id, text) merged as they arrive.
 
-    The leaders so far are a table; a batch is tried against them first, in the order
-    of their arrival, then settled in itself. Unlike state keyed by a hash bucket this is exact.
+    Inside a micro-batch texts arrive in the order of a column ``arrival`` (a number of its
+    own for every row), or of the id where there is none. A leader is stored with its batch
+    and its arrival; a batch is tried against the leaders of earlier batches first, in that
+    order, then settled in itself. So the result is that of one text after the other, which
+    state keyed by a hash bucket could not give. Only leaders carry their vector, and only
+    they are read again.
     """
     spark = stream.sparkSession
 
     def job(batch: DataFrame, n: int) -> None:
-        rows = cut(vectors.embed_hashed(batch.select("id", "text"), out="vec").select("id", "vec"))
-        known = read_batches(spark, out, "assigned", LEADER_SCHEMA, n).where("id = leader_id").select("id", "vec", F.col("batch").alias("seq"))
-        got = vectors.near_dup_leaders(rows, min_score, known=cut(known))
-        write_batch(got.join(rows, "id").select("id", "leader_id", "vec"), out, "assigned", n)
+        arrival = F.col("arrival" if "arrival" in batch.columns else "id").cast("bigint")
+        rows = cut(vectors.embed_hashed(batch.select("id", arrival.alias("arrival"), "text"), out="vec").select("id", "arrival", "vec"))
+        known = read_batches(spark, out, "leaders", LEADER_SCHEMA, n).select("id", "arrival", "vec", F.col("batch").alias("seq"))
+        got = cut(vectors.near_dup_leaders(rows, min_score, known=known, order="arrival"))
+        write_batch(got, out, "assigned", n)
+        write_batch(got.where("id = leader_id").join(rows, "id").select("id", "leader_id", "arrival", "vec"), out, "leaders", n)
     replay(stream, out, job)
     from scholia.operators.usage import mention_levels
-    return mention_levels(vectors.mentions(read_batches(spark, out, "assigned", LEADER_SCHEMA)))
+    return mention_levels(vectors.mentions(read_batches(spark, out, "assigned", "id bigint, leader_id bigint")))
 
 
-CACHE_SCHEMA = "key string, checked_at timestamp, publish_date string"
+ANSWER_SCHEMA = "key string, ts timestamp, state string, publish_date string"
 
 
-def ttl_cache(stream: DataFrame, releases: DataFrame, out: str, hours: int = 24) -> DataFrame:
-    """Look-aside cache over requests (key, ts): (key, batch, state, publish_date).
+class CachedAnswers(StatefulProcessor):
+    """One cached answer a key, as value state; requests are answered in the order of ``ts``.
 
-    One lookup per key and micro-batch; misses are loaded from ``releases(key,
-    publish_date)`` and stored with the time of the request.
+    A timer clears the state once no request can meet it fresh, so the store holds the keys
+    of the last hours, not all there ever were.
     """
-    spark = stream.sparkSession
 
-    def job(batch: DataFrame, n: int) -> None:
-        asked = batch.groupBy("key").agg(F.max(F.col("ts").cast("timestamp")).alias("now"))
-        stored = read_batches(spark, out, "cache", CACHE_SCHEMA, n).drop("batch")
-        empty = stored.limit(0)
-        current = upsert_latest(stored, empty, "key", "checked_at")
-        states = ttl_cache_split(asked, current.join(asked, "key").select("key", (F.col("checked_at") - F.col("now") + F.lit("2000-01-01").cast("timestamp")).alias("checked_at"), "publish_date"),
-                                 F.lit("2000-01-01").cast("timestamp"), hours)
-        states = cut(states.join(asked, "key"))
-        loaded = (states.where("state = 'miss'").select("key", F.col("now").alias("checked_at"))
-                  .join(releases.select("key", "publish_date"), "key", "left"))
-        write_batch(loaded.select("key", "checked_at", "publish_date"), out, "cache", n)
-        done = states.drop("publish_date").join(loaded.select("key", F.col("publish_date").alias("loaded")), "key", "left").join(
-            states.select("key", "publish_date"), "key")
-        write_batch(done.select("key", "state", F.coalesce("publish_date", "loaded").alias("publish_date")), out, "answers", n)
-    replay(stream, out, job)
-    return read_batches(spark, out, "answers", "key string, state string, publish_date string")
+    def __init__(self, hours: int):
+        self.hours = hours
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.cached = handle.getValueState("cached", "checked_at timestamp, publish_date string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        asked = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")
+        before = held = self.cached.get() if self.cached.exists() else None
+        states, dates = [], []
+        for ts, loaded in zip(asked["ts"], asked["loaded"], strict=True):
+            if held is None or ts - pd.Timestamp(held[0]) >= pd.Timedelta(hours=self.hours):
+                held = (ts.to_pydatetime(), loaded if isinstance(loaded, str) else None)
+                states.append("miss")
+            else:
+                states.append("no-gap" if held[1] is None else "hit")
+            dates.append(held[1])
+        if held is not before:
+            self.cached.update(held)
+            if before is not None:
+                self.handle.deleteTimer(self._end(before[0]))
+            self.handle.registerTimer(self._end(held[0]))
+        yield pd.DataFrame({"key": key[0], "ts": asked["ts"].to_numpy(), "state": states, "publish_date": pd.Series(dates, dtype=object)})
+
+    def _end(self, checked_at: Any) -> int:
+        return int((pd.Timestamp(checked_at) + pd.Timedelta(hours=self.hours)).timestamp() * 1000)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.cached.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def ttl_cache(stream: DataFrame, releases: DataFrame, out: str, hours: int = 24, late: str = "24 hours") -> DataFrame:
+    """Look-aside cache over requests (key, ts): (key, ts, state, publish_date) of each.
+
+    ``miss``: nothing is cached, or it is ``hours`` old by the time of the request; the date
+    is then loaded from ``releases(key, publish_date)`` and cached, also when there is none.
+    ``hit`` and ``no-gap`` answer from the cache, with and without a date, even where
+    ``releases`` has changed since. The cache is keyed state, so no earlier batch is read
+    again. Requests without a key or a time, and those that come more than ``late`` behind
+    the newest one of earlier batches, are left out.
+    """
+    spark = stream.sparkSession
+    date = releases.groupBy("key").agg(F.min("publish_date").alias("loaded"))
+    asked = (stream.select("key", F.col("ts").cast("timestamp").alias("ts")).where("key is not null and ts is not null")
+             .withWatermark("ts", late).join(date, "key", "left"))
+    answers = asked.groupBy("key").transformWithStateInPandas(CachedAnswers(hours), ANSWER_SCHEMA, "Append", "EventTime")
+    with state_store(spark):
+        run_to_end(answers.writeStream.outputMode("append").format("parquet").option("path", f"{out}/answers")
+                   .option("checkpointLocation", f"{out}/_progress").trigger(availableNow=True).start())
+    return spark.read.schema(ANSWER_SCHEMA).parquet(f"{out}/answers")
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Keyed state on disk while a query is started and run; the session is left as it was."""
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def in_parts(df: DataFrame, folder: str, key: str, parts: int, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Let ``df`` arrive in ``parts`` ranges of ``key``, one after the other, and run the
+    stream job after each; the result after the last one. Rows without a key come first."""
+    spark = df.sparkSession
+    bounds = df.agg(F.percentile_approx(key, [n / parts for n in range(1, parts)], 10_000)).first()[0] or []
+    part = F.lit(0)
+    for bound in bounds:
+        part = part + F.coalesce((F.col(key) > bound).cast("int"), F.lit(0))
+    for n in range(len(bounds) + 1):
+        df.where(part == n).write.mode("append").parquet(f"{folder}/in")
+        out = run(spark.readStream.schema(df.schema).parquet(f"{folder}/in"))
+    return out
 
 
 def scratch(spark: SparkSession, label: str) -> str:
