@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from scholia.functions.scale import cut, salted_join
-from scholia.functions.text import contained_in, glob_regex, words_of
+from scholia.functions.text import contained_in, glob_matches, words_of
 
 # The closed set of edge types.
 EDGE_TYPES = ("implements", "contradicts", "extends", "applies-to", "see-also", "inspired-by", "supersedes", "depends-on")
@@ -196,25 +196,9 @@ def concept_intersection(concepts: DataFrame, nodes: DataFrame, edges: DataFrame
             .where(F.col("score") >= least))
 
 
-def path_prefixes(path: Column) -> Column:
-    """Every folder prefix of a path, the empty one included."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n > 0, F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/"))).otherwise(F.lit("")))
-
-
-def glob_matches(files: DataFrame, globs: DataFrame) -> DataFrame:
-    """(path, glob) pairs that match. A glob is looked up under its literal folder
-    prefix; a glob without a slash is tested against the base name."""
-    g = globs.select("glob").distinct().withColumn("prefix", F.regexp_extract("glob", r"^((?:[^*?/\[{]*/)*)", 1)) \
-        .withColumn("rx", glob_regex(F.col("glob")))
-    f = files.select("path").distinct().select("path", F.explode(path_prefixes(F.col("path"))).alias("prefix"))
-    tested = F.when(F.contains("glob", F.lit("/")), F.col("path")).otherwise(F.regexp_extract("path", r"([^/]*)$", 1))
-    return salted_join(f, g, "prefix", "path").where(F.rlike(tested, F.col("rx"))).select("path", "glob")
-
-
 def owning_components(files: DataFrame, components: DataFrame) -> DataFrame:
     """(path, id) of ``components(id, glob)``."""
-    return glob_matches(files, components).join(components, "glob").select("path", "id").distinct()
+    return glob_matches(files, components, by_name=True).join(components, "glob").select("path", "id").distinct()
 
 
 def graph_context(owners: DataFrame, hits: DataFrame, edges: DataFrame, limit: int = 8, min_score: float = 0.35) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scholia.functions.scale import salted_join
-from scholia.functions.text import STOPWORDS, contained_in, glob_regex, literal_array
+from scholia.functions.text import STOPWORDS, contained_in, glob_matches, glob_regex, literal_array
 from scholia.operators.mining import identifiers, imports
 
 # An ASCII word boundary; the JVM's own \b follows Unicode letters.
@@ -262,7 +264,7 @@ def decision_violations(files: DataFrame, decisions: DataFrame, candidates: Data
 # ---- scope map -------------------------------------------------------------
 
 # Extra stop words, terms that stand for folders, packages known by name.
-SCOPE_STOPWORDS = STOPWORDS + "all use that this each every any some such".split()
+SCOPE_STOPWORDS = (*STOPWORDS, "all", "use", "that", "this", "each", "every", "any", "some", "such")
 TERM_GLOBS = {
     "api": "**/api/**", "admin": "**/admin/**", "auth": "**/auth/**", "middleware": "**/middleware/**", "config": "**/config/**",
     "migration": "**/migrations/**", "test": "**/test*/**", "route": "**/routes/**", "controller": "**/controllers/**",
@@ -271,12 +273,15 @@ TERM_GLOBS = {
     "worker": "**/workers/**", "job": "**/jobs/**", "plugin": "**/plugins/**", "endpoint": "**/api/**",
 }
 KNOWN_PACKAGES = (
-    "stripe express next react supabase prisma drizzle zod joi lodash axios fastify hono trpc graphql apollo sequelize "
-    "mongoose redis bullmq kafkajs socket.io passport jest vitest playwright cypress tailwindcss webpack vite esbuild "
-    "turborepo pino winston sentry datadog knex"
-).split()
+    "stripe", "express", "next", "react", "supabase", "prisma", "drizzle", "zod", "joi", "lodash", "axios", "fastify", "hono", "trpc", "graphql",
+    "apollo", "sequelize", "mongoose", "redis", "bullmq", "kafkajs", "socket.io", "passport", "jest", "vitest", "playwright", "cypress",
+    "tailwindcss", "webpack", "vite", "esbuild", "turborepo", "pino", "winston", "sentry", "datadog", "knex",
+)
+# A quoted package name, and phrases that forbid what follows them.
 QUOTED = "['\"](@[\\w-]+/[\\w.-]+|[\\w][\\w.-]*)['\"`]"
-STRENGTH_IMPORT, STRENGTH_TERM, STRENGTH_FILE = 4, 2, 1
+SCOPE_PROHIBITION = r"(?i)((?:do not use|don't use|never use|avoid|deprecated|prefer\s+\S+\s+over)\s+\S+)"
+# What each kind of match is worth, the least sum, matches kept.
+STRENGTH_IMPORT, STRENGTH_FUNCTION, STRENGTH_TERM, STRENGTH_FILE = 4, 3, 2, 1
 MIN_TEAM, MIN_GAP, MAX_MATCHES = 3, 1, 5
 
 
@@ -301,7 +306,7 @@ def scope_from_knowledge(items: DataFrame) -> DataFrame:
     terms, globs, triggers = scope_keywords(F.col("text"))
     code = F.regexp_replace(F.regexp_extract("text", r"(?s)```[\w]*\n(.*?)```", 1), r"^\s+|\s+$", "")
     return items.select("id", "source", "type", terms.alias("code_terms"), globs.alias("file_patterns"), triggers.alias("import_triggers"),
-                        F.lit(None).cast("string").alias("correction"), F.left("text", F.lit(200)).alias("constraint"),
+                        F.array().cast("array<string>").alias("function_patterns"), F.lit(None).cast("string").alias("correction"), F.left("text", F.lit(200)).alias("constraint"),
                         F.when(F.length(code) > 0, code).alias("example"))
 
 
@@ -318,49 +323,104 @@ def scope_from_gaps(gaps: DataFrame, docs: DataFrame | None = None) -> DataFrame
     empty = F.array().cast("array<string>")
     return rows.select(F.concat(F.lit("gap:"), "name").alias("id"), F.lit("gap-detector").alias("source"), F.lit("post-training").alias("type"),
                        empty.alias("code_terms"), F.array(F.lit("**")).alias("file_patterns"), F.array("name").alias("import_triggers"),
-                       text.alias("correction"), none.alias("constraint"), none.alias("example"))
+                       empty.alias("function_patterns"), text.alias("correction"), none.alias("constraint"), none.alias("example"))
 
 
 def scope_map(knowledge: DataFrame, gaps: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     return scope_from_knowledge(knowledge).unionByName(scope_from_gaps(gaps, docs))
 
 
+def function_matches(edits: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Distinct (event_id, pattern): edits in whose code a function pattern, a regular
+    expression without regard to case, is found. A pattern that is no regular expression
+    matches nothing.
+
+    A pattern is looked up under the longest plain word it cannot match without, and only
+    edits with a word that contains it are tried; one without such a word is tried on all.
+    """
+    p = patterns.select("pattern").where("pattern is not null").distinct().withColumn("word", _needed_word(F.col("pattern")))
+    runs = edits.select("event_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("code"), F.lit(r"(\w{3,})"), 1))).alias("run"))
+    worded = p.where("word <> ''")
+    inside = contained_in(worded, runs, "word", "run").join(worded, "word").select("run", "pattern")
+    free = p.where("word = ''").agg(F.collect_list("pattern").alias("free"))
+    asked = (salted_join(runs, inside, "run", "event_id").select("event_id", "pattern").distinct()
+             .unionByName(edits.select("event_id").join(F.broadcast(free)).select("event_id", F.explode("free").alias("pattern"))))
+
+    def search(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[str, re.Pattern | None] = {}
+        for code, pattern in batches:
+            for text in set(pattern) - known.keys():
+                try:
+                    known[text] = re.compile(text, re.IGNORECASE)
+                except re.error:
+                    known[text] = None
+            yield pd.Series([known[p] is not None and known[p].search(c) is not None for c, p in zip(code, pattern, strict=True)], dtype=bool)
+
+    search.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    rows = asked.join(edits.select("event_id", F.coalesce("code", F.lit("")).alias("code")), "event_id")
+    return rows.where(F.pandas_udf(search, "boolean")("code", "pattern")).select("event_id", "pattern").distinct()
+
+
+def _needed_word(pattern: Column) -> Column:
+    """The longest run of letters, digits and underscores that every match contains, in
+    lower case; empty where alternatives, classes or escapes leave none that is certain."""
+    plain = F.regexp_replace(F.regexp_replace(pattern, r"\\[A-Za-z0-9]", " "), r"\\.", " ")
+    # the character before a quantifier may be missing, what stands in brackets too
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\[[^\]]*\]", " "), r"\w[*?{]", " ")
+    runs = F.regexp_extract_all(plain, F.lit(r"(\w{3,})"), 1)
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), F.lower(r).alias("r"))))["r"]
+    return F.when(pattern.rlike(r"[|(]|\\[xucpPkN0]"), "").otherwise(F.coalesce(longest, F.lit("")))
+
+
 def scope_match(edits: DataFrame, scope: DataFrame, top: int = MAX_MATCHES) -> DataFrame:
     """(event_id, id, strength, rank) of ``edits(event_id, path, code)``.
 
-    An item can only reach its minimum through an import, or through a code term
-    together with a path, so candidates come from two equi-joins (imports with
-    triggers, distinct code tokens with terms); the path globs are then tested on
-    the candidates alone. No edit meets an item it shares nothing with.
+    An item is worth what it shares with an edit: import, function pattern, code term, path.
+    Candidates come from look-ups by equality, one for each kind: imports with triggers,
+    distinct code tokens with terms, words of the code with those of function patterns,
+    paths with the reverse index of globs. A path alone is enough only for an item of the
+    gap detector with a narrower glob than ``**``; such items of one glob are equal but for
+    their id, so only the first ``top`` of them can be among an edit's matches. No edit
+    meets an item it shares nothing with.
     """
     imp = imports(edits.select(F.col("event_id"), "path", F.col("code").alias("content")), keep=("event_id",))
     parts = F.split(F.lower("module"), "/")
     offered = imp.select("event_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("key")).distinct()
     triggers = scope.select("id", F.explode("import_triggers").alias("t")).select("id", F.lower("t").alias("key")).distinct()
-    by_import = salted_join(offered, triggers, "key", "event_id").select("event_id", "id").distinct().withColumn("imp", F.lit(1))
+    by_import = salted_join(offered, triggers, "key", "event_id").select("event_id", "id")
 
     tokens = edits.select("event_id", F.explode(F.array_distinct(F.split(F.lower("code"), r"\s+"))).alias("token")).where("token <> ''")
     terms = scope.select("id", F.explode("code_terms").alias("t")).select("id", F.lower("t").alias("term")).distinct()
     pairs = contained_in(terms, tokens, "term", "token").join(terms, "term").select("token", "id").distinct()
-    by_term = salted_join(tokens, pairs, "token", "event_id").select("event_id", "id").distinct().withColumn("term", F.lit(1))
+    by_term = salted_join(tokens, pairs, "token", "event_id").select("event_id", "id")
+
+    calls = scope.select("id", F.explode("function_patterns").alias("pattern"))
+    by_function = salted_join(function_matches(edits, calls), calls, "pattern", "event_id").select("event_id", "id")
 
-    found = by_import.join(by_term, ["event_id", "id"], "full_outer")
-    seen = (found.join(edits.select("event_id", "path"), "event_id")
-            .join(scope.select("id", "type", "file_patterns"), "id"))
-    in_path = F.exists("file_patterns", lambda g: F.rlike(F.col("path"), glob_regex(g)))
     only_any = (F.size("file_patterns") == 0) | (F.col("file_patterns") == F.array(F.lit("**")))
     gap = F.col("type") == "post-training"
-    strength = (F.when(F.col("imp") == 1, STRENGTH_IMPORT).otherwise(0) + F.when(F.col("term") == 1, STRENGTH_TERM).otherwise(0)
-                + F.when(in_path, STRENGTH_FILE).otherwise(0))
-    scored = seen.withColumn("strength", F.when(gap & only_any & F.col("imp").isNull(), 0).otherwise(strength))
+    w_glob = W.partitionBy("glob").orderBy("id")
+    gap_globs = (scope.where(gap & ~only_any).select("id", F.explode("file_patterns").alias("glob")).distinct()
+                 .withColumn("n", F.row_number().over(w_glob)).where(F.col("n") <= top).drop("n"))
+    placed = edits.select("event_id", "path")
+    by_path = (salted_join(placed, glob_matches(placed, gap_globs), "path", "event_id").join(gap_globs, "glob").select("event_id", "id"))
+
+    kinds = (("imp", by_import), ("term", by_term), ("call", by_function), ("file", by_path))
+    found = None
+    for kind, rows in kinds:
+        rows = rows.select("event_id", "id", F.lit(kind).alias("kind"))
+        found = rows if found is None else found.unionByName(rows)
+    found = found.groupBy("event_id", "id").agg(*[F.max((F.col("kind") == kind).cast("int")).alias(kind) for kind, _ in kinds])
+    seen = (found.join(placed, "event_id").join(scope.select("id", "type", "file_patterns"), "id"))
+    seen = seen.withColumn("file", F.exists("file_patterns", lambda g: F.rlike(F.col("path"), glob_regex(g))))
+    strength = (F.col("imp") * STRENGTH_IMPORT + F.col("call") * STRENGTH_FUNCTION + F.col("term") * STRENGTH_TERM
+                + F.when(F.col("file"), STRENGTH_FILE).otherwise(0))
+    scored = seen.withColumn("strength", F.when(gap & only_any & (F.col("imp") == 0), 0).otherwise(strength))
     kept = scored.where(F.col("strength") >= F.when(gap, MIN_GAP).otherwise(MIN_TEAM))
     w = W.partitionBy("event_id").orderBy(F.desc("strength"), F.asc("id"))
     return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("event_id", "id", "strength", "rank")
 
 
-SCOPE_PROHIBITION = r"(?i)((?:do not use|don't use|never use|avoid|deprecated|prefer\s+\S+\s+over)\s+\S+)"
-
-
 def scope_contradictions(edits: DataFrame, matched: DataFrame, scope: DataFrame) -> DataFrame:
     """(event_id, id, constraint): prohibited terms of matched items found in the code."""
     rows = (matched.select("event_id", "id").join(scope.select("id", "constraint").where("constraint is not null"), "id")

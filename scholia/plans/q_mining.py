@@ -207,16 +207,27 @@ SCOPE_NOTE = "Use the api of '"
 
 
 def scoped(t):
-    """The scope map plus one rule per promoted part that names the api folder."""
+    """The scope map, one rule per promoted part that names the api folder, one rule per
+    large part with nothing but a function pattern, and late items bound to a user's file."""
     notes = t.part.where("p_type = 'PROMO'").selectExpr(
         "concat('n', p_partkey) AS id", "concat('The api must wrap lib', p_partkey + 1000, ' and never use lib', p_partkey + 1001, ' today') AS text", "'knowledge-graph' AS source", "'note' AS type")
-    return t.v_scope.unionByName(rules.scope_from_knowledge(notes))
+    none, null = "cast(array() AS array<string>)", "cast(null AS string)"
+    pattern = F.concat(F.lit("LIB"), (F.col("p_partkey") + 1000).cast("string"), F.lit(r"\.make\s*[(]"))
+    calls = (t.part.where("p_type = 'LARGE'").withColumn("p", F.array(pattern, F.lit("(unclosed")))
+             .selectExpr("concat('f', p_partkey) AS id", "'knowledge-graph' AS source", "'note' AS type", f"{none} AS code_terms", f"{none} AS file_patterns", f"{none} AS import_triggers",
+                         "p AS function_patterns", f"{null} AS correction", "'wrap it' AS `constraint`", f"{null} AS example"))
+    files = t.nation.selectExpr(
+        "concat('gap:u', n_nationkey) AS id", "'gap-detector' AS source", "'post-training' AS type", f"{none} AS code_terms",
+        "array(concat('**/api/u', n_nationkey, '.*')) AS file_patterns", f"{none} AS import_triggers", f"{none} AS function_patterns", "'late' AS correction", f"{null} AS `constraint`", f"{null} AS example")
+    return t.v_scope.unionByName(rules.scope_from_knowledge(notes)).unionByName(calls).unionByName(files)
 
 
 MATCH = f"""
 c AS (SELECT event_id, 'import {{ make }} from ''' || lib || ''';' || chr(10) || 'const a = ' || lib || '.make(1);' AS code, pk, lib FROM o_edits),
 h AS (SELECT event_id, 'gap:' || name AS id, 5 AS strength FROM c JOIN v_releases ON lib = name WHERE publish_date > '{CUTOFF_DATE}'
-  UNION ALL SELECT event_id, 'n' || p.p_partkey, 3 FROM c JOIN part p ON p.p_type = 'PROMO' AND (contains(code, 'lib' || (p.p_partkey + 1000)) OR contains(code, 'lib' || (p.p_partkey + 1001)))),
+  UNION ALL SELECT event_id, 'n' || p.p_partkey, 3 FROM c JOIN part p ON p.p_type = 'PROMO' AND (contains(code, 'lib' || (p.p_partkey + 1000)) OR contains(code, 'lib' || (p.p_partkey + 1001)))
+  UNION ALL SELECT event_id, 'f' || p.p_partkey, 3 FROM c JOIN part p ON p.p_type = 'LARGE' AND contains(code, 'lib' || (p.p_partkey + 1000) || '.make(')
+  UNION ALL SELECT event_id, 'gap:u' || n_nationkey, 1 FROM events JOIN nation ON user_id = n_nationkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY strength DESC, id) AS rank FROM h)"""
 
 

@@ -144,6 +144,60 @@ def test_scope_match_strengths(spark):
     assert got == [(1, "gap:next", 5, 2), (1, "k1", 3, 3), (1, "k3", 6, 1)]
 
 
+SCOPE = "id string, type string, code_terms array<string>, file_patterns array<string>, import_triggers array<string>, function_patterns array<string>"
+
+
+def test_scope_items_met_by_one_kind_only(spark):
+    gap = "post-training"
+    scope = spark.createDataFrame([
+        ("call", "note", [], [], [], [r"fetch\w*\s*\(", "(broken"]), ("anycall", "note", [], [], [], [r"^\s*(async|await)\b"]), ("term", "note", ["fetch"], [], [], []),
+        ("termfile", "note", ["fetch"], ["**/api/**"], [], []), ("file", "note", [], ["src/**"], [], []),
+        ("gapfile", gap, [], ["src/api/*.ts"], ["zzz"], []), ("gapany", gap, [], ["**"], ["zzz"], []), ("gapnone", gap, ["fetch"], [], [], []),
+        *[(f"many{i}", gap, [], ["*/api/*"], [], []) for i in range(9)]], SCOPE)
+    edits = spark.createDataFrame([(1, "src/api/a.ts", "let x = FetchAll\n (1)"), (2, "lib/x.py", "  await y"), (3, None, "fetch"), (4, "src/api/b.ts", None)],
+                                  "event_id bigint, path string, code string")
+    got = rows(rules.scope_match(edits, scope, 20))
+    many = [(1, f"many{i}", 1) for i in range(9)]
+    assert sorted(r[:3] for r in got if r[0] == 1) == sorted([(1, "call", 3), (1, "termfile", 3), (1, "gapfile", 1), *many])
+    assert [r[:3] for r in got if r[0] in (2, 3)] == [(2, "anycall", 3)]
+    assert {r[1] for r in got if r[0] == 4} == {"gapfile", *(f"many{i}" for i in range(9))}
+    best = rows(rules.scope_match(edits, scope))
+    assert sorted((r[3], r[1]) for r in best if r[0] == 1) == [(1, "call"), (2, "termfile"), (3, "gapfile"), (4, "many0"), (5, "many1")]
+
+
+def test_function_patterns_are_looked_up_under_a_word_they_need(spark):
+    import re
+    from scholia.operators.rules import _needed_word, function_matches
+    patterns = [r"use[A-Z]\w+State", r"foo?bar\(", "colou?red", "a|b", "(x", r"\bmake\s*\(", "x{2,}yz", "é+", "log_error", ".", "make.*thing", "ma*ke"]
+    codes = ["const s = useMyState()", "fobar(1)", "colored", "b", "MAKE\n(1)", "xxyz", "éé", "log_ERROR", "", "make the thing", "mke", "zz"]
+    df = spark.createDataFrame(list(enumerate(codes)), "event_id bigint, code string")
+    ps = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+
+    def found(p, c):
+        try:
+            return re.search(p, c, re.I) is not None
+        except re.error:
+            return False
+    assert rows(function_matches(df, ps)) == sorted(((i, p) for i, c in enumerate(codes) for p in patterns if found(p, c)), key=repr)
+    words = {r.pattern: r.w for r in ps.select("pattern", _needed_word(F.col("pattern")).alias("w")).collect()}
+    assert words["log_error"] == "log_error" and words["a|b"] == "" and words["colou?red"] in ("colo", "red")
+
+
+def test_globs_by_their_rarest_segment(spark):
+    import re
+    from scholia.functions.text import glob_matches
+    paths = ["src/api/a.ts", "src/b.py", "top.ts", "a/test1/x/y.js", "deep/src/api/z", "we[ird]/a+b.c", r"x.E\Ey", ""]
+    globs = ["src/**", "**/api/**", "*.ts", "**/test*/**", "**", "*", "we[ird]/*", "?op.ts", "*/*", "src/api/a.ts", "nothere/**", r"x.E\E?", "", "**/*.p?"]
+
+    def pattern(glob):
+        return "".join({"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(t, re.escape(t)) for t in re.findall(r"\*\*|\*|\?|[^*?]+", glob))
+    p = spark.createDataFrame([(x,) for x in [*paths, None, "src/b.py"]], "path string")
+    g = spark.createDataFrame([(x,) for x in [*globs, None, "*"]], "glob string")
+    assert rows(glob_matches(p, g)) == sorted(((x, y) for x in paths for y in globs if re.fullmatch(pattern(y), x)), key=repr)
+    by_name = rows(glob_matches(p, g, by_name=True))
+    assert by_name == sorted(((x, y) for x in paths for y in globs if re.fullmatch(pattern(y), x if "/" in y else x.rsplit("/", 1)[-1])), key=repr)
+
+
 def test_scope_contradictions(spark):
     scope = spark.createDataFrame([("a", "prefer zod over Joi. Also avoid lodash!", None)], "id string, constraint string, example string")
     edits = spark.createDataFrame([(1, "import joi; lodash.map()")], "event_id bigint, code string")
