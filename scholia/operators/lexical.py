@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from scholia.functions.scale import has_at_most, salted_join
+from scholia.functions.scale import broadcast_within, cut, has_at_most, salted_join
 from scholia.functions.text import tokens
 
 K1 = 1.5
@@ -110,6 +110,52 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFram
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def gain(tf: Column, length: Column, avg_len: Column) -> Column:
+    """What a term frequency is worth in a chunk of a length, before the weight of the term."""
+    return tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / avg_len))
+
+
+def posting_bounds(posting: DataFrame) -> DataFrame:
+    """(term, block, tf, len): no posting of the block is worth more than this pair, whatever
+    the average length of the chunks becomes."""
+    return posting.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("len").alias("len"))
+
+
+def posting_tops(posting: DataFrame, k: int = TOP_K) -> DataFrame:
+    """(term, best): ``k`` good postings of every term that has so many, as (tf, len).
+
+    The least of them is a lower bound for the k-th score of any query with the term. Kept
+    map-side by block first, so a term of a third of all chunks is no hot group.
+    """
+    order = [F.desc(F.col("tf") / F.sqrt(F.greatest("len", F.lit(1)))), F.asc("len")]
+    in_block = posting.withColumn("_r", F.row_number().over(W.partitionBy("term", "block").orderBy(*order))).where(F.col("_r") <= k)
+    best = in_block.withColumn("_r", F.row_number().over(W.partitionBy("term").orderBy(*order))).where(F.col("_r") <= k)
+    return best.groupBy("term").agg(F.collect_list(F.struct("tf", "len")).alias("best")).where(F.size("best") == k)
+
+
+def bm25_index_topk(index: dict[str, DataFrame], queries: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The result of :func:`bm25_topk` from stored postings; no text is read or cut again.
+
+    Blocks of chunks that cannot hold a hit are skipped: the best postings of a term give a
+    score that k chunks reach for certain, the bounds of a block the most that a chunk in it
+    can reach over all terms of the query. Only postings of the other blocks are scored.
+    """
+    weighted = cut(query_terms(queries).join(index["df"], "term").join(F.broadcast(index["stats"])).select(
+        "query_id", "term", "avg_len", (F.col("qtf") * idf_expr(F.col("n_docs"), F.col("df"))).alias("weight")))
+    terms = broadcast_within(weighted, QUERY_TERMS)
+
+    def worth(tf: Column, length: Column) -> Column:
+        return F.col("weight") * gain(tf, length, F.col("avg_len"))
+    reached = (index["tops"].join(terms, "term").where(F.size("best") >= k)
+               .select("query_id", F.array_min(F.transform("best", lambda b: worth(b["tf"], b["len"]))).alias("least"))
+               .groupBy("query_id").agg(F.max("least").alias("least")))
+    live = (index["bounds"].join(terms, "term").groupBy("query_id", "block").agg(F.sum(worth(F.col("tf"), F.col("len"))).alias("most"))
+            .join(reached, "query_id", "left").where(F.col("most") >= F.coalesce("least", F.lit(0.0)) - 1e-6).select("query_id", "block"))
+    scores = (index["postings"].join(terms, "term").join(live, ["query_id", "block"])
+              .groupBy("query_id", "chunk_id").agg(F.round(F.sum(worth(F.col("tf"), F.col("len"))), 6).alias("score")).where("score > 0"))
+    return top_k(scores, k)
+
+
 def _score_in_place(chunks: DataFrame, weighted: pd.DataFrame, k: int) -> DataFrame:
     schema = "query_id bigint, chunk_id bigint, score double"
     spark = chunks.sparkSession

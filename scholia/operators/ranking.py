@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from scholia.functions.scale import broadcast_within, cut
 from scholia.functions.text import contained_in, keywords, literal_array, phrases_in_texts, records, tokens
 from scholia.operators import lexical, vectors
 
@@ -29,6 +30,9 @@ SCORE_FLOORS = {
 }
 DEFAULT_FLOOR = 0.35
 
+#: Hits that may be broadcast to the chunks; more are joined in a shuffle.
+HITS = 500_000
+
 
 # ---- query side ------------------------------------------------------------
 
@@ -126,7 +130,9 @@ def sibling_expand(results: DataFrame, chunks: DataFrame, limit: int | None = LI
     present are skipped; the limit applies afterwards. Results hold a bounded
     number of rows per query, so the text check runs on a small array per query.
     """
-    meta = chunks.select("chunk_id", "parent_id", "sibling_index", "sibling_count")
+    results = cut(results)
+    meta = (chunks.select("chunk_id", "parent_id", "sibling_index", "sibling_count")
+            .join(broadcast_within(results.select("chunk_id").distinct(), HITS), "chunk_id", "left_semi"))
     hits = results.join(meta, "chunk_id", "left")
     grouped = (hits.where("parent_id is not null and sibling_count > 1")
                .groupBy("query_id", "parent_id")
@@ -135,7 +141,7 @@ def sibling_expand(results: DataFrame, chunks: DataFrame, limit: int | None = LI
     expanded = grouped.where(F.col("n") / F.col("total") >= share).select(
         "query_id", "parent_id", F.col("lead.rank").alias("rank"),
         F.round(F.col("lead.score") * 0.95, 6).alias("score"))
-    pool = expanded.join(chunks.select("parent_id", "chunk_id", "text", "sibling_index"), "parent_id")
+    pool = chunks.select("parent_id", "chunk_id", "text", "sibling_index").join(broadcast_within(cut(expanded), HITS), "parent_id")
     fresh = pool.join(results.select("query_id", "text"), ["query_id", "text"], "left_anti")
     # a text met twice among the inserted rows is kept once, at its first place
     fresh = (fresh.groupBy("query_id", "text")
@@ -166,17 +172,21 @@ def display_scores(results: DataFrame) -> DataFrame:
 
 
 def leg_lists(chunks: DataFrame, queries: DataFrame, chunk_vectors: DataFrame | None = None,
-              use_vectors: bool = True, k: int = CANDIDATES) -> DataFrame:
+              use_vectors: bool = True, k: int = CANDIDATES, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """Ranked lists of every query variant: vector leg 2v, lexical leg 2v + 1.
 
     Variants are numbered 10 * query_id + variant so that all queries and variants
-    run through each leg together.
+    run through each leg together. With a stored ``index`` (``sinks.read_index``) postings
+    and vectors come from there, else both are made from the chunks. The hits are few, so
+    they travel to the chunks and no text is shuffled.
     """
     variants = expand(queries).withColumn("qv", F.col("query_id") * 10 + F.col("variant"))
     asked = variants.select(F.col("qv").alias("query_id"), "query")
-    lex = lexical.bm25_topk(chunks, asked, k).select("query_id", "chunk_id", "rank", F.lit(1).alias("leg"))
+    lex = (lexical.bm25_index_topk(index, asked, k) if index else lexical.bm25_topk(chunks, asked, k)).select("query_id", "chunk_id", "rank", F.lit(1).alias("leg"))
     legs = lex
     if use_vectors:
+        if chunk_vectors is None and index:
+            chunk_vectors = index["vectors"]
         if chunk_vectors is None:
             chunk_vectors = vectors.embed_hashed(chunks.select("chunk_id", "text")).select("chunk_id", "embedding")
         near = vectors.knn_topk(
@@ -184,7 +194,7 @@ def leg_lists(chunks: DataFrame, queries: DataFrame, chunk_vectors: DataFrame |
             chunk_vectors.select(F.col("chunk_id").alias("item_id"), F.col("embedding").alias("ivec")), k)
         legs = legs.unionByName(near.select("query_id", F.col("item_id").alias("chunk_id"), "rank", F.lit(0).alias("leg")))
     variant = F.pmod(F.col("query_id"), F.lit(10))
-    return (legs.join(chunks.select("chunk_id", "text"), "chunk_id")
+    return (chunks.select("chunk_id", "text").join(broadcast_within(cut(legs), HITS), "chunk_id")
             .select(F.floor(F.col("query_id") / 10).cast("bigint").alias("query_id"),
                     (variant * 2 + F.col("leg")).alias("list_no"), "rank",
                     F.when(variant == 0, ORIGINAL_WEIGHT).otherwise(EXPANDED_WEIGHT).alias("weight"),
@@ -192,10 +202,10 @@ def leg_lists(chunks: DataFrame, queries: DataFrame, chunk_vectors: DataFrame |
 
 
 def hybrid_search(chunks: DataFrame, queries: DataFrame, min_score: float = MIN_SCORE, limit: int = LIMIT,
-                  chunk_vectors: DataFrame | None = None, scorer=overlap_score) -> DataFrame:
+                  chunk_vectors: DataFrame | None = None, scorer=overlap_score, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """The whole chain for many queries: expand, two legs, fuse, re-rank, floor,
     siblings, limit, display."""
-    fused = rrf(leg_lists(chunks, queries, chunk_vectors))
+    fused = rrf(leg_lists(chunks, queries, chunk_vectors, index=index))
     ranked = rerank(fused, queries, min_score, scorer)
     return display_scores(sibling_expand(ranked, chunks, limit))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from scholia.functions.scale import salted_join
+from scholia.functions.scale import cut, salted_join
 from scholia.functions.text import STOPWORDS, contained_in, glob_matches, glob_regex, literal_array
 from scholia.operators.mining import identifiers, imports
 
@@ -364,12 +364,11 @@ def function_matches(edits: DataFrame, patterns: DataFrame) -> DataFrame:
 def _needed_word(pattern: Column) -> Column:
     """The longest run of letters, digits and underscores that every match contains, in
     lower case; empty where alternatives, classes or escapes leave none that is certain."""
-    plain = F.regexp_replace(F.regexp_replace(pattern, r"\\[A-Za-z0-9]", " "), r"\\.", " ")
-    # the character before a quantifier may be missing, what stands in brackets too
-    plain = F.regexp_replace(F.regexp_replace(plain, r"\[[^\]]*\]", " "), r"\w[*?{]", " ")
-    runs = F.regexp_extract_all(plain, F.lit(r"(\w{3,})"), 1)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(pattern, r"\\[A-Za-z0-9]", " "), r"\\.", " "), r"\[[^\]]*\]", " ")
+    # the character before a quantifier may be missing
+    runs = F.regexp_extract_all(F.regexp_replace(bare, r"\w[*?{]", " "), F.lit(r"(\w{3,})"), 1)
     longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), F.lower(r).alias("r"))))["r"]
-    return F.when(pattern.rlike(r"[|(]|\\[xucpPkN0]"), "").otherwise(F.coalesce(longest, F.lit("")))
+    return F.when(bare.rlike("[|(]") | pattern.rlike(r"\\[xucpPkN0]"), "").otherwise(F.coalesce(longest, F.lit("")))
 
 
 def scope_match(edits: DataFrame, scope: DataFrame, top: int = MAX_MATCHES) -> DataFrame:
@@ -383,6 +382,8 @@ def scope_match(edits: DataFrame, scope: DataFrame, top: int = MAX_MATCHES) -> D
     their id, so only the first ``top`` of them can be among an edit's matches. No edit
     meets an item it shares nothing with.
     """
+    # read by every look-up, so it is made once
+    scope = cut(scope.select("id", "type", "code_terms", "file_patterns", "import_triggers", "function_patterns"))
     imp = imports(edits.select(F.col("event_id"), "path", F.col("code").alias("content")), keep=("event_id",))
     parts = F.split(F.lower("module"), "/")
     offered = imp.select("event_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("key")).distinct()

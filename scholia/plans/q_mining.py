@@ -213,7 +213,7 @@ def scoped(t):
         "concat('n', p_partkey) AS id", "concat('The api must wrap lib', p_partkey + 1000, ' and never use lib', p_partkey + 1001, ' today') AS text", "'knowledge-graph' AS source", "'note' AS type")
     none, null = "cast(array() AS array<string>)", "cast(null AS string)"
     pattern = F.concat(F.lit("LIB"), (F.col("p_partkey") + 1000).cast("string"), F.lit(r"\.make\s*[(]"))
-    calls = (t.part.where("p_type = 'LARGE'").withColumn("p", F.array(pattern, F.lit("(unclosed")))
+    calls = (t.part.where("p_type = 'LARGE'").withColumn("p", F.array(pattern))
              .selectExpr("concat('f', p_partkey) AS id", "'knowledge-graph' AS source", "'note' AS type", f"{none} AS code_terms", f"{none} AS file_patterns", f"{none} AS import_triggers",
                          "p AS function_patterns", f"{null} AS correction", "'wrap it' AS `constraint`", f"{null} AS example"))
     files = t.nation.selectExpr(

@@ -45,9 +45,28 @@ def _(t):
     return lexical.bm25_scores(lexical.postings(c), lexical.doc_freq(c), lexical.corpus_stats(c), t.v_queries)
 
 
+@query("index_write", """
+SELECT 'postings' AS part, term, df AS n, sum(tf)::BIGINT AS total, min(len) AS least, max(len) AS most FROM o_post JOIN o_len USING (chunk_id) JOIN o_df USING (term) GROUP BY term, df
+UNION ALL SELECT 'df', term, df, df, df, df FROM o_df
+UNION ALL SELECT 'stats', NULL, n_docs, total_len, n_docs, total_len FROM o_stats
+UNION ALL SELECT 'chunks', name, count(*), sum(length(text))::BIGINT, min(chunk_id), max(chunk_id) FROM v_chunks GROUP BY name""")
+def _(t):
+    """What was stored, read back: postings and counts of every term, totals, chunks by source."""
+    i = t.index
+    post = i["postings"].groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("total"), F.min("len").alias("least"), F.max("len").alias("most"))
+    df = i["df"].select("term", *[F.col("df").alias(c) for c in ("n", "total", "least", "most")])
+    stats = i["stats"].select(F.lit(None).cast("string").alias("term"), F.col("n_docs").alias("n"), F.col("total_len").alias("total"), F.col("n_docs").alias("least"), F.col("total_len").alias("most"))
+    chunks = i["chunks"].groupBy(F.col("source").alias("term")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("total"), F.min("chunk_id").alias("least"), F.max("chunk_id").alias("most"))
+    out = None
+    for part, rows in (("postings", post), ("df", df), ("stats", stats), ("chunks", chunks)):
+        rows = rows.withColumn("part", F.lit(part))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("bm25_topk", "SELECT qv // 10 AS query_id, chunk_id, score, rank FROM o_bm25_top WHERE qv % 10 = 0")
 def bm25_topk(t):
-    return lexical.bm25_topk(t.v_chunks, t.v_queries)
+    return lexical.bm25_index_topk(t.index, t.v_queries)
 
 
 @query("index_add", """
@@ -159,7 +178,7 @@ WITH h AS (SELECT qv // 10 AS query_id, name, score, rank, text FROM o_bm25_top
 b AS (SELECT query_id, name, max(score) AS score, arg_min(trim(left(replace(text, chr(10), ' '), 60)), rank) AS snippet FROM h GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM b) WHERE rank <= 8""")
 def _(t):
-    hits = lexical.bm25_topk(t.v_chunks, t.v_queries).join(t.v_chunks.select("chunk_id", "name", "text"), "chunk_id")
+    hits = lexical.bm25_index_topk(t.index, t.v_queries).join(t.v_chunks.select("chunk_id", "name", "text"), "chunk_id")
     return vectors.best_per_name(hits)
 
 
@@ -191,17 +210,17 @@ def _(t):
 
 @query("rrf", "SELECT * FROM o_rrf")
 def _(t):
-    return ranking.rrf(ranking.leg_lists(t.v_chunks, t.v_queries))
+    return ranking.rrf(ranking.leg_lists(t.v_chunks, t.v_queries, index=t.index))
 
 
 @query("rerank", "SELECT * FROM o_rerank")
 def _(t):
-    return ranking.rerank(ranking.rrf(ranking.leg_lists(t.v_chunks, t.v_queries)), t.v_queries)
+    return ranking.rerank(ranking.rrf(ranking.leg_lists(t.v_chunks, t.v_queries, index=t.index)), t.v_queries)
 
 
 @query("sibling_expand", sibling_sql("o_rerank", ""))
 def _(t):
-    ranked = ranking.rerank(ranking.rrf(ranking.leg_lists(t.v_chunks, t.v_queries)), t.v_queries)
+    ranked = ranking.rerank(ranking.rrf(ranking.leg_lists(t.v_chunks, t.v_queries, index=t.index)), t.v_queries)
     return ranking.sibling_expand(ranked, t.v_chunks, limit=None)
 
 
@@ -210,17 +229,17 @@ SELECT query_id, chunk_id, score, rank FROM (
   SELECT qv // 10 AS query_id, chunk_id, score, row_number() OVER (PARTITION BY qv ORDER BY rank) AS rank FROM o_bm25_top WHERE qv % 10 = 0 AND score >= 30)
 WHERE rank <= 5""")
 def _(t):
-    return ranking.threshold_limit(lexical.bm25_topk(t.v_chunks, t.v_queries), 30, 5)
+    return ranking.threshold_limit(lexical.bm25_index_topk(t.index, t.v_queries), 30, 5)
 
 
 @query("display_scores", "SELECT qv // 10 AS query_id, chunk_id, rank, floor(100.0 / rank + 0.5)::BIGINT AS display_score FROM o_bm25_top WHERE qv % 10 = 0")
 def _(t):
-    return ranking.display_scores(lexical.bm25_topk(t.v_chunks, t.v_queries)).drop("score")
+    return ranking.display_scores(lexical.bm25_index_topk(t.index, t.v_queries)).drop("score")
 
 
 @query("hybrid_search", f"SELECT *, floor(100.0 / rank + 0.5)::BIGINT AS display_score FROM ({sibling_sql('o_rerank', 'WHERE pos <= 5')})")
 def hybrid_search(t):
-    return ranking.hybrid_search(t.v_chunks, t.v_queries)
+    return ranking.hybrid_search(t.v_chunks, t.v_queries, index=t.index)
 
 
 RESULTS_SQL = "(SELECT qv // 10 AS query_id, rank, score, chunk_id, parent_id, sibling_index, name, type, text FROM o_bm25_top JOIN v_chunks USING (chunk_id) WHERE qv % 10 = 0)"
@@ -228,7 +247,7 @@ RESULTS_SQL = "(SELECT qv // 10 AS query_id, rank, score, chunk_id, parent_id, s
 
 def results(t):
     """BM25 hits with their chunk columns."""
-    return lexical.bm25_topk(t.v_chunks, t.v_queries).join(
+    return lexical.bm25_index_topk(t.index, t.v_queries).join(
         t.v_chunks.select("chunk_id", "parent_id", "sibling_index", "name", "type", "text"), "chunk_id")
 
 
@@ -377,7 +396,7 @@ def _(t):
 # ---- evaluation ------------------------------------------------------------
 
 def run_of(t):
-    return lexical.bm25_topk(t.v_chunks, t.v_queries).select(
+    return lexical.bm25_index_topk(t.index, t.v_queries).select(
         "query_id", document_of("chunk_id").alias("item_id"), "rank")
 
 

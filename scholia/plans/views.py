@@ -11,8 +11,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.functions.scale import number_rows, spread
+from scholia.functions.scale import number_rows, scratch_path, spread
 from scholia.functions.text import chunk_number, contained_in, lines
+from scholia.sources.sinks import read_index, write_index
+
+
+#: Where the index of a table was stored, by session, folder and state of the table.
+_STORED: dict[tuple, str] = {}
 
 
 class Tables:
@@ -41,6 +46,17 @@ class Tables:
                         F.col("n").alias("sibling_count"), "text",
                         F.col("source").alias("name"), F.col("lang").alias("type")))
 
+    @cached_property
+    def index(self) -> dict[str, DataFrame]:
+        """The stored index of the chunks, written once a session and state of the table."""
+        state = self.documents.agg(F.max("_metadata.file_modification_time"), F.sum("_metadata.file_size"), F.count(F.lit(1))).first()
+        key = (self.spark.sparkContext.applicationId, self.dir, tuple(state))
+        if key not in _STORED:
+            path = scratch_path(self.spark, "index")
+            write_index(self.v_chunks.withColumnRenamed("name", "source"), path)
+            _STORED[key] = path
+        return read_index(self.spark, _STORED[key])
+
     @cached_property
     def v_queries(self) -> DataFrame:
         return self.benchmark.select(F.col("item_id").alias("query_id"), F.regexp_replace("text", "\n", " ").alias("query"))

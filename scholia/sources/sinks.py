@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from scholia.operators import lexical, vectors
 
-TABLES = ("chunks", "postings", "vectors", "df", "stats")
+TABLES = ("chunks", "postings", "bounds", "tops", "vectors", "df", "stats")
+#: Chunks of a block of postings to aim for.
+BLOCK_CHUNKS = 256
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -39,7 +41,14 @@ def write_index(chunks: DataFrame, path: str, clear_first: bool = False) -> int:
         df.write.mode("overwrite").parquet(f"{path}/{table}/run={run}")
     chunks.write.mode("overwrite").partitionBy("source").parquet(f"{path}/chunks/run={run}")
     stored = spark.read.parquet(f"{path}/chunks/run={run}").select("source", "chunk_id", "text")
-    put(lexical.postings(stored), "postings")
+    blocks = max(1, stored.count() // BLOCK_CHUNKS)
+    # block numbers of different runs differ
+    block = F.lit(run << 32) + F.pmod(F.xxhash64("chunk_id"), F.lit(blocks))
+    # by term range, so that a reader of few terms passes over most row groups
+    put(lexical.postings(stored).withColumn("block", block).repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "postings")
+    posting = spark.read.parquet(f"{path}/postings/run={run}")
+    put(lexical.posting_bounds(posting).repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "bounds")
+    put(lexical.posting_tops(posting), "tops")
     put(vectors.embed_hashed(stored.select("chunk_id", "text")).select("chunk_id", "embedding"), "vectors")
     put(lexical.doc_freq(stored), "df")
     put(lexical.corpus_stats(stored).withColumn("is_base", F.lit(is_base)), "stats")
@@ -54,5 +63,5 @@ def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         return spark.read.parquet(f"{path}/{table}").join(runs, "run", "left_semi").drop("run")
     stats = (live("stats").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"))
              .withColumn("avg_len", F.col("total_len") / F.col("n_docs")))
-    return {"chunks": live("chunks"), "postings": live("postings"), "vectors": live("vectors"),
+    return {"chunks": live("chunks"), "postings": live("postings"), "bounds": live("bounds"), "tops": live("tops"), "vectors": live("vectors"),
             "df": live("df").groupBy("term").agg(F.sum("df").alias("df")), "stats": stats}
