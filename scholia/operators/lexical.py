@@ -105,7 +105,8 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFram
              .join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     weighted = (terms.join(found, "term").join(F.broadcast(corpus_stats(chunks)))
                 .select("query_id", "term", "avg_len", (F.col("qtf") * idf_expr(F.col("n_docs"), F.col("df"))).alias("weight")).toPandas())
-    partial = _score_in_place(chunks, weighted, k)
+    rows = chunks.select("chunk_id", tokens("text").alias("ts")).withColumn("len", F.size("ts").cast("bigint"))
+    partial = _score_in_place(rows, weighted, k)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -116,49 +117,73 @@ def gain(tf: Column, length: Column, avg_len: Column) -> Column:
 
 
 def posting_bounds(posting: DataFrame) -> DataFrame:
-    """(term, block, tf, len): no posting of the block is worth more than this pair, whatever
-    the average length of the chunks becomes."""
-    return posting.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("len").alias("len"))
+    """(term, block, tf, len, best): no posting of the block is worth more than ``tf`` in
+    ``len``, whatever the average length of the chunks becomes; ``best`` is one of them."""
+    pair = F.struct("tf", "len")
+    return posting.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("len").alias("len"),
+                                                F.max_by(pair, F.col("tf") / F.sqrt(F.greatest("len", F.lit(1)))).alias("best"))
 
 
-def posting_tops(posting: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(term, best): ``k`` good postings of every term that has so many, as (tf, len).
+def posting_tops(bounds: DataFrame, k: int = TOP_K) -> DataFrame:
+    """(term, best): good postings of ``k`` different chunks, as (tf, len), of every term
+    found in so many blocks. The least of them is a lower bound for the k-th score of any
+    query with the term."""
+    order = [F.desc(F.col("best.tf") / F.sqrt(F.greatest("best.len", F.lit(1)))), F.asc("block")]
+    first = bounds.withColumn("_r", F.row_number().over(W.partitionBy("term").orderBy(*order))).where(F.col("_r") <= k)
+    return first.groupBy("term").agg(F.collect_list("best").alias("best")).where(F.size("best") == k)
 
-    The least of them is a lower bound for the k-th score of any query with the term. Kept
-    map-side by block first, so a term of a third of all chunks is no hot group.
-    """
-    order = [F.desc(F.col("tf") / F.sqrt(F.greatest("len", F.lit(1)))), F.asc("len")]
-    in_block = posting.withColumn("_r", F.row_number().over(W.partitionBy("term", "block").orderBy(*order))).where(F.col("_r") <= k)
-    best = in_block.withColumn("_r", F.row_number().over(W.partitionBy("term").orderBy(*order))).where(F.col("_r") <= k)
-    return best.groupBy("term").agg(F.collect_list(F.struct("tf", "len")).alias("best")).where(F.size("best") == k)
+
+def index_terms(index: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
+    """(query_id, term, avg_len, weight) of the query terms that the index holds."""
+    return query_terms(queries).join(index["df"], "term").join(F.broadcast(index["stats"])).select(
+        "query_id", "term", "avg_len", (F.col("qtf") * idf_expr(F.col("n_docs"), F.col("df"))).alias("weight"))
 
 
 def bm25_index_topk(index: dict[str, DataFrame], queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """The result of :func:`bm25_topk` from stored postings; no text is read or cut again.
+    """The result of :func:`bm25_topk` for many queries, from stored term counts.
+
+    No text is read or cut: the counts of every chunk are stored in its row, so the terms
+    travel to them as in :func:`bm25_topk`. A term set beyond QUERY_TERMS rows takes the
+    shuffled join with the postings.
+    """
+    terms = cut(index_terms(index, queries))
+    if not has_at_most(terms, QUERY_TERMS):
+        return bm25_lookup_topk(index, queries, k)
+    return top_k(_score_in_place(index["forward"], terms.toPandas(), k), k)
+
+
+def forward_counts(posting: DataFrame) -> DataFrame:
+    """(chunk_id, len, ts, tfs): the postings of a chunk in its own row."""
+    return (posting.groupBy("chunk_id").agg(F.first("len").alias("len"), F.collect_list(F.struct("term", "tf")).alias("p"))
+            .select("chunk_id", "len", F.col("p.term").alias("ts"), F.col("p.tf").alias("tfs")))
+
+
+def bm25_lookup_topk(index: dict[str, DataFrame], queries: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The result of :func:`bm25_topk` for few queries: only their terms' postings are read.
 
     Blocks of chunks that cannot hold a hit are skipped: the best postings of a term give a
     score that k chunks reach for certain, the bounds of a block the most that a chunk in it
     can reach over all terms of the query. Only postings of the other blocks are scored.
     """
-    weighted = cut(query_terms(queries).join(index["df"], "term").join(F.broadcast(index["stats"])).select(
-        "query_id", "term", "avg_len", (F.col("qtf") * idf_expr(F.col("n_docs"), F.col("df"))).alias("weight")))
-    terms = broadcast_within(weighted, QUERY_TERMS)
+    terms = broadcast_within(cut(index_terms(index, queries)), QUERY_TERMS)
 
     def worth(tf: Column, length: Column) -> Column:
         return F.col("weight") * gain(tf, length, F.col("avg_len"))
     reached = (index["tops"].join(terms, "term").where(F.size("best") >= k)
                .select("query_id", F.array_min(F.transform("best", lambda b: worth(b["tf"], b["len"]))).alias("least"))
                .groupBy("query_id").agg(F.max("least").alias("least")))
-    live = (index["bounds"].join(terms, "term").groupBy("query_id", "block").agg(F.sum(worth(F.col("tf"), F.col("len"))).alias("most"))
+    live = (index["bounds"].drop("best").join(terms, "term").groupBy("query_id", "block").agg(F.sum(worth(F.col("tf"), F.col("len"))).alias("most"))
             .join(reached, "query_id", "left").where(F.col("most") >= F.coalesce("least", F.lit(0.0)) - 1e-6).select("query_id", "block"))
     scores = (index["postings"].join(terms, "term").join(live, ["query_id", "block"])
               .groupBy("query_id", "chunk_id").agg(F.round(F.sum(worth(F.col("tf"), F.col("len"))), 6).alias("score")).where("score > 0"))
     return top_k(scores, k)
 
 
-def _score_in_place(chunks: DataFrame, weighted: pd.DataFrame, k: int) -> DataFrame:
+def _score_in_place(rows: DataFrame, weighted: pd.DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score), k a query and task, of ``rows(chunk_id, len, ts)``; with
+    a column ``tfs`` the terms are different ones and these are their counts."""
     schema = "query_id bigint, chunk_id bigint, score double"
-    spark = chunks.sparkSession
+    spark = rows.sparkSession
     if not len(weighted):
         return spark.createDataFrame([], schema)
     weighted = weighted.sort_values("term", kind="stable")
@@ -179,8 +204,11 @@ def _score_in_place(chunks: DataFrame, weighted: pd.DataFrame, k: int) -> DataFr
                     continue
                 term = index.get_indexer(np.concatenate(part["ts"].to_numpy()))
                 keep = term >= 0
-                cell, tf = np.unique(rows[keep] * len(words) + term[keep], return_counts=True)
-                row, term = cell // len(words), cell % len(words)
+                if "tfs" in part:
+                    row, term, tf = rows[keep], term[keep], np.concatenate(part["tfs"].to_numpy())[keep]
+                else:
+                    cell, tf = np.unique(rows[keep] * len(words) + term[keep], return_counts=True)
+                    row, term = cell // len(words), cell % len(words)
                 length = part["len"].to_numpy()[row]
                 gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
                 # one entry per posting and query that asks for its term
@@ -191,21 +219,20 @@ def _score_in_place(chunks: DataFrame, weighted: pd.DataFrame, k: int) -> DataFr
                                      minlength=len(qids) * len(part)).reshape(len(qids), len(part))
                 yield best_per_query(qids, np.round(scores, 6), part["chunk_id"].to_numpy(), k)
 
-    return (chunks.select("chunk_id", tokens("text").alias("ts")).withColumn("len", F.size("ts").cast("bigint"))
-            .mapInPandas(run, schema))
+    return rows.mapInPandas(run, schema)
 
 
 def best_per_query(query_ids: np.ndarray, scores: np.ndarray, item_ids: np.ndarray, k: int) -> pd.DataFrame:
     """The k best positive scores of each row of a matrix, ties by item id."""
-    found = []
-    for row, s in enumerate(scores):
-        keep = np.flatnonzero(s > 0)
-        if len(keep) > k:
-            v = s[keep]
-            keep = keep[v >= np.partition(v, len(v) - k)[len(v) - k]]
-        order = keep[np.lexsort((item_ids[keep], -s[keep]))[:k]]
-        found.append(pd.DataFrame({"query_id": query_ids[row], "chunk_id": item_ids[order], "score": s[order]}))
-    return pd.concat(found, ignore_index=True)
+    least = np.zeros((len(scores), 1))
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+    row, col = np.nonzero((scores >= least) & (scores > 0))
+    order = np.lexsort((item_ids[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, col = row[keep], col[keep]
+    return pd.DataFrame({"query_id": query_ids[row], "chunk_id": item_ids[col], "score": scores[row, col]})
 
 
 def merge_df(old: DataFrame, delta: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scholia.operators import lexical, vectors
 
-TABLES = ("chunks", "postings", "bounds", "tops", "vectors", "df", "stats")
+TABLES = ("chunks", "postings", "forward", "bounds", "tops", "vectors", "df", "stats")
 #: Chunks of a block of postings to aim for.
 BLOCK_CHUNKS = 256
 
@@ -47,10 +47,11 @@ def write_index(chunks: DataFrame, path: str, clear_first: bool = False) -> int:
     # by term range, so that a reader of few terms passes over most row groups
     put(lexical.postings(stored).withColumn("block", block).repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "postings")
     posting = spark.read.parquet(f"{path}/postings/run={run}")
+    put(lexical.forward_counts(posting), "forward")
     put(lexical.posting_bounds(posting).repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "bounds")
-    put(lexical.posting_tops(posting), "tops")
+    put(lexical.posting_tops(spark.read.parquet(f"{path}/bounds/run={run}")), "tops")
     put(vectors.embed_hashed(stored.select("chunk_id", "text")).select("chunk_id", "embedding"), "vectors")
-    put(lexical.doc_freq(stored), "df")
+    put(posting.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     put(lexical.corpus_stats(stored).withColumn("is_base", F.lit(is_base)), "stats")
     return run
 
@@ -63,5 +64,5 @@ def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         return spark.read.parquet(f"{path}/{table}").join(runs, "run", "left_semi").drop("run")
     stats = (live("stats").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"))
              .withColumn("avg_len", F.col("total_len") / F.col("n_docs")))
-    return {"chunks": live("chunks"), "postings": live("postings"), "bounds": live("bounds"), "tops": live("tops"), "vectors": live("vectors"),
+    return {"chunks": live("chunks"), "postings": live("postings"), "forward": live("forward"), "bounds": live("bounds"), "tops": live("tops"), "vectors": live("vectors"),
             "df": live("df").groupBy("term").agg(F.sum("df").alias("df")), "stats": stats}

@@ -327,3 +327,49 @@ def test_recommend_scores_a_missing_vector_with_zero(spark):
     installed = spark.createDataFrame([(1, "HAVE"), (1, "have"), (1, "elsewhere")], "query_id bigint, name string")
     got = [(r.item_id, r.rank) for r in vectors.recommend(profiles, catalog, installed, 5).orderBy("rank").collect()]
     assert got == [(1, 1), (2, 2), (3, 3)]
+
+
+# ---- stored index ----------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """Two runs of an index, and all their chunks."""
+    from scholia.sources import sinks
+    path = str(tmp_path_factory.mktemp("index"))
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 25), p=np.arange(60, 0, -1) / 1830)) for _ in range(900)] + TEXTS
+    chunks = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "source string, chunk_id bigint, text string")
+    sinks.write_index(chunks.where("chunk_id < 600"), path)
+    sinks.write_index(chunks.where("chunk_id >= 600"), path)
+    return chunks, sinks.read_index(spark, path)
+
+
+def test_search_of_the_stored_index(spark, stored):
+    chunks, index = stored
+    queries = spark.createDataFrame([(1, "w1 w2 w2 w59"), (2, "w58"), (3, "the fox at home"), (4, "zzz"), (5, ""), (6, " ".join(f"w{i}" for i in range(60)))], "query_id bigint, query string")
+    for k in (3, 20):
+        want = rows(lexical.bm25_topk(chunks, queries, k))
+        assert rows(lexical.bm25_index_topk(index, queries, k)) == want
+        assert rows(lexical.bm25_lookup_topk(index, queries, k)) == want
+
+
+def test_blocks_without_a_hit_are_skipped(spark, monkeypatch, tmp_path):
+    """The chunks of one block are far better than all others: only its postings are scored."""
+    from scholia.sources import sinks
+    monkeypatch.setattr(sinks, "BLOCK_CHUNKS", 10)
+    texts = ["red " * 30] * 30 + ["red " + "x" * 5 + " filler words here and there"] * 970
+    chunks = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "source string, chunk_id bigint, text string")
+    sinks.write_index(chunks, str(tmp_path / "i"))
+    index = sinks.read_index(spark, str(tmp_path / "i"))
+    queries = spark.createDataFrame([(1, "red")], "query_id bigint, query string")
+    got = lexical.bm25_lookup_topk(index, queries, 5)
+    assert [r.chunk_id for r in got.orderBy("rank").collect()] == [r.chunk_id for r in lexical.bm25_topk(chunks, queries, 5).orderBy("rank").collect()]
+    assert index["bounds"].where("term = 'red'").select("block").distinct().count() > 50
+
+
+def test_hybrid_search_from_the_index_equals_the_chunks(spark, stored):
+    chunks, index = stored
+    full = chunks.selectExpr("chunk_id", "text", "chunk_id div 3 AS parent_id", "chunk_id % 3 AS sibling_index", "3 AS sibling_count")
+    queries = spark.createDataFrame([(1, "w1 w2 w3"), (2, "quick brown fox")], "query_id bigint, query string")
+    assert rows(ranking.hybrid_search(full, queries, index=index)) == rows(ranking.hybrid_search(full, queries))
