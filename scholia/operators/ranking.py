@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from scholia.functions.scale import broadcast_within, cut
+from scholia.functions.scale import broadcast_within, cut, salted_join
 from scholia.functions.text import contained_in, keywords, literal_array, phrases_in_texts, records, tokens
 from scholia.operators import lexical, vectors
 
@@ -349,7 +349,8 @@ def keyword_fallback(queries: DataFrame, results: DataFrame, catalog: DataFrame,
     A row matches when a trigger keyword is contained in the query or shares a word
     with it, its name contains the query, or its description contains a query word.
     Rows without keywords never match. All three containment tests run as equi-joins
-    on text pieces over distinct values, not as a nested loop.
+    on text pieces over distinct values, not as a nested loop; joins on a word are salted
+    by query, since a word may be in every query.
     """
     best = results.groupBy("query_id").agg(F.max("score").alias("best"))
     weak = (queries.join(best, "query_id", "left")
@@ -362,11 +363,12 @@ def keyword_fallback(queries: DataFrame, results: DataFrame, catalog: DataFrame,
     in_query = phrases_in_texts(trig, weak, "k", "q")
     a = trig.join(in_query, "k").join(weak, "q").select("query_id", "name")
     trig_words = trig.select("name", F.explode(F.split("k", r"\s+")).alias("w"))
-    b = trig_words.join(words, "w").select("query_id", "name")
+    b = salted_join(words, trig_words, "w", "query_id").select("query_id", "name").distinct()
     names = usable.select("name", F.lower("name").alias("ln"))
     c = weak.join(contained_in(weak, names, "q", "ln"), "q").join(names, "ln").select("query_id", "name")
     desc = usable.select("name", F.lower(F.coalesce("description", F.lit(""))).alias("d"))
-    d = words.join(phrases_in_texts(words, desc, "w", "d"), "w").join(desc, "d").select("query_id", "name")
+    held = phrases_in_texts(words, desc, "w", "d").join(desc, "d").select("w", "name").distinct()
+    d = salted_join(words, held, "w", "query_id").select("query_id", "name").distinct()
     found = a.unionByName(b).unionByName(c).unionByName(d).distinct()
     return found.join(results.select("query_id", "name").distinct(), ["query_id", "name"], "left_anti")
 

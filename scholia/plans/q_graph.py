@@ -195,7 +195,7 @@ def _(t):
 
 
 FALL = """
-q AS (SELECT o_orderkey AS query_id, lower(o_orderpriority) || ' ' || CASE WHEN o_totalprice > 250000 THEN t.task ELSE 'order of small parts' END AS query FROM orders JOIN v_tasks t ON task_id = o_orderkey),
+q AS (SELECT o_orderkey AS query_id, lower(o_orderpriority) || ' ' || t.task AS query FROM orders JOIN v_tasks t ON task_id = o_orderkey),
 res AS (SELECT l_orderkey AS query_id, p_name AS name, max(l_discount * 8) AS score FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)"""
 
 
@@ -208,7 +208,7 @@ m AS (SELECT q, name FROM d, v_catalog WHERE len(list_filter(keywords, lambda k:
 SELECT DISTINCT query_id, name FROM weak JOIN m USING (q) WHERE NOT EXISTS (SELECT 1 FROM res r WHERE r.query_id = weak.query_id AND r.name = m.name)""")
 def _(t):
     q = (t.orders.join(t.v_tasks.select("task_id", "task"), F.col("o_orderkey") == F.col("task_id"))
-         .selectExpr("o_orderkey AS query_id", "concat(lower(o_orderpriority), ' ', CASE WHEN o_totalprice > 250000 THEN task ELSE 'order of small parts' END) AS query"))
+         .selectExpr("o_orderkey AS query_id", "concat(lower(o_orderpriority), ' ', task) AS query"))
     res = (t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
            .groupBy(F.col("l_orderkey").alias("query_id"), F.col("p_name").alias("name")).agg(F.max(F.col("l_discount") * 8).alias("score")))
     return ranking.keyword_fallback(q, res, t.v_catalog)

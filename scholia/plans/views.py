@@ -67,7 +67,8 @@ class Tables:
 
         A passage found in a text carries its inner words whole, so the first five of
         them, or as many as there are, are looked up by equality and the few candidates
-        are verified. Passages without inner words are looked up by their characters.
+        are verified. Passages without inner words are looked up by their characters. An
+        empty passage is in no document.
         """
         def words(col):
             return F.filter(F.split(F.lower(col), "[^a-z0-9]+"), lambda w: F.length(w) > 0)
@@ -83,8 +84,7 @@ class Tables:
         short = need.where("n = 0").select("item_id", "passage")
         held = contained_in(short, texts, "passage", "text")
         by_chars = short.join(held, "passage").join(texts, "text").select("item_id", "doc_id")
-        anywhere = short.where("passage = ''").join(texts.where("text is not null")).select("item_id", "doc_id")
-        return (by_words.unionByName(by_chars).unionByName(anywhere)
+        return (by_words.unionByName(by_chars)
                 .select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item_id")))
 
     @cached_property
@@ -111,7 +111,7 @@ SELECT doc_id * 134217728 + i - 1 AS chunk_id, doc_id AS parent_id, (i - 1)::BIG
        ls[i] AS text, source AS name, lang AS type
 FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM v_lines)"""
 ORACLE_VIEWS["v_queries"] = "SELECT item_id AS query_id, replace(text, chr(10), ' ') AS query FROM benchmark"
-ORACLE_VIEWS["v_qrels"] = "SELECT b.item_id AS query_id, d.doc_id AS item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
+ORACLE_VIEWS["v_qrels"] = "SELECT b.item_id AS query_id, d.doc_id AS item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND b.text <> ''"
 
 STOP_SQL = ("['" + "','".join(__import__("scholia.functions.text", fromlist=["STOPWORDS"]).STOPWORDS) + "']")
 
