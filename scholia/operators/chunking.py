@@ -35,12 +35,21 @@ def front_value(content: Column, key: str) -> Column:
 
 
 def front_map(content: Column) -> Column:
-    """Flat frontmatter keys as a map of strings; the last value of a repeated key."""
-    rows = F.filter(F.split(front_block(content), "\n"), lambda s: s.rlike(r"^[A-Za-z_][\w-]*:"))
-    key = r"^([\w-]+):"
-    last = F.filter(rows, lambda s, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda later: F.regexp_extract(later, key, 1) == F.regexp_extract(s, key, 1)))
-    return F.map_from_entries(F.transform(last, lambda s: F.struct(
-        F.regexp_extract(s, key, 1).alias("key"), F.trim(F.regexp_extract(s, r"^[\w-]+:(.*)$", 1)).alias("value"))))
+    """Flat frontmatter keys as a map of strings; the last value of a repeated key.
+
+    Indented lines belong to the key before them and are folded into one line, quotes
+    around a value are taken off.
+    """
+    folded = F.regexp_replace(front_block(content), r"\n[ \t]+(?=\S)", " ")
+    rows = F.filter(F.split(folded, "\n"), lambda s: s.rlike(r"^[A-Za-z_][\w-]*:"))
+
+    def value(line: Column) -> Column:
+        text = F.trim(F.regexp_replace(F.regexp_extract(line, r"^[\w-]+:(.*)$", 1), r"^\s*[>|][+-]?(?:\s|$)", ""))
+        return F.regexp_replace(text, "^[\"']|[\"']$", "")
+    # sorted by key and place, the last row of each key stays
+    placed = F.array_sort(F.transform(rows, lambda s, i: F.struct(F.regexp_extract(s, r"^([\w-]+):", 1).alias("key"), i.alias("i"), value(s).alias("value"))))
+    last = F.filter(placed, lambda x, i: F.coalesce(F.get(placed, i + 1)["key"] != x["key"], F.lit(True)))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))))
 
 
 def inline_list(value: Column) -> Column:
@@ -50,10 +59,10 @@ def inline_list(value: Column) -> Column:
 
 
 def frontmatter(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, doc_name, tags, body) of ``docs(doc_id, path, content)``."""
+    """(doc_id, path, doc_name, tags, front, body) of ``docs(doc_id, path, content)``."""
     c = F.col("content")
     return docs.select("doc_id", "path", F.coalesce(front_value(c, "name"), F.col("path")).alias("doc_name"),
-                       inline_list(front_value(c, "tags")).alias("tags"), body_of(c).alias("body"))
+                       inline_list(front_value(c, "tags")).alias("tags"), front_map(c).alias("front"), body_of(c).alias("body"))
 
 
 # ---- sections --------------------------------------------------------------

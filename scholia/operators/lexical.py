@@ -253,11 +253,25 @@ def subtract_df(old: DataFrame, removed: DataFrame) -> DataFrame:
             .where("df > 0"))
 
 
-def covered(names: DataFrame, posting: DataFrame, df: DataFrame, stats: DataFrame,
-            threshold: float = 0.5) -> DataFrame:
-    """(name, covered): whether the best hit for the name reaches the threshold."""
-    queries = names.select(F.col("name").alias("query_id"), F.col("name").alias("query")).distinct()
-    best = bm25_scores(posting, df, stats, queries).groupBy("query_id").agg(F.max("score").alias("best"))
-    return (queries.join(best, "query_id", "left")
-            .select(F.col("query_id").alias("name"),
-                    (F.coalesce("best", F.lit(0.0)) >= threshold).cast("int").alias("covered")))
+def covered(names: DataFrame, index: dict[str, DataFrame] | None, threshold: float = 0.5) -> DataFrame:
+    """(name, covered): whether the best hit for the name in a stored index reaches the
+    threshold; null without an index.
+
+    One hit a name is asked for, so blocks of postings that cannot hold a better one are
+    skipped and no name meets every chunk that shares a word with it.
+    """
+    asked = names.select(F.col("name").alias("query")).where("query is not null").distinct()
+    if index is None:
+        return asked.select(F.col("query").alias("name"), F.lit(None).cast("int").alias("covered"))
+    # names with the same terms are asked once; the term list is the query
+    terms = asked.withColumn("key", F.array_join(F.array_sort(tokens("query")), " "))
+    best = (_best_score(index, terms.select("key").distinct()).select("key", "best"))
+    return (terms.join(best, "key", "left")
+            .select(F.col("query").alias("name"), (F.coalesce("best", F.lit(0.0)) >= threshold).cast("int").alias("covered")))
+
+
+def _best_score(index: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
+    """(key, best): the best score of each query text."""
+    asked = keys.select(F.xxhash64("key").alias("query_id"), "key")
+    hits = bm25_lookup_topk(index, asked.select("query_id", F.col("key").alias("query")), 1)
+    return asked.join(hits.select("query_id", F.col("score").alias("best")), "query_id")

@@ -149,12 +149,12 @@ def session_merge(groups: DataFrame, sessions: DataFrame) -> DataFrame:
 
     A missing member is reported; the caller treats it as an error.
     """
-    j = groups.join(sessions.select("session_id", "goal", "progress", "branch"), "session_id", "left")
+    j = groups.join(sessions.select("session_id", "goal", "progress", "branch", F.lit(1).alias("there")), "session_id", "left")
     unknown = F.lit("Unknown")
     agent = F.concat(F.lit("<agent id=\""), F.col("session_id").cast("string"), F.lit("\"><goal>"), F.coalesce(F.nullif("goal", F.lit("")), unknown),
                      F.lit("</goal><progress>"), F.coalesce(F.nullif("progress", F.lit("")), unknown), F.lit("</progress><branch>"), F.coalesce("branch", unknown), F.lit("</branch></agent>"))
     listed = F.array_sort(F.collect_list(F.struct("pos", F.col("session_id").cast("string").alias("s"), agent.alias("t"))))
-    return (j.withColumn("gone", F.col("branch").isNull().cast("int")).groupBy("output_id").agg(listed.alias("l"), F.sum("gone").alias("missing"))
+    return (j.withColumn("gone", F.col("there").isNull().cast("int")).groupBy("output_id").agg(listed.alias("l"), F.sum("gone").alias("missing"))
             .select("output_id", F.array_join(F.transform("l", lambda x: x["s"]), ", ").alias("members"), "missing",
                     F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("body")))
 

@@ -194,9 +194,11 @@ def _(t):
 
 # ---- document preparation --------------------------------------------------
 
-@query("frontmatter", "SELECT doc_id, 'docs/' || source || '/' || doc_id || '.md' AS path, 'doc-' || doc_id AS doc_name, source || ',' || lang AS tags, md5(string_agg(raw, chr(10) ORDER BY i)) AS body_md5 FROM o_mdl GROUP BY doc_id, source, lang")
+@query("frontmatter", "SELECT doc_id, 'docs/' || source || '/' || doc_id || '.md' AS path, 'doc-' || doc_id AS doc_name, source || ',' || lang AS tags, 'description=Notes of ' || source || ';name=doc-' || doc_id || ';tags=[' || source || ', ' || lang || ']' AS front, md5(string_agg(raw, chr(10) ORDER BY i)) AS body_md5 FROM o_mdl GROUP BY doc_id, source, lang")
 def _(t):
-    return ck.frontmatter(t.v_md).select("doc_id", "path", "doc_name", F.array_join("tags", ",").alias("tags"), F.md5("body").alias("body_md5"))
+    return ck.frontmatter(t.v_md).select("doc_id", "path", "doc_name", F.array_join("tags", ",").alias("tags"),
+                                         F.array_join(F.transform(F.array_sort(F.map_entries("front")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("front"),
+                                         F.md5("body").alias("body_md5"))
 
 
 @query("section_chunks", "SELECT doc_id, pos, header, text FROM o_mdsec WHERE base_kind = 'content'")

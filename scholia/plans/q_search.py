@@ -94,13 +94,11 @@ s AS (SELECT name, chunk_id, round(sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5)
       FROM q JOIN o_df USING (term) JOIN o_post USING (term) JOIN o_len USING (chunk_id), o_stats GROUP BY ALL)
 SELECT n.name, CASE WHEN max(score) >= 0.5 THEN 1 ELSE 0 END AS covered FROM n LEFT JOIN s USING (name) GROUP BY n.name""")
 def _(t):
-    c = t.v_chunks
-    df = lexical.doc_freq(c)
     names = (t.part.select(F.col("p_name").alias("name"))
              .union(t.conversations.select("role"))
              .union(t.orders.select(F.lower("o_orderpriority")))
-             .union(df.select("term")).distinct())
-    return lexical.covered(names, lexical.postings(c), df, lexical.corpus_stats(c))
+             .union(t.index["df"].select("term")).distinct())
+    return lexical.covered(names, t.index)
 
 
 # ---- vectors ---------------------------------------------------------------

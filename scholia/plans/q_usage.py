@@ -103,9 +103,9 @@ def _(t):
 
 @query("session_merge", """
 WITH g AS (SELECT c_nationkey AS output_id, c_custkey AS pos, c_custkey AS session_id FROM customer),
-j AS (SELECT output_id, pos, g.session_id, s.branch, '<agent id="' || g.session_id || '"><goal>' || coalesce(nullif(goal, ''), 'Unknown') || '</goal><progress>' || coalesce(nullif(progress, ''), 'Unknown') || '</progress><branch>' || coalesce(branch, 'Unknown') || '</branch></agent>' AS a
-      FROM g LEFT JOIN v_sessions s USING (session_id))
-SELECT output_id, string_agg(session_id::VARCHAR, ', ' ORDER BY pos) AS members, count(*) FILTER (branch IS NULL) AS missing, string_agg(a, chr(10) ORDER BY pos) AS body FROM j GROUP BY output_id""")
+j AS (SELECT output_id, pos, g.session_id, s.session_id AS there, s.branch, '<agent id="' || g.session_id || '"><goal>' || coalesce(nullif(goal, ''), 'Unknown') || '</goal><progress>' || coalesce(nullif(progress, ''), 'Unknown') || '</progress><branch>' || coalesce(branch, 'Unknown') || '</branch></agent>' AS a
+      FROM g LEFT JOIN v_sessions s ON s.session_id = g.session_id)
+SELECT output_id, string_agg(session_id::VARCHAR, ', ' ORDER BY pos) AS members, count(*) FILTER (there IS NULL) AS missing, string_agg(a, chr(10) ORDER BY pos) AS body FROM j GROUP BY output_id""")
 def _(t):
     groups = t.customer.selectExpr("c_nationkey AS output_id", "c_custkey AS pos", "c_custkey AS session_id")
     return usage.session_merge(groups, t.v_sessions)

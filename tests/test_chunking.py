@@ -172,6 +172,11 @@ def test_dash_with_a_tab_is_no_bullet(spark):
 
 def test_repeated_frontmatter_keys(spark):
     assert one(spark, "---\na: 1\nb: 2\na: 3\n---\nx", ck.front_map) == {"a": "3", "b": "2"}
+    folded = "---\nname: 'x y'\ndescription: >\n  two\n  lines\nlong: a\n  b\nnote\nempty:\nname: \"z\"\n---\nbody"
+    assert one(spark, folded, ck.front_map) == {"name": "z", "description": "two lines", "long": "a b", "empty": ""}
+    assert one(spark, "no block", ck.front_map) == {}
+    many = "---\n" + "\n".join(f"k{i % 700}: {i}" for i in range(20_000)) + "\n---\n"
+    assert one(spark, many, ck.front_map)["k5"] == str(max(i for i in range(20_000) if i % 700 == 5))
 
 
 def test_records_of_empty_lists_are_rejected(spark):

@@ -373,3 +373,13 @@ def test_hybrid_search_from_the_index_equals_the_chunks(spark, stored):
     full = chunks.selectExpr("chunk_id", "text", "chunk_id div 3 AS parent_id", "chunk_id % 3 AS sibling_index", "3 AS sibling_count")
     queries = spark.createDataFrame([(1, "w1 w2 w3"), (2, "quick brown fox")], "query_id bigint, query string")
     assert rows(ranking.hybrid_search(full, queries, index=index)) == rows(ranking.hybrid_search(full, queries))
+
+
+def test_coverage_by_the_stored_index(spark, stored):
+    chunks, index = stored
+    names = spark.createDataFrame([("fox",), ("Fox!",), ("w1 w2",), ("zzz",), ("",), (None,), ("w0",)], "name string")
+    best = {r.query_id: r.score for r in lexical.bm25_topk(chunks, names.where("name is not null").selectExpr("name AS query", "hash(name) AS query_id").selectExpr("cast(query_id AS bigint) AS query_id", "query"), 1).collect()}
+    hashed = {r.name: r.h for r in names.where("name is not null").selectExpr("name", "cast(hash(name) AS bigint) AS h").collect()}
+    got = {r.name: r.covered for r in lexical.covered(names, index, 2.0).collect()}
+    assert got == {n: int(best.get(h, 0) >= 2.0) for n, h in hashed.items()} and 0 < sum(got.values()) < len(got)
+    assert {r.covered for r in lexical.covered(names, None).collect()} == {None}
