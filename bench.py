@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from scholia import plans  # noqa: E402
 from scholia.session import local_session  # noqa: E402
 
-HEADLINE = ["bm25_topk", "rrf", "hybrid_search", "sibling_expand", "knn_topk", "near_dup_leaders", "bfs_hops", "imports", "manifest_deps",
+HEADLINE = ["index_write", "bm25_topk", "rrf", "hybrid_search", "sibling_expand", "knn_topk", "near_dup_leaders", "bfs_hops", "imports", "manifest_deps",
             "affected_files", "line_rules", "contradiction_guard", "scope_match", "usage_summary", "stream_index"]
 
 

@@ -48,7 +48,8 @@ def front_map(content: Column) -> Column:
         return F.regexp_replace(text, "^[\"']|[\"']$", "")
     # sorted by key and place, the last row of each key stays
     placed = F.array_sort(F.transform(rows, lambda s, i: F.struct(F.regexp_extract(s, r"^([\w-]+):", 1).alias("key"), i.alias("i"), value(s).alias("value"))))
-    last = F.filter(placed, lambda x, i: F.coalesce(F.get(placed, i + 1)["key"] != x["key"], F.lit(True)))
+    last = F.array_compact(F.zip_with(placed, F.slice(placed, F.lit(2), F.size(placed)), lambda x, following: F.when(
+        following.isNull() | (following["key"] != x["key"]), x)))
     return F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))))
 
 

@@ -291,17 +291,34 @@ def autolink_titles(nodes: DataFrame, edges: DataFrame, component_links: DataFra
             .select("src", "dst", F.lit("see-also").alias("type")))
 
 
-def autolink_tags(nodes: DataFrame, catalog: DataFrame, edges: DataFrame) -> DataFrame:
-    """(src, dst, type, shared): node and catalog row sharing at least two tags.
-
-    Both sides are keyed by pairs of their tags, so a tag everybody has joins nobody.
+def overlapping(left: DataFrame, right: DataFrame, least: int = 2) -> DataFrame:
+    """(id, name, shared): rows of ``left(id, tags)`` and ``right(name, tags)`` that share at
+    least ``least`` different tags; ids and names are unique.
+
+    A join with a prefix filter: tags are put in one order, the rarest first, and each row
+    offers all but its ``least - 1`` most frequent ones. Rows that share enough tags share one
+    that both offer, and a tag that everybody has is offered by nobody who has others. A pair
+    is formed under the first tag that both offer only, then verified on the whole sets.
     """
-    def pairs(df: DataFrame, id_col: str, tags: Column) -> DataFrame:
-        t = df.select(F.col(id_col), F.array_sort(F.array_distinct(tags)).alias("ts"))
-        two = F.expr("flatten(transform(ts, (a, i) -> transform(slice(ts, i + 2, greatest(size(ts) - i - 1, 0)), b -> struct(a, b))))")
-        return t.select(id_col, "ts", F.explode(two).alias("two"))
-    left = pairs(nodes, "id", F.concat(F.coalesce("tags", F.array().cast("array<string>")), words_of(F.col("title"), 3)))
-    right = pairs(catalog, "name", F.col("tags")).withColumnRenamed("ts", "cs")
-    links = (left.join(right, "two").select(F.col("id").alias("src"), F.col("name").alias("dst"),
-                                            F.array_join(F.array_sort(F.array_intersect("ts", "cs")), ",").alias("shared")).distinct())
+    def exploded(df: DataFrame, key: str) -> DataFrame:
+        return df.select(key, F.explode(F.array_distinct("tags")).alias("tag")).where("tag is not null")
+    a, b = exploded(left, "id"), exploded(right, "name")
+    counts = a.select("tag").unionByName(b.select("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+    def offered(rows: DataFrame, key: str, out: str) -> DataFrame:
+        sets = (salted_join(rows, counts, "tag", key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "tag"))).alias("s"))
+                .where(F.size("s") >= least).select(key, F.transform("s", lambda x: x["tag"]).alias(out)))
+        return sets.withColumn(f"{out}_offers", F.slice(out, F.lit(1), F.size(out) - (least - 1))).withColumn("tag", F.explode(f"{out}_offers"))
+    met = offered(a, "id", "ts").join(offered(b, "name", "cs"), "tag")
+    shared = F.array_intersect("ts", "cs")
+    return (met.where((F.get(F.array_intersect("ts_offers", "cs_offers"), F.lit(0)) == F.col("tag")) & (F.size(shared) >= least))
+            .select("id", "name", F.array_sort(shared).alias("shared")))
+
+
+def autolink_tags(nodes: DataFrame, catalog: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, type, shared): node and catalog row sharing at least two tags; the long
+    words of a node's title count as its tags."""
+    tags = F.concat(F.coalesce("tags", F.array().cast("array<string>")), words_of(F.col("title"), 3))
+    links = overlapping(nodes.select("id", tags.alias("tags")), catalog.select("name", "tags")).select(
+        F.col("id").alias("src"), F.col("name").alias("dst"), F.array_join("shared", ",").alias("shared"))
     return without_existing(links, edges).select("src", "dst", F.lit("see-also").alias("type"), "shared")

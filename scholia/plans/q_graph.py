@@ -155,11 +155,11 @@ def _(t):
 
 @query("autolink_tags", """
 WITH n AS (SELECT id, list_distinct(list_concat(list_filter(string_split(tags, ','), lambda x: x <> ''), list_filter(string_split_regex(lower(title), '[\\s\\-_]+'), lambda w: length(w) > 3))) AS ts FROM v_nodes),
-c AS (SELECT name, list_distinct(list_concat(keywords, [topic, 'promo', 'brand#7'])) AS cs FROM v_catalog),
+c AS (SELECT name, list_distinct(list_concat(keywords, [topic, description])) AS cs FROM v_catalog),
 j AS (SELECT id AS src, name AS dst, list_sort(list_intersect(ts, cs)) AS o FROM n, c WHERE len(list_intersect(ts, cs)) >= 2)
 SELECT src, dst, 'see-also' AS type, array_to_string(o, ',') AS shared FROM j""")
 def _(t):
-    catalog = t.v_catalog.select("name", F.concat("keywords", F.array("topic", F.lit("promo"), F.lit("brand#7"))).alias("tags"))
+    catalog = t.v_catalog.select("name", F.concat("keywords", F.array("topic", "description")).alias("tags"))
     return graph.autolink_tags(t.v_nodes, catalog, t.v_edges)
 
 

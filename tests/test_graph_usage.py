@@ -166,3 +166,24 @@ def test_broadcast_only_within_the_checked_size(spark):
     plan = lambda d: d._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint (strategy=broadcast)" in plan(broadcast_within(df, 10))
     assert "ResolvedHint" not in plan(broadcast_within(df, 9))
+
+
+def test_overlapping_sets_against_all_pairs(spark):
+    import random
+    rng = random.Random(6)
+    tags = [f"t{i}" for i in range(12)]
+    left = [(f"n{i}", [*rng.choices(tags, k=rng.randrange(6)), "all", *(["most"] if i % 4 else [])]) for i in range(70)] + [("e", []), ("null", None), ("gap", [None, "all", "t1"])]
+    right = [(f"c{i}", [*rng.choices(tags, k=rng.randrange(6)), "all"]) for i in range(50)]
+    a = spark.createDataFrame(left, "id string, tags array<string>")
+    b = spark.createDataFrame(right, "name string, tags array<string>")
+    for least in (1, 2, 3):
+        want = sorted((x, y, tuple(sorted(set(s or []) & set(t) - {None}))) for x, s in left for y, t in right if len(set(s or []) & set(t) - {None}) >= least)
+        got = sorted((r.id, r.name, tuple(r.shared)) for r in graph.overlapping(a, b, least).collect())
+        assert got == want
+
+
+def test_a_tag_of_every_row_forms_no_pairs(spark):
+    n = 400
+    a = spark.range(n).selectExpr("concat('n', id) AS id", "array('all', concat('a', id)) AS tags")
+    b = spark.range(n).selectExpr("concat('c', id) AS name", "array('all', concat('b', id), concat('a', id div 200)) AS tags")
+    assert {(r.id, len(r.shared)) for r in graph.overlapping(a, b).collect()} == {("n0", 2), ("n1", 2)}
