@@ -187,3 +187,10 @@ def test_a_tag_of_every_row_forms_no_pairs(spark):
     a = spark.range(n).selectExpr("concat('n', id) AS id", "array('all', concat('a', id)) AS tags")
     b = spark.range(n).selectExpr("concat('c', id) AS name", "array('all', concat('b', id), concat('a', id div 200)) AS tags")
     assert {(r.id, len(r.shared)) for r in graph.overlapping(a, b).collect()} == {("n0", 2), ("n1", 2)}
+
+
+def test_a_side_that_is_large_with_its_repeats_is_not_broadcast(spark, tmp_path):
+    spark.range(200_000).withColumnRenamed("id", "k").write.parquet(f"{tmp_path}/small")
+    big, small = spark.range(10).select(F.col("id").alias("k"), F.col("id").alias("x")), spark.read.parquet(f"{tmp_path}/small")
+    joined = salted_join(big, small, "k", "x", salts=32)
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 10
