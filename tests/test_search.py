@@ -383,3 +383,25 @@ def test_coverage_by_the_stored_index(spark, stored):
     got = {r.name: r.covered for r in lexical.covered(names, index, 2.0).collect()}
     assert got == {n: int(best.get(h, 0) >= 2.0) for n, h in hashed.items()} and 0 < sum(got.values()) < len(got)
     assert {r.covered for r in lexical.covered(names, None).collect()} == {None}
+
+
+def test_route_forms_candidates_by_text(spark):
+    """Three names a task of all those with a keyword, against a loop over all pairs."""
+    import random
+    rnd = random.Random(5)
+    words = ["ant", "bee", "cat", "dog", "eel", "fox"]
+    catalog = [(f"n{i}", rnd.sample(words, 2), rnd.sample(words, 1), rnd.choice([["py"], ["go", "ts"], []])) for i in range(12)]
+    tasks = [(i % 40, " ".join(rnd.sample(words, 3)).upper(), rnd.choice(["py", "ts", "", None])) for i in range(60)]
+    best = {}
+    for task, text, lang in tasks:
+        for name, kw, anti, langs in catalog:
+            hits = sum(k in text.lower() for k in kw)
+            score = hits * 2.0 - 3.0 * sum(a in text.lower() for a in anti) + (0.0 if not lang else 3.0 if lang in langs else -5.0 if langs else 0.0)
+            if hits and score > 0:
+                best.setdefault(task, []).append((-score, name))
+    want = {t: tuple(([n for _, n in sorted(v)] + [None] * 3)[:3]) for t, v in best.items()}
+    out = ranking.route(spark.createDataFrame(tasks, "task_id int, task string, language string"),
+                        spark.createDataFrame(catalog, "name string, keywords array<string>, anti_keywords array<string>, languages array<string>"))
+    assert {r.task_id: (r.primary, r.secondary, r.third) for r in out.collect()} == want
+    import re
+    assert not re.search(r"hashpartitioning\(task#\d+, name#", out._jdf.queryExecution().executedPlan().toString())
