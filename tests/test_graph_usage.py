@@ -194,3 +194,9 @@ def test_a_side_that_is_large_with_its_repeats_is_not_broadcast(spark, tmp_path)
     big, small = spark.range(10).select(F.col("id").alias("k"), F.col("id").alias("x")), spark.read.parquet(f"{tmp_path}/small")
     joined = salted_join(big, small, "k", "x", salts=32)
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 10
+
+
+def test_tags_of_every_catalog_row_link(spark, data):
+    from scholia import plans
+    shared = {r.shared for r in plans.load()[0]["autolink_tags"](spark, data).select("shared").distinct().collect()}
+    assert any("promo" in s.split(",") for s in shared)
