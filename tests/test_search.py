@@ -405,3 +405,12 @@ def test_route_forms_candidates_by_text(spark):
     assert {r.task_id: (r.primary, r.secondary, r.third) for r in out.collect()} == want
     import re
     assert not re.search(r"hashpartitioning\(task#\d+, name#", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_no_score_is_shuffled(spark):
+    import re
+    chunks = spark.createDataFrame([(i, f"red fox {i % 3} owl owl") for i in range(40)], "chunk_id bigint, text string")
+    queries = spark.createDataFrame([(1, "red owl"), (2, "fox 11")], "query_id bigint, query string")
+    got = lexical.bm25_scores(lexical.postings(chunks), lexical.doc_freq(chunks), lexical.corpus_stats(chunks), queries)
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, chunk_id#", got._jdf.queryExecution().executedPlan().toString())
+    assert got.count() == 80
