@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from scholia.operators import evaluation, lexical, neighbours, ranking, vectors
+from scholia.sources import sinks
 
 
 def chunk_df(spark, texts):
@@ -414,3 +415,17 @@ def test_no_score_is_shuffled(spark):
     got = lexical.bm25_scores(lexical.postings(chunks), lexical.doc_freq(chunks), lexical.corpus_stats(chunks), queries)
     assert not re.search(r"hashpartitioning\(query_id#\d+L?, chunk_id#", got._jdf.queryExecution().executedPlan().toString())
     assert got.count() == 80
+
+
+def test_an_index_is_written_without_sorting_all_postings(spark, tmp_path):
+    rows_ = [("s", 1, "red fox fox"), ("s", 1, "red fox fox"), ("s", 2, "blue"), ("s", None, "red"), ("s", None, "red owl")]
+    chunks = spark.createDataFrame(rows_, "source string, chunk_id bigint, text string")
+    sinks.write_index(chunks, f"{tmp_path}/i")
+    index = sinks.read_index(spark, f"{tmp_path}/i")
+    assert rows(index["postings"].select("chunk_id", "term", "tf")) == rows(lexical.postings(chunks).select("chunk_id", "term", "tf"))
+    bounds = lexical.posting_bounds(index["postings"])
+    assert "SortAggregate" not in bounds._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r.best) for r in bounds.where("term = 'fox'").collect()] == [(4, 3)]
+    texts = chunks.select("chunk_id", "text")
+    plan = ranking.with_chunks(spark.createDataFrame([(1, 2)], "query_id bigint, chunk_id bigint"), texts)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
