@@ -200,3 +200,18 @@ def test_tags_of_every_catalog_row_link(spark, data):
     from scholia import plans
     shared = {r.shared for r in plans.load()[0]["autolink_tags"](spark, data).select("shared").distinct().collect()}
     assert any("promo" in s.split(",") for s in shared)
+
+
+def test_concept_intersection_shuffles_no_activation_and_takes_many_concepts(spark):
+    import re
+    names = [f"word{n:03d}" for n in range(130)]
+    concepts = spark.createDataFrame([(1, c) for c in names] + [(2, names[0]), (2, names[129]), (3, names[5]), (None, names[0]), (None, names[1])], "query_id long, concept string")
+    nodes = spark.createDataFrame([("a", " ".join(names[::3])), ("b", names[1]), ("c", f"{names[0]} {names[129]}"), ("d", "none"), (None, f"{names[0]} {names[129]}")], "id string, title string") \
+        .selectExpr("id", "'note' AS type", "title", "cast(array() AS array<string>) AS tags", "'' AS body")
+    edges = spark.createDataFrame([("b", "d"), ("c", "d")], "src string, dst string").selectExpr("src", "dst", "'see-also' AS type", "1L AS ord")
+    got = graph.concept_intersection(concepts, nodes, edges)
+    ends = f"{names[0]},{names[129]}"
+    reached = [("a", 44, ",".join(names[::3])), ("c", 2, ends), (None, 2, ends), ("d", 3, f"{names[0]},{names[1]},{names[129]}")]
+    both = [("a", 2, ends), ("c", 2, ends), ("d", 2, ends), (None, 2, ends)]
+    assert rows(got) == sorted([(1, *r) for r in reached] + [(2, *r) for r in both], key=repr)
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, id#", got._jdf.queryExecution().executedPlan().toString())
