@@ -255,3 +255,23 @@ def test_identifiers_start_at_a_script_boundary(spark):
     files = spark.createDataFrame([(1, "a.js", "$.ajax(1); $foo.bar(2); x$y.z(3); foo.bar(4)")], "file_id int, path string, content string")
     got = [r.identifier for r in mining.identifiers(files).collect()]
     assert got == ["foo.bar", "x$y.z"] or "$.ajax" not in got and "$foo.bar" not in got
+
+
+def test_numbered_terms_are_not_looked_up_under_their_shared_first_characters(spark, monkeypatch):
+    asked = []
+
+    def spy(needles, haystacks, needle, haystack, gram=6):
+        asked.append((needle, [r[0][:gram] for r in needles.select(needle).distinct().collect()]))
+        return contained_in(needles, haystacks, needle, haystack, gram)
+    from scholia.functions.text import contained_in
+    monkeypatch.setattr(rules, "contained_in", spy)
+    edits = spark.createDataFrame([(n, "src/a.ts", f"x = library{n:05d}.make(1)") for n in range(40)], "event_id long, path string, code string")
+    notes = spark.createDataFrame([(f"n{n}", f"Never use library{n:05d} today", "k", "note") for n in range(40)], "id string, text string, source string, type string")
+    calls = rules.scope_from_knowledge(notes).withColumn("id", F.concat(F.lit("f"), "id")).withColumn("code_terms", F.array().cast("array<string>")) \
+        .withColumn("function_patterns", F.array(F.concat(F.regexp_extract("constraint", "(library[0-9]+)", 1), F.lit("[.]make"))))
+    got = rules.scope_match(edits, calls)
+    assert {(r[0], r[1]) for r in got.collect()} == {(n, f"fn{n}") for n in range(40)}
+    rules.scope_match(edits, rules.scope_from_knowledge(notes)).collect()
+    assert {n for n, _ in asked} == {"term", "word"}
+    for _, keys in asked:
+        assert len(set(keys)) == len(keys)
