@@ -1,9 +1,12 @@
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from scholia.functions import scale
 from scholia.operators import evaluation, lexical, neighbours, ranking, vectors
+from scholia.plans.views import Tables
 from scholia.sources import sinks
 
 
@@ -429,3 +432,47 @@ def test_an_index_is_written_without_sorting_all_postings(spark, tmp_path):
     texts = chunks.select("chunk_id", "text")
     plan = ranking.with_chunks(spark.createDataFrame([(1, 2)], "query_id bigint, chunk_id bigint"), texts)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_a_task_returns_k_rows_a_query_however_many_batches_it_reads(spark):
+    rows = spark.createDataFrame([(n, 2, ["aa", f"b{n % 7}"], [1 + n % 5, 1]) for n in range(60)], "chunk_id long, len long, ts array<string>, tfs array<long>")
+    weighted = pd.DataFrame({"query_id": [1, 1, 2], "term": ["aa", "b3", "aa"], "avg_len": 2.0, "weight": [1.0, 0.5, 1.0]})
+    vecs = spark.createDataFrame([(n, [1.0, float(n % 9)]) for n in range(60)], "item_id long, ivec array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, qvec array<double>")
+    whole = sorted(map(tuple, lexical._score_in_place(rows.coalesce(1), weighted, 60).collect()), key=lambda r: (r[0], -r[2], r[1]))
+    want = [r for q in (1, 2) for r in [w for w in whole if w[0] == q][:4]]
+    near = sorted(map(tuple, vectors.knn_topk(asked, vecs, 4).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    try:
+        got = lexical._score_in_place(rows.coalesce(1), weighted, 4).collect()
+        again = sorted(map(tuple, vectors.knn_topk(asked, vecs.coalesce(1), 4).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got), key=lambda r: (r[0], -r[2], r[1])) == want
+    assert again == near
+
+
+def test_best_of_task_holds_a_bounded_number_of_rows(monkeypatch):
+    monkeypatch.setattr(scale, "KEPT_ROWS", 10)
+    parts = [pd.DataFrame({"query_id": [1, 1, 2], "item_id": [3 * n, 3 * n + 1, 3 * n + 2], "score": [n % 4, 1.0, n % 3]}) for n in range(30)]
+    [got] = scale.best_of_task(iter(parts), 2, "item_id")
+    every = pd.concat(parts).sort_values(["query_id", "score", "item_id"], ascending=[True, False, True])
+    assert got.values.tolist() == every.groupby("query_id").head(2).values.tolist()
+    assert list(scale.best_of_task(iter([]), 2, "item_id")) == []
+
+
+def test_hits_with_their_chunks_and_relevant_documents_are_made_once(spark, data):
+    chunks = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "chunk_id long, text string")
+    hits = spark.createDataFrame([(7, 2, 1), (8, 2, 1), (8, 3, 2)], "query_id long, chunk_id long, rank int")
+    found = ranking.with_chunks(hits, chunks)
+    assert rows(found) == [(7, 2, 1, "b"), (8, 2, 1, "b"), (8, 3, 2, "c")]
+    qrels = Tables(spark, data).v_qrels
+    for df in (found, qrels):
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relevant_documents_hold_the_passage(spark, tmp_path):
+    spark.createDataFrame([(1, "xx one two three four five six yy"), (2, "two"), (3, None), (4, ""), (5, "Zwei. drei; vier")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "axx one two three four five six yyb two"), (2, "one two three four five six"), (3, None), (3, "two"), (3, "two"), (4, "Zwei. drei; vier"), (5, "zwei drei vier")],
+                          "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(Tables(spark, str(tmp_path)).v_qrels) == [(1, 1), (2, 1), (2, 2), (2, 3), (2, 3), (5, 4)]
