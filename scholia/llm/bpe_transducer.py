@@ -36,8 +36,8 @@ from scholia.llm.common import Generations, once, share, text_udf
 #: between blanks that one generation of its memory holds.
 MAX_STATES = 30_000
 MAX_PAIRS = 400_000
-MAX_WORDS = 60_000
-MAX_CHUNKS = 200_000
+MAX_WORDS = 30_000
+MAX_CHUNKS = 100_000
 #: Longer pre-tokens are encoded each time instead of being kept.
 LONG_WORD = 48
 #: Bytes after which sure tokens of a long pre-token are emitted.
@@ -279,16 +279,28 @@ class SideBySide:
         self.child.put(keys, np.fromiter(machine.child.values(), np.int32, len(keys)))
         n = len(machine.depth)
         self.suffix = np.fromiter(map(machine.suffix, range(n)), np.int32, n)
-        endings = [machine.tokens_at(node) for node in range(n)]
-        self.endings = np.full((n, max(map(len, endings))), START, np.int32)
-        for node, held in enumerate(endings):
-            self.endings[node, :len(held)] = [token for token, _ in held]
-        machine.endings.clear()
+        machine.suffix_of = {ROOT: ROOT}  # a long pre-token asks for few of them
+        self.endings = self._endings(np.array(machine.token_of, np.int32), np.array(machine.depth, np.int32))
         self.size = np.zeros(max(machine.size) + 1, np.int32)
         for token, size in machine.size.items():
             self.size[token] = size
         self.apart = IntTable()
 
+    def _endings(self, token: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """Tokens that end at each node, the longest first: its own, then those of its suffix."""
+        own = token != START
+        levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max()) + 1)]
+        count = np.zeros(len(token), np.int32)
+        for nodes in levels:
+            count[nodes] = count[self.suffix[nodes]] + own[nodes]
+        out = np.full((len(token), max(1, int(count.max()))), START, np.int32)
+        for nodes in levels:
+            out[nodes] = out[self.suffix[nodes]]
+            ends = nodes[own[nodes]]
+            out[ends, 1:] = out[ends, :-1]
+            out[ends, 0] = token[ends]
+        return out
+
     def _next(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         out = np.zeros(len(node), np.int32)
         open_ = np.arange(len(node))
@@ -375,12 +387,12 @@ class Encoder:
         first, *rest = text.split(" ") if not LOOSE_BLANK(text) else TIGHT_BLANK(text)
         return [first, *[" " + part for part in rest]]
 
-    def _words(self, words: set[str]) -> dict[str, bytes]:
-        """Packed ids of pre-tokens."""
+    def _words(self, words: set[str], whole: set[str]) -> dict[str, bytes]:
+        """Packed ids of pre-tokens; those that are ``whole`` parts of a text are remembered as such."""
         found, missing = self.words.look_up(words)
         short = [w for w in missing if len(w) <= LONG_WORD]
         new = dict(zip(short, self.side_by_side.encode([w.encode("utf-8", "replace") for w in short]), strict=True)) if short else {}
-        self.words.keep(new)
+        self.words.keep({w: ids for w, ids in new.items() if w not in whole})
         new |= {w: array("I", self.machine.encode(w.encode("utf-8", "replace"))).tobytes() for w in missing if len(w) > LONG_WORD}
         return found | new
 
@@ -391,8 +403,8 @@ class Encoder:
     def _block(self, texts: list[str | None]) -> list[bytes]:
         parts = [self._split(t) for t in texts]
         found, missing = self.chunks.look_up(set().union(*parts))
-        pieces = [self.pieces(part) for part in missing]
-        ids = self._words(set().union(*pieces))
+        pieces = [[part] if (own := self.pieces(part)) == [part] else own for part in missing]
+        ids = self._words(set().union(*pieces), {own[0] for own in pieces if len(own) == 1})
         new = {part: b"".join([ids[p] for p in inside]) for part, inside in zip(missing, pieces, strict=True)}
         self.chunks.keep({part: packed for part, packed in new.items() if len(part) <= LONG_WORD})
         found |= new

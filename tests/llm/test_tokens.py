@@ -123,3 +123,30 @@ def test_frequent_words_are_bounded():
     for i in range(50):
         summary.add([f"x{i}"] * 2 + ["often"])
     assert len(summary.counts) <= 20 and summary.top(1)[0][0] == "often"
+
+
+def test_a_slice_of_a_batch_is_handed_over_at_once(spark):
+    from collections import deque
+
+    import pyarrow as pa
+
+    from scholia.llm.common import SLICE_ROWS, text_udf
+    seen = deque()
+
+    def make():
+        return lambda texts: seen.append(len(texts)) or [t and t.upper() for t in texts]
+    texts = [None if i % 7 == 0 else f"t{i}" for i in range(2 * SLICE_ROWS + 5)]
+    column = text_udf(make, "string")
+    got = list(column.func(iter([pa.array(texts[:-1]), pa.array(texts[-1:]), pa.array([], pa.string())])))
+    # a worker never holds the results of a whole batch of texts
+    assert [len(g) for g in got] == list(seen) == [SLICE_ROWS, SLICE_ROWS, 4, 1, 0]
+    assert [x for g in got for x in g.to_pylist()] == [t and t.upper() for t in texts]
+
+
+def test_endings_in_arrays_are_those_of_the_machine():
+    ranks = {bytes([b]): b for b in range(256)}
+    for n, word in enumerate((b"ab", b"abc", b"bc", b"cab", b"bcab", b"aa", b"aaaa")):
+        ranks[word] = 256 + n
+    machine = bpe_transducer.Transducer(ranks)
+    arrays = bpe_transducer.SideBySide(machine).endings.tolist()
+    assert [[t for t in row if t != bpe_transducer.START] for row in arrays] == [[t for t, _ in machine.tokens_at(k)] for k in range(len(arrays))]
