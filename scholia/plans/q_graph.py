@@ -189,9 +189,8 @@ fe AS (SELECT node, nb, min(ord) AS ord, arg_min(type, ord) AS type FROM o_both
 l AS (SELECT query_id, nb AS name, arg_min(type, (rank, ord)) AS type FROM res JOIN fe ON node = name WHERE NOT EXISTS (SELECT 1 FROM res x WHERE x.query_id = res.query_id AND x.name = nb) GROUP BY ALL)
 SELECT query_id, name, score, 'result' AS origin, NULL AS edge_type FROM res UNION ALL SELECT query_id, name, 0, 'graph', type FROM l""")
 def _(t):
-    res = t.lineitem.groupBy(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name")).agg(
-        F.min("l_linenumber").alias("rank"), F.max("l_quantity").alias("score"))
-    return ranking.graph_append(res, t.v_edges)
+    res = t.lineitem.groupBy(F.col("l_orderkey").alias("query_id"), "l_partkey").agg(F.min("l_linenumber").alias("rank"), F.max("l_quantity").alias("score"))
+    return ranking.graph_append(res.select("query_id", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"), "rank", "score"), t.v_edges)
 
 
 FALL = """

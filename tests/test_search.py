@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -476,3 +478,33 @@ def test_relevant_documents_hold_the_passage(spark, tmp_path):
     spark.createDataFrame([(1, "axx one two three four five six yyb two"), (2, "one two three four five six"), (3, None), (3, "two"), (3, "two"), (4, "Zwei. drei; vier"), (5, "zwei drei vier")],
                           "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(Tables(spark, str(tmp_path)).v_qrels) == [(1, 1), (2, 1), (2, 2), (2, 3), (2, 3), (5, 4)]
+
+
+def test_graph_append_equals_sequential(spark):
+    rnd = random.Random(5)
+    names = ["a", "b", "c\x1f", "d\x1e", "", "e\x1e1", "f", "g"]
+    kinds = ["see-also", "applies-to", "extends", "implements"]
+    items = [(rnd.choice(names), rnd.choice(names), rnd.choice(kinds)) for _ in range(30)]
+    results = [(q, rnd.choice([None, 1, 2, 3, 4]) if q < 20 else n, name, 1.0) for q in range(40) for n, name in enumerate(rnd.sample(names, 3))]
+    results += [(None, 1, "a", 0.5), (None, 2, "b", 0.5)]
+    want = [(q, n, s, "result", None) for q, _, n, s in results]
+    for query in {r[0] for r in results}:
+        own = {n for q, _, n, _ in results if q == query}
+        found = {}
+        for _, rank, name, _ in (r for r in results if r[0] == query):
+            first = {}
+            for at, (s, d, t) in enumerate(items):
+                if name in (s, d) and s != d:
+                    first.setdefault(d if s == name else s, (at, t))
+            for other, (at, t) in first.items():
+                # without a query no name counts as present
+                if t in kinds[:3] and (query is None or other not in own):
+                    place = (-1 if rank is None else rank, at, t)
+                    found[other] = min(place, found.get(other, place))
+        want += [(query, n, 0.0, "graph", p[2]) for n, p in found.items()]
+    df = spark.createDataFrame(results, "query_id bigint, rank int, name string, score double")
+    edges = spark.createDataFrame([(s, d, t, n) for n, (s, d, t) in enumerate(items)], "src string, dst string, type string, ord bigint")
+    assert rows(ranking.graph_append(df, edges)) == sorted(want, key=repr)
+    # neighbours do not travel one by one
+    plan = ranking.graph_append(df.where("query_id >= 20"), edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("RepartitionByExpression [query_id")
