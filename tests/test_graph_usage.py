@@ -215,3 +215,29 @@ def test_concept_intersection_shuffles_no_activation_and_takes_many_concepts(spa
     both = [("a", 2, ends), ("c", 2, ends), ("d", 2, ends), (None, 2, ends)]
     assert rows(got) == sorted([(1, *r) for r in reached] + [(2, *r) for r in both], key=repr)
     assert not re.search(r"hashpartitioning\(query_id#\d+L?, id#", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_context_sends_a_seed_in_one_row(spark):
+    rnd = random.Random(9)
+    items = [(rnd.choice("abcdefghijklmnop"), rnd.choice("abcdefghijklmnop"), "see-also") for _ in range(40)]
+    owners = [(f"f{i}", rnd.choice("abcdefghijklmnop")) for i in range(6)]
+    hits = [(f"f{rnd.randrange(9)}", rnd.choice("abcdefghijklmnop"), rnd.choice([0.2, 0.35, 0.5, 0.9])) for _ in range(20)]
+    hits += [(None, "a", 0.9), ("f1", None, 0.8)]
+    near = lambda x: {b for a, b in [*[(s, d) for s, d, _ in items], *[(d, s) for s, d, _ in items]] if a == x and b != x}
+    best = {}
+    for path, seed, score in [*[(p, i, None) for p, i in owners], *[h for h in hits if h[2] >= 0.35]]:
+        found = [(seed, score)] if score else []
+        if seed:
+            one = near(seed)
+            found += [(x, 0.5) for x in one] + [(x, 0.25) for y in one for x in near(y) - one - {seed}]
+        for i, s in found:
+            best[path, i] = max(s, best.get((path, i), 0))
+    want = []
+    for path in {p for p, _ in best}:
+        order = sorted(((i, s) for (p, i), s in best.items() if p == path), key=lambda x: (-x[1], x[0] or ""))
+        want += [(path, i, s, n + 1) for n, (i, s) in enumerate(order[:8])]
+    got = graph.graph_context(spark.createDataFrame(owners, "path string, id string"), spark.createDataFrame(hits, "path string, id string, score double"), edges(spark, items))
+    assert rows(got.select("path", "id", "score", "rank")) == sorted(want, key=repr)
+    # two shuffles by file, of its own rows and of what the seeds bring; no row for each node that a seed brings
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("RepartitionByExpression [path")
