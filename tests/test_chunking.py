@@ -182,3 +182,19 @@ def test_repeated_frontmatter_keys(spark):
 def test_records_of_empty_lists_are_rejected(spark):
     rows = spark.createDataFrame([(1, " ", []), (2, "", ["x"]), (3, None, None)], "id int, a string, l array<string>")
     assert {r["id"]: r["rejected"] for r in ck.record_clean(rows, "id").collect()} == {1: 1, 2: 0, 3: 1}
+
+
+def test_a_text_without_lines_has_a_guide_too(spark, tmp_path):
+    """Blank documents: an empty goal, and none of the queries over the guides fails."""
+    from scholia import plans
+    from scholia.plans.views import Tables
+    docs = [(1, "", "en", "src1", 0), (2, " \n  ", "de", "src2", 4), (3, "one\ntwo", "en", "src1", 7), (4, None, "en", "src1", None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    guides = {r["doc_id"]: r["content"] for r in Tables(spark, str(tmp_path)).v_guides.collect()}
+    assert "\nGOAL: \nDELIVERS: none\n" in guides[1] and "\nGOAL: \nDELIVERS: none\n" in guides[2]
+    assert "\nGOAL: one\nDELIVERS: two\n" in guides[3] and guides[4] is None
+    queries = plans.load()[0]
+    got = {name: {r[0] for r in queries[name](spark, str(tmp_path)).collect()} for name in ("content_type", "code_exports", "decision_extract", "item_extract", "section_split")}
+    assert got.pop("content_type") == {"specs/src1", "specs/src2"}
+    assert got == {"code_exports": {1, 2, 3, 4}, "decision_extract": {1, 2, 3}, "item_extract": {1, 2, 3}, "section_split": {1, 2, 3}}
+    assert queries["doc_quality"](spark, str(tmp_path)).count() == 8
