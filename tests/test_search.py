@@ -508,3 +508,12 @@ def test_graph_append_equals_sequential(spark):
     # neighbours do not travel one by one
     plan = ranking.graph_append(df.where("query_id >= 20"), edges)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("RepartitionByExpression [query_id")
+
+
+def test_auto_conflict_lists_what_it_rejects(spark):
+    """The best wins; all others of the topic are listed in order, the suppressed ones too."""
+    items = spark.createDataFrame([(1, "a", "t", 8, 0.5, 0), (1, "c", "t", 7, 0.5, 3), (1, "b", "t", 7, 0.5, 9), (1, "d", "t", 2, 0.9, 0), (1, "e", "u", 5, 0.5, 0)],
+                                  "q int, name string, topic string, specificity int, score double, stars int")
+    got = ranking.auto_conflict(ranking.conflict_resolve(items, ["q"]), ["q"]).collect()
+    assert [r.asDict() for r in got] == [{"q": 1, "topic": "t", "chosen": "a", "decision": "auto-conflict", "reason": "auto-resolved: highest specificity (8)",
+                                          "rejected_names": ["b", "c", "d"], "rejected": 3, "rejected_specificity": 16}]
