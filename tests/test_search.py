@@ -517,3 +517,29 @@ def test_auto_conflict_lists_what_it_rejects(spark):
     got = ranking.auto_conflict(ranking.conflict_resolve(items, ["q"]), ["q"]).collect()
     assert [r.asDict() for r in got] == [{"q": 1, "topic": "t", "chosen": "a", "decision": "auto-conflict", "reason": "auto-resolved: highest specificity (8)",
                                           "rejected_names": ["b", "c", "d"], "rejected": 3, "rejected_specificity": 16}]
+
+
+def test_every_vector_is_a_query_of_the_exact_searches(spark, tmp_path):
+    from scholia import plans
+    m = random_vectors(30)
+    spark.createDataFrame([(i + 1, v.tolist(), 0) for i, v in enumerate(m)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    queries = plans.load()[0]
+    found = queries["knn_topk"](spark, str(tmp_path)).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in found) == [(q, n) for q in range(1, 31) for n in range(1, 11)]
+    assert {r["query_id"] for r in queries["knn_threshold"](spark, str(tmp_path)).collect()} == set(range(1, 31))
+
+
+def test_nearest_finds_exact_scores_among_many(monkeypatch):
+    """Groups, copies, own ids that come twice, vectors without length: as a full sort in double precision."""
+    monkeypatch.setattr(vectors, "GROUP", 8)
+    monkeypatch.setattr(vectors, "SCORE_CELLS", 1500)
+    m = random_vectors(400, 16)
+    m[100:140], m[7] = m[3], 0
+    ids = np.arange(400) * 3
+    ids[399] = ids[5]
+    got = vectors._nearest(ids[:50], m[:50], ids, m, 6, True)
+    for n, part in got.groupby("query_id"):
+        s = np.where(ids == n, -9, np.round(m @ m[n // 3], 6))
+        first = np.lexsort((ids, -s))[:6]
+        assert part["item_id"].tolist() == ids[first].tolist() and np.allclose(part["score"], s[first], atol=1e-9)
+    assert got["query_id"].nunique() == 50
