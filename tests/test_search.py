@@ -543,3 +543,26 @@ def test_nearest_finds_exact_scores_among_many(monkeypatch):
         first = np.lexsort((ids, -s))[:6]
         assert part["item_id"].tolist() == ids[first].tolist() and np.allclose(part["score"], s[first], atol=1e-9)
     assert got["query_id"].nunique() == 50
+
+
+def test_an_index_is_made_where_the_chunks_are(spark, tmp_path, monkeypatch):
+    """Counts, postings and bounds without a shuffle, also in several runs a task and with repeated ids."""
+    monkeypatch.setattr(lexical, "RUN_ROWS", 40)
+    rng = np.random.default_rng(3)
+    texts = [(i, " ".join(f"w{j}" for j in rng.integers(0, 30, rng.integers(0, 12)))) for i in range(300)]
+    chunks = spark.createDataFrame(texts, "chunk_id bigint, text string")
+    flat = lambda df: rows(df.select("chunk_id", "len", F.explode(F.arrays_zip("ts", "tfs")).alias("p")).select("chunk_id", "len", "p.ts", "p.tfs"))
+    made = lexical.stored_counts(chunks)
+    assert flat(made) == flat(lexical.forward_counts(lexical.postings(chunks)))
+    twice = chunks.union(chunks.where("chunk_id % 7 = 0")).union(spark.createDataFrame([(None, "w1 w2"), (None, "w2")], "chunk_id bigint, text string"))
+    plain = lambda df: [r[:1] + r[2:] for r in flat(df)]  # the length of a repeated id is that of any of its rows
+    assert plain(lexical.stored_counts(twice)) == plain(lexical.forward_counts(lexical.postings(twice)))
+    made.withColumn("block", F.floor(F.col("chunk_id") / 20)).orderBy("chunk_id").coalesce(2).write.parquet(f"{tmp_path}/forward")
+    forward = spark.read.parquet(f"{tmp_path}/forward")
+    posting = lexical.run_postings(forward)
+    assert rows(posting.drop("block")) == rows(lexical.postings(chunks).select("chunk_id", "term", "tf", "len"))
+    bounds = lexical.run_bounds(forward)
+    worth = "term", "block", "tf", "len", F.round(F.col("best.tf") / F.sqrt("best.len"), 9)
+    assert rows(bounds.select(*worth)) == rows(lexical.posting_bounds(posting).select(*worth))
+    for made in (made, posting, bounds):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString().replace("RoundRobinPartitioning", "")
