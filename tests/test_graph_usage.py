@@ -3,7 +3,7 @@ import random
 from conftest import rows
 from pyspark.sql import functions as F
 
-from scholia.functions.scale import broadcast_within, has_at_most, number_rows, salted_join
+from scholia.functions.scale import broadcast_within, has_at_most, hot_join, number_rows, salted_join
 from scholia.functions.text import contained_in, phrases_in_texts
 from scholia.operators import graph, usage
 
@@ -241,3 +241,29 @@ def test_context_sends_a_seed_in_one_row(spark):
     # two shuffles by file, of its own rows and of what the seeds bring; no row for each node that a seed brings
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate inline") < plan.index("RepartitionByExpression [path")
+
+
+def test_only_hot_keys_are_repeated(spark):
+    """Inner and semi join as without salt; what the small side has for other keys comes once."""
+    big = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN concat('k', id % 40) END AS k", "id")
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("none", 4), (None, 5)], "k string, v int")
+    for bound in (100, 10_000):
+        joined = hot_join(big, small, "k", "id", hot_rows=bound)
+        assert rows(joined.select("k", "id", "v")) == rows(big.join(small, "k").select("k", "id", "v"))
+        assert rows(hot_join(big, small.select("k").distinct(), "k", "id", "left_semi", bound).select("k", "id")) == rows(big.join(small, "k", "left_semi"))
+        assert ("_salt" in joined._jdf.queryExecution().optimizedPlan().toString()) == (bound == 100)
+
+
+def test_pieces_without_a_needle_stay_where_they_are(spark, monkeypatch):
+    """A needle list that is too long for a broadcast: the pieces pass a bitmap of the needles first."""
+    from scholia.functions import text
+    monkeypatch.setattr(text, "NEEDLES", 10)
+    n = spark.range(600).selectExpr("concat('lib', id * 7) AS n")
+    h = spark.range(400).selectExpr("concat('import lib', id, '.make;') AS h")
+    want = sorted({(f"lib{i * 7}", f"import lib{j}.make;") for i in range(600) for j in range(400) if f"lib{i * 7}" in f"import lib{j}.make;"}, key=repr)
+    for gram in (6, 32):
+        assert rows(contained_in(n, h, "n", "h", gram)) == want
+    pieces = spark.range(100_000).selectExpr("concat('x', id) AS _key")
+    keys = spark.range(0, 100_000, 100).selectExpr("concat('x', id) AS _key")
+    kept = text._marked(pieces, keys, "_key")
+    assert kept.join(keys, "_key", "left_semi").count() == 1000 and kept.count() < 20_000
