@@ -267,3 +267,11 @@ def test_pieces_without_a_needle_stay_where_they_are(spark, monkeypatch):
     keys = spark.range(0, 100_000, 100).selectExpr("concat('x', id) AS _key")
     kept = text._marked(pieces, keys, "_key")
     assert kept.join(keys, "_key", "left_semi").count() == 1000 and kept.count() < 20_000
+
+
+def test_few_concepts_travel_to_what_they_reach(spark):
+    nodes = spark.createDataFrame([("a", "red fox", "", []), ("b", "owl", "", [])], "id string, title string, body string, tags array<string>")
+    edges = spark.createDataFrame([("a", "b", "extends", 1)], "src string, dst string, type string, ord int")
+    lit = graph.activate(spark.createDataFrame([(1, "red"), (1, "red"), (2, "owl")], "query_id int, concept string"), nodes, edges)
+    assert rows(lit) == [(1, "red", "a"), (1, "red", "b"), (2, "owl", "a"), (2, "owl", "b")]
+    assert "BroadcastHashJoin [concept#" in lit._jdf.queryExecution().executedPlan().toString()
